@@ -293,7 +293,7 @@ def q_gap_text(spark, sf):
     return scored(spark, sf).select("venue_id", C.gap_text().alias("gap"))
 
 
-@register("search_url", O.with_(O.V) + f"SELECT venue_id, concat({O.lit(K.SEARCH_URL_PREFIX)}, replace(name, ' ', '+')) AS search_url FROM v")
+@register("search_url", O.with_(O.V) + f"SELECT venue_id, {O.lit(K.SEARCH_URL_PREFIX)} || replace(name, ' ', '+') AS search_url FROM v")
 def q_search_url(spark, sf):
     return venues(spark, sf).select("venue_id", C.search_url().alias("search_url"))
 
@@ -322,7 +322,7 @@ def q_tooltip_table(spark, sf):
 
 
 @register("display_columns", O.with_(*_CLEAN_M7) + f"""SELECT venue_id, name, CASE WHEN residual > 0.0::DOUBLE THEN '+' || {O.fixed_sql('residual', 2)}
-  ELSE {O.fixed_sql('residual', 2)} END AS gap, coalesce(url, concat({O.lit(K.SEARCH_URL_PREFIX)}, replace(name, ' ', '+'))) AS link
+  ELSE {O.fixed_sql('residual', 2)} END AS gap, coalesce(url, {O.lit(K.SEARCH_URL_PREFIX)} || replace(name, ' ', '+')) AS link
 FROM m7 WHERE residual IS NOT NULL ORDER BY residual DESC, venue_id LIMIT 20""")
 def q_display_columns(spark, sf):
     return SV.top_visible(scored(spark, sf), K.TOP_K_SERVE)
@@ -386,6 +386,15 @@ def q_cluster_density(spark, sf):
     return density(spark, sf).select("venue_id", "cluster_density")
 
 
+_DENS_WIDE = ("densw", O.DENS[1].replace("200.0", "2000.0"))
+
+
+@register("cluster_density_wide", O.with_(O.V, O.VX, _DENS_WIDE) + "SELECT venue_id, cluster_density FROM densw")
+def q_cluster_density_wide(spark, sf):
+    """The same operator at a 2 km radius, where the fixture has ~75 neighbours per point."""
+    return S.cluster_density(project_local_m(venues(spark, sf)), radius=2000.0).select("venue_id", "cluster_density")
+
+
 @register("point_in_area", O.with_(O.V, O.AR, O.WITHIN) + "SELECT venue_id, area_within FROM within")
 def q_point_in_area(spark, sf):
     return S.point_in_area(venues(spark, sf), edges(spark, sf)).select("venue_id", "area_within")

@@ -64,7 +64,9 @@ def cluster_density(df: DataFrame, radius: float = K.DENSITY_RADIUS_M, x: str =
     the circle (add the cell total, no pairs), *empty* when the nearest point
     is outside, and otherwise the cell is split into its 4 children, down to
     ``levels``. Cut cells with at most ``leaf_size`` distinct points — and all
-    cut cells at the last level — are resolved point by point.
+    cut cells at the last level — are resolved point by point. Each level's
+    refinement set is checkpointed to the shared folder; the loop stops at the
+    first level with nothing left to refine.
     """
     eps = radius * 1e-9 if eps is None else eps
     d = distinct_points(df, x, y)
@@ -105,10 +107,15 @@ def cluster_density(df: DataFrame, radius: float = K.DENSITY_RADIUS_M, x: str =
         parts.append(pairs)
         if lvl == levels:
             break
+        # only (point, dense cut cell) pairs go one level down; materialise that
+        # (usually small) set so the next level does not replay this one
         q = (cut.where(F.col("cn") > leaf_size)
                 .select("px", "py", "cx", "cy", F.inline(_children()))
                 .select("px", "py", (F.col("cx") * 2 + F.col("dx")).alias("cx"),
-                        (F.col("cy") * 2 + F.col("dy")).alias("cy")))
+                        (F.col("cy") * 2 + F.col("dy")).alias("cy"))
+                .checkpoint())
+        if q.isEmpty():
+            break
     total = parts[0]
     for p in parts[1:]:
         total = total.unionByName(p)

@@ -64,13 +64,13 @@ def cv_context_residual(df: DataFrame, keys: list[str], fold: str = "fold", targ
     valid = df.where(F.col(target).isNotNull())
     per = valid.groupBy(*keys, fold).agg(F.sum(target).alias("_fs"), F.count(F.lit(1)).alias("_fn"))
     tot = valid.groupBy(*keys).agg(F.sum(target).alias("_ts"), F.count(F.lit(1)).alias("_tn"))
-    fold_tot = valid.groupBy(fold).agg(F.sum(target).alias("_Fs"), F.count(F.lit(1)).alias("_Fn"))
+    fold_tot = valid.groupBy(fold).agg(F.sum(target).alias("_ks"), F.count(F.lit(1)).alias("_kn"))
     all_s, all_n = valid.select(F.sum(target)).scalar(), valid.select(F.count(F.lit(1))).scalar()
     j = _null_safe_join(valid, tot, keys)
     per_r = per.select(*[F.col(k).alias(f"_p_{k}") for k in keys], F.col(fold).alias("_p_f"), "_fs", "_fn")
     cond = reduce(lambda a, b: a & b, [j[k].eqNullSafe(per_r[f"_p_{k}"]) for k in keys]) & (j[fold] == per_r["_p_f"])
     j = j.join(per_r, cond, "left").join(F.broadcast(fold_tot), fold)
-    gm = (all_s - F.col("_Fs")) / (all_n - F.col("_Fn"))
+    gm = (all_s - F.col("_ks")) / (all_n - F.col("_kn"))
     s = F.col("_ts") - F.coalesce(F.col("_fs"), F.lit(0.0))
     n = F.col("_tn") - F.coalesce(F.col("_fn"), F.lit(0))
     return j.withColumn("prediction", (s + F.lit(lam) * gm) / (n + F.lit(lam))).select(*df.columns, "prediction")
