@@ -1 +1,134 @@
-"""Rows-only registered queries (no SQL oracle): model, streaming, external calls, file formats."""
+"""Rows-only registered queries (no SQL oracle): file formats, model, external calls, streams.
+
+Each one still reads the test tables and scales with them: file-format queries
+write the fixture tables in the format first (into the shared folder) and read
+them back with the engine's source; model queries train on the full feature
+table; stream queries replay the table as a folder of arriving files.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from residuum.catalog import FX_OVERRIDES, edges, register, venues
+from residuum.functions import constants as K
+from residuum.functions.geo import project_local_m
+from residuum.operators import classify as CL
+from residuum.operators import spatial as S
+from residuum.operators.features import top_category_bucket
+from residuum.operators.ordering import kfold_contiguous
+from residuum.plans import model as M
+from residuum.plans.preprocess import preprocess
+from residuum.session import materialize, shared_path
+from residuum.sources import fixtures as FX
+from residuum.sources import geo_files as G
+from residuum.sources import scan as SC
+from residuum.sources.schema import VENUES
+from residuum.streaming import ingest as ST
+
+GBT_ARGS = dict(max_iter=15, max_depth=4)
+
+
+def feature_table(spark, sf):
+    """The full feature build on the fixture tables."""
+    return preprocess(venues(spark, sf), FX.anchors_fx(spark, sf), edges(spark, sf), overrides=FX_OVERRIDES)
+
+
+@register("scan_geojson")
+def q_scan_geojson(spark, sf):
+    path = G.write_geojson_seq(FX.areas_fx(spark, sf), shared_path(spark, "areas_geojson"))
+    rings = G.geojson_rings(G.scan_geojson(spark, path, collection=False))
+    e = S.edges_from_rings(rings)
+    return S.point_in_area(venues(spark, sf), e).select("venue_id", "area_within")
+
+
+@register("scan_kml")
+def q_scan_kml(spark, sf):
+    path = G.write_kml_placemarks(FX.anchors_fx(spark, sf), shared_path(spark, "anchors_kml"))
+    kml = G.scan_kml(spark, path)
+    return kml.select(F.col("attributes")["ANCHOR_ID"].cast("bigint").alias("anchor_id"), "longitude", "latitude",
+                      "altitude")
+
+
+@register("source_fallback")
+def q_source_fallback(spark, sf):
+    kml = G.write_kml_placemarks(FX.anchors_fx(spark, sf), shared_path(spark, "fallback_kml"))
+    missing = shared_path(spark, "no_such_geojson")
+    anchors = G.load_anchors(spark, missing, kml)
+    v = S.nearest_anchor(project_local_m(venues(spark, sf)), project_local_m(anchors))
+    return v.select("venue_id", F.round("dist_to_hawker", 3).alias("dist_to_hawker"), "is_hawker")
+
+
+@register("preprocess")
+def q_preprocess(spark, sf):
+    return feature_table(spark, sf)
+
+
+@register("gbt_residuals")
+def q_gbt_residuals(spark, sf):
+    ft = materialize(feature_table(spark, sf))
+    model = M.fit_gbt(ft, M.RETRAIN_FEATURES, **GBT_ARGS)
+    return M.gbt_residuals(model, ft, M.RETRAIN_FEATURES).select("venue_id", "rating", "predicted_rating", "residual")
+
+
+@register("model_roundtrip")
+def q_model_roundtrip(spark, sf):
+    ft = materialize(feature_table(spark, sf))
+    model = M.fit_gbt(ft, M.RETRAIN_FEATURES, **GBT_ARGS)
+    loaded = M.load_model(M.save_model(model, shared_path(spark, "model")))
+    a = M.gbt_residuals(model, ft, M.RETRAIN_FEATURES).select("venue_id", F.col("predicted_rating").alias("p0"))
+    b = M.gbt_residuals(loaded, ft, M.RETRAIN_FEATURES).select("venue_id", F.col("predicted_rating").alias("p1"))
+    return a.join(b, "venue_id").select("venue_id", (F.col("p0") == F.col("p1")).alias("same_prediction"))
+
+
+@register("cv_gbt")
+def q_cv_gbt(spark, sf):
+    ft = materialize(kfold_contiguous(feature_table(spark, sf), ["venue_id"]))
+    return M.cv_gbt(ft, M.RETRAIN_FEATURES, **GBT_ARGS)
+
+
+@register("perm_importance")
+def q_perm_importance(spark, sf):
+    ft = materialize(feature_table(spark, sf))
+    model = M.fit_gbt(ft, M.RETRAIN_FEATURES, **GBT_ARGS)
+    return M.permutation_importance(model, ft, M.RETRAIN_FEATURES, repeats=K.PERM_REPEATS)
+
+
+def stub_classifier(prompt: str) -> str:
+    """Deterministic stand-in for the external service: label by name length."""
+    block = prompt.split("Restaurant names:\n", 1)[1].split("\n\nClassifications:", 1)[0]
+    names = [ln[2:] for ln in block.split("\n") if ln.startswith("- ")]
+    return "\n".join(f"{n} | {K.CUISINE_LABELS[len(n) % len(K.CUISINE_LABELS)]}" for n in names)
+
+
+@register("batch_inference")
+def q_batch_inference(spark, sf):
+    v = top_category_bucket(venues(spark, sf))
+    out = CL.batch_inference(v, stub_classifier, category="category_encoded", parallelism=2)
+    return out.select("venue_id", "name", F.col("category_encoded").alias("category"))
+
+
+def _drop_files(spark, sf):
+    """The venue table as a folder of files arriving one order-status batch at a time."""
+    src = shared_path(spark, "arrivals")
+    o = SC.read_table(spark, sf, "orders")
+    FX.venues_from_orders(o).join(o.select(F.col("o_orderkey").alias("venue_id"), "o_orderstatus"), "venue_id") \
+        .write.partitionBy("o_orderstatus").parquet(src)
+    return src
+
+
+@register("ingest_stream")
+def q_ingest_stream(spark, sf):
+    src = _drop_files(spark, sf)
+    sink, ck = shared_path(spark, "ingested"), shared_path(spark, "ingest_ckpt")
+    ST.ingest_stream(spark, src, VENUES, sink, ck)
+    ST.ingest_stream(spark, src, VENUES, sink, ck)      # rerun: nothing new, nothing duplicated
+    return ST.read_ingested(spark, sink, VENUES)
+
+
+@register("stream_dedup_best")
+def q_stream_dedup_best(spark, sf):
+    src = _drop_files(spark, sf)
+    table, ck = shared_path(spark, "best"), shared_path(spark, "best_ckpt")
+    ST.stream_dedup_best(spark, src, VENUES, table, ck)
+    return SC.read_latest(spark, table, VENUES)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from residuum.functions import constants as K
+from residuum.session import materialize
 
 
 def global_row_number(df: DataFrame, order_cols: list, out: str = "rn",
@@ -30,8 +31,8 @@ def global_row_number(df: DataFrame, order_cols: list, out: str = "rn",
     ranged = (df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
                 .withColumn("_pid", F.spark_partition_id())
                 .withColumn("_pos", F.monotonically_increasing_id()
-                            - F.shiftleft(F.col("_pid").cast("bigint"), 33))
-                .checkpoint(eager=True))
+                            - F.shiftleft(F.col("_pid").cast("bigint"), 33)))
+    ranged = materialize(ranged)
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = (ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
                   .withColumn("_off", F.coalesce(F.sum("_cnt").over(before), F.lit(0)))

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from residuum.functions import constants as K
 from residuum.functions.geo import euclid, segment_distance, tm_forward
+from residuum.session import materialize
 
 DEFAULT_BROADCAST_ROWS = 2_000_000
 
@@ -64,12 +65,13 @@ def cluster_density(df: DataFrame, radius: float = K.DENSITY_RADIUS_M, x: str =
     the circle (add the cell total, no pairs), *empty* when the nearest point
     is outside, and otherwise the cell is split into its 4 children, down to
     ``levels``. Cut cells with at most ``leaf_size`` distinct points — and all
-    cut cells at the last level — are resolved point by point. Each level's
-    refinement set is checkpointed to the shared folder; the loop stops at the
-    first level with nothing left to refine.
+    cut cells at the last level — are resolved point by point. The distinct
+    points and each level's classified (point, cell) pairs are checkpointed to
+    the shared folder; the loop stops at the first level with nothing left to
+    refine.
     """
     eps = radius * 1e-9 if eps is None else eps
-    d = distinct_points(df, x, y)
+    d = materialize(distinct_points(df, x, y))
     px, py = F.col("px"), F.col("py")
 
     def at_level(frame: DataFrame, lvl: int, xc="px", yc="py") -> DataFrame:
@@ -92,10 +94,10 @@ def cluster_density(df: DataFrame, radius: float = K.DENSITY_RADIUS_M, x: str =
         gy = F.greatest(y0 - py, py - y1, F.lit(0.0))
         fx = F.greatest(F.abs(px - x0), F.abs(px - x1))
         fy = F.greatest(F.abs(py - y0), F.abs(py - y1))
-        j = j.withColumns({
+        j = materialize(j.withColumns({
             "_kind": F.when(F.sqrt(fx * fx + fy * fy) <= radius - eps, F.lit(1))
                       .when(F.sqrt(gx * gx + gy * gy) > radius + eps, F.lit(0))
-                      .otherwise(F.lit(2))})
+                      .otherwise(F.lit(2))}).where(F.col("_kind") > 0))
         parts.append(j.where(F.col("_kind") == 1).select("px", "py", F.col("cw").alias("n")))
         cut = j.where(F.col("_kind") == 2)
         leaf = cut if lvl == levels else cut.where(F.col("cn") <= leaf_size)
@@ -112,8 +114,7 @@ def cluster_density(df: DataFrame, radius: float = K.DENSITY_RADIUS_M, x: str =
         q = (cut.where(F.col("cn") > leaf_size)
                 .select("px", "py", "cx", "cy", F.inline(_children()))
                 .select("px", "py", (F.col("cx") * 2 + F.col("dx")).alias("cx"),
-                        (F.col("cy") * 2 + F.col("dy")).alias("cy"))
-                .checkpoint())
+                        (F.col("cy") * 2 + F.col("dy")).alias("cy")))
         if q.isEmpty():
             break
     total = parts[0]
@@ -156,9 +157,9 @@ def nearest_anchor(df: DataFrame, anchors: DataFrame | None, x: str = "x", y: st
     n_anchor = stats["n"]
     if start_cell is None:
         area = max((stats["x1"] - stats["x0"]) * (stats["y1"] - stats["y0"]), 1.0)
-        start_cell = max(math.sqrt(area / n_anchor), 1.0)
-    unresolved = df.select(F.col(x).alias("px"), F.col(y).alias("py")) \
-                   .where(F.col("px").isNotNull() & F.col("py").isNotNull()).distinct()
+        start_cell = max(2.0 * math.sqrt(area / n_anchor), 1.0)
+    unresolved = materialize(df.select(F.col(x).alias("px"), F.col(y).alias("py"))
+                               .where(F.col("px").isNotNull() & F.col("py").isNotNull()).distinct())
     resolved = []
     s = float(start_cell)
     for _ in range(max_rounds):
@@ -170,8 +171,8 @@ def nearest_anchor(df: DataFrame, anchors: DataFrame | None, x: str = "x", y: st
                 .join(ring, ["cx", "cy"], "left")
                 .groupBy("px", "py")
                 .agg(F.min(euclid(F.col("px"), F.col("py"), F.col("ax"), F.col("ay"))).alias("d"))
-                .withColumn("ok", F.col("d").isNotNull() & (F.col("d") <= s))
-                .checkpoint())
+                .withColumn("ok", F.col("d").isNotNull() & (F.col("d") <= s)))
+        cand = materialize(cand)
         resolved.append(cand.where("ok").select("px", "py", "d"))
         unresolved = cand.where(~F.col("ok")).select("px", "py")
         if unresolved.isEmpty():

@@ -64,3 +64,19 @@ def shared_path(spark: SparkSession, *parts: str, unique: bool = True) -> str:
     if unique:
         segs.append(uuid.uuid4().hex)
     return "/".join(segs) if "://" in base else os.path.join(*segs)
+
+
+def materialize(df):
+    """Cut lineage: write ``df`` to the shared checkpoint folder once.
+
+    The frame is persisted first so the checkpoint write reuses the rows the
+    eager count computed instead of recomputing the plan; the cache is
+    released afterwards. The checkpoint (not the cache) is what later plans
+    read, so a lost executor costs a re-read, not a recomputation.
+    """
+    from pyspark import StorageLevel
+    ensure_checkpoint_dir(df.sparkSession)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out

@@ -45,7 +45,7 @@ def ingest_stream(spark: SparkSession, source_dir: str, schema: T.StructType, si
     stream = reader.load(source_dir)
 
     def write(batch: DataFrame, batch_id: int):
-        batch.write.mode("overwrite").parquet(f"{sink_root.rstrip('/')}/batch={batch_id}")
+        batch.select(*schema.fieldNames()).write.mode("overwrite").parquet(f"{sink_root.rstrip('/')}/batch={batch_id}")
 
     q = (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
                .trigger(availableNow=True).start())
@@ -72,7 +72,7 @@ def stream_dedup_best(spark: SparkSession, source_dir: str, schema: T.StructType
 
     def merge(batch: DataFrame, batch_id: int):
         current = SC.read_latest(batch.sparkSession, table_root, schema)
-        merged = dedup_best(current.unionByName(batch), key, order, tiebreak)
+        merged = dedup_best(current.unionByName(batch.select(*schema.fieldNames())), key, order, tiebreak)
         SC.sink_parquet(merged, table_root, version=batch_id + 1)
 
     q = (stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
