@@ -299,8 +299,8 @@ def q_search_url(spark, sf):
 
 
 _EXPL_CTES = (O.V, O.VX, O.DENS, O.AR, O.WITHIN, O.EDGES_M, O.NEAR, O.ASSIGN,
-              ("full", "SELECT v.*, dens.cluster_density, assigned.planning_area FROM v JOIN dens USING (venue_id) JOIN assigned USING (venue_id)"),
-              O.m7("full", ("category", "planning_area")))
+              ("fullv", "SELECT v.*, dens.cluster_density, assigned.planning_area FROM v JOIN dens USING (venue_id) JOIN assigned USING (venue_id)"),
+              O.m7("fullv", ("category", "planning_area")))
 
 
 def explained(spark, sf):
