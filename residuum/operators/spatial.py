@@ -134,7 +134,7 @@ def cluster_density(df: DataFrame, radius: float = K.DENSITY_RADIUS_M, x: str =
 def nearest_anchor(df: DataFrame, anchors: DataFrame | None, x: str = "x", y: str = "y",
                    ax: str = "x", ay: str = "y", dist_col: str = "dist_to_hawker",
                    flag_col: str = "is_hawker", flag_m: float = K.ANCHOR_FLAG_M,
-                   start_cell: float | None = None, growth: float = 2.0, max_rounds: int = 64,
+                   start_cell: float | None = None, growth: float = 4.0, max_rounds: int = 64,
                    broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Distance to the nearest anchor and ``dist < flag_m``.
 
@@ -158,8 +158,8 @@ def nearest_anchor(df: DataFrame, anchors: DataFrame | None, x: str = "x", y: st
     if start_cell is None:
         area = max((stats["x1"] - stats["x0"]) * (stats["y1"] - stats["y0"]), 1.0)
         start_cell = max(2.0 * math.sqrt(area / n_anchor), 1.0)
-    unresolved = materialize(df.select(F.col(x).alias("px"), F.col(y).alias("py"))
-                               .where(F.col("px").isNotNull() & F.col("py").isNotNull()).distinct())
+    unresolved = (df.select(F.col(x).alias("px"), F.col(y).alias("py"))
+                    .where(F.col("px").isNotNull() & F.col("py").isNotNull()).distinct())
     resolved = []
     s = float(start_cell)
     for _ in range(max_rounds):
