@@ -50,8 +50,9 @@ def context_residual(df: DataFrame, keys: list[str], target: str = "rating", lam
                      pred: str = "predicted_rating", res: str = "residual") -> DataFrame:
     """Add ``pred`` = (Σ target + λ·global mean) / (n + λ) per context group and ``res`` = target − pred."""
     valid = df.where(F.col(target).isNotNull())
-    gmean = valid.select(F.avg(target)).scalar()
     groups = valid.groupBy(*keys).agg(F.sum(target).alias("_s"), F.count(F.lit(1)).alias("_n"))
+    # global mean from the (small) group table: no second pass over the rows
+    gmean = groups.select(F.sum("_s") / F.sum("_n")).scalar()
     j = _null_safe_join(df, groups, keys)
     p = (F.coalesce(F.col("_s"), F.lit(0.0)) + F.lit(lam) * gmean) / (F.coalesce(F.col("_n"), F.lit(0)) + F.lit(lam))
     return j.withColumn(pred, p).withColumn(res, F.col(target) - F.col(pred)).drop("_s", "_n")
@@ -65,7 +66,8 @@ def cv_context_residual(df: DataFrame, keys: list[str], fold: str = "fold", targ
     per = valid.groupBy(*keys, fold).agg(F.sum(target).alias("_fs"), F.count(F.lit(1)).alias("_fn"))
     tot = valid.groupBy(*keys).agg(F.sum(target).alias("_ts"), F.count(F.lit(1)).alias("_tn"))
     fold_tot = valid.groupBy(fold).agg(F.sum(target).alias("_ks"), F.count(F.lit(1)).alias("_kn"))
-    all_s, all_n = valid.select(F.sum(target)).scalar(), valid.select(F.count(F.lit(1))).scalar()
+    # global totals from the per-fold table (one row per fold): no extra pass over the rows
+    all_s, all_n = fold_tot.select(F.sum("_ks")).scalar(), fold_tot.select(F.sum("_kn")).scalar()
     j = _null_safe_join(valid, tot, keys)
     per_r = per.select(*[F.col(k).alias(f"_p_{k}") for k in keys], F.col(fold).alias("_p_f"), "_fs", "_fn")
     cond = reduce(lambda a, b: a & b, [j[k].eqNullSafe(per_r[f"_p_{k}"]) for k in keys]) & (j[fold] == per_r["_p_f"])
