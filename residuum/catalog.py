@@ -403,12 +403,10 @@ def q_point_in_area(spark, sf):
 @register("nearest_area", O.with_(O.V, O.AR, O.WITHIN, O.EDGES_M, O.NEAR) +
           "SELECT w.venue_id, n.near_area FROM within w LEFT JOIN near n ON w.venue_id = n.venue_id WHERE w.area_within IS NULL")
 def q_nearest_area(spark, sf):
-    from residuum.functions.geo import tm_forward
     v = venues(spark, sf)
     e = edges(spark, sf)
-    inside = S.point_in_area(v, e).where(F.col("area_within").isNull())
-    mx, my = tm_forward(F.col("longitude"), F.col("latitude"))
-    pts = inside.select(F.col("venue_id").alias("px"), F.lit(0.0).alias("py"), mx.alias("mx"), my.alias("my"),
+    inside = project_local_m(S.point_in_area(v, e).where(F.col("area_within").isNull()), x="mx", y="my")
+    pts = inside.select(F.col("venue_id").alias("px"), F.lit(0.0).alias("py"), "mx", "my",
                         F.when(F.col("latitude") > K.BORDER_LAT, F.lit(K.BORDER_RADIUS_M))
                          .otherwise(F.lit(K.MAINLAND_RADIUS_M)).alias("radius"))
     near = S.nearest_area_pairs(pts, S.project_edges(e), K.MAINLAND_RADIUS_M)

@@ -38,18 +38,26 @@ def _tm_constants(params: dict, a: float = WGS84_A, f: float = WGS84_F) -> dict:
                 fe=params["false_easting"], fn=params["false_northing"])
 
 
-def tm_forward(lon, lat, m=SPARK_MATH, params: dict = LOCAL_TM):
-    """(easting, northing) in metres for lon/lat degrees, on any math backend."""
+def _same(name, value):
+    return value
+
+
+def tm_forward(lon, lat, m=SPARK_MATH, params: dict = LOCAL_TM, bind=_same):
+    """(easting, northing) in metres for lon/lat degrees, on any math backend.
+
+    ``bind(name, value)`` may turn an intermediate into a reference (the Spark
+    version binds them as columns so each is computed once).
+    """
     c = _tm_constants(params)
-    phi = lat * DEG
-    s, co, t = m.sin(phi), m.cos(phi), m.tan(phi)
-    nu = c["a"] / m.sqrt(1.0 - c["e2"] * s * s)
-    tt = t * t
-    cc = c["ep2"] * co * co
-    aa = (lon - c["lon0"]) * DEG * co
-    aa2 = aa * aa
-    aa3 = aa2 * aa
-    aa4 = aa2 * aa2
+    phi = bind("phi", lat * DEG)
+    s, co, t = bind("s", m.sin(phi)), bind("co", m.cos(phi)), bind("t", m.tan(phi))
+    nu = bind("nu", c["a"] / m.sqrt(1.0 - c["e2"] * s * s))
+    tt = bind("tt", t * t)
+    cc = bind("cc", c["ep2"] * co * co)
+    aa = bind("aa", (lon - c["lon0"]) * DEG * co)
+    aa2 = bind("aa2", aa * aa)
+    aa3 = bind("aa3", aa2 * aa)
+    aa4 = bind("aa4", aa2 * aa2)
     aa5 = aa4 * aa
     aa6 = aa3 * aa3
     mer = c["a"] * (c["m1"] * phi - c["m2"] * m.sin(2.0 * phi)
@@ -67,11 +75,30 @@ def web_mercator(lon, lat, m=SPARK_MATH, r: float = WEB_MERCATOR_R):
     return r * (lon * DEG), r * m.ln(m.tan(math.pi / 4.0 + lat * DEG / 2.0))
 
 
+class _ColumnBinder:
+    """Adds each bound intermediate as a temporary column of the frame."""
+
+    def __init__(self, df: DataFrame, prefix: str):
+        self.df, self.prefix, self.names = df, prefix, []
+
+    def __call__(self, name: str, value: Column) -> Column:
+        col_name = f"{self.prefix}{name}"
+        self.df = self.df.withColumn(col_name, value)
+        self.names.append(col_name)
+        return F.col(col_name)
+
+
 def project_local_m(df: DataFrame, lon: str = "longitude", lat: str = "latitude",
                     x: str = "x", y: str = "y", params: dict = LOCAL_TM) -> DataFrame:
-    """Add projected metre columns ``x``/``y`` (pure expressions, codegen'd)."""
-    ex, ny = tm_forward(F.col(lon), F.col(lat), SPARK_MATH, params)
-    return df.withColumns({x: ex, y: ny})
+    """Add projected metre columns ``x``/``y`` (built-in expressions, codegen'd).
+
+    Shared intermediates are bound as temporary columns: Catalyst keeps an
+    expensive expression that is referenced several times in its own
+    projection instead of inlining copies, so the generated code stays small.
+    """
+    b = _ColumnBinder(df, f"_tm_{x}_")
+    ex, ny = tm_forward(F.col(lon), F.col(lat), SPARK_MATH, params, bind=b)
+    return b.df.withColumns({x: ex, y: ny}).drop(*b.names)
 
 
 def project_web_mercator(df: DataFrame, lon: str = "longitude", lat: str = "latitude",

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from residuum.functions import constants as K
-from residuum.functions.geo import euclid, segment_distance, tm_forward
+from residuum.functions.geo import euclid, project_local_m, segment_distance
 from residuum.session import materialize
 
 DEFAULT_BROADCAST_ROWS = 2_000_000
@@ -40,10 +40,17 @@ def _children():
 
 
 def distinct_points(df: DataFrame, x: str, y: str) -> DataFrame:
-    """(px, py, w): distinct non-null coordinates with their multiplicity (partial agg before shuffle)."""
-    return (df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-              .groupBy(F.col(x).alias("px"), F.col(y).alias("py"))
-              .agg(F.count(F.lit(1)).alias("w")))
+    """(px, py, w): distinct coordinates with their multiplicity (partial agg before shuffle).
+
+    The NULL group is kept here and dropped by callers after materialising:
+    a null test on a computed coordinate would be pushed below its projection
+    and inline the whole formula into the filter.
+    """
+    return df.groupBy(F.col(x).alias("px"), F.col(y).alias("py")).agg(F.count(F.lit(1)).alias("w"))
+
+
+def _non_null(df: DataFrame) -> DataFrame:
+    return df.where(F.col("px").isNotNull() & F.col("py").isNotNull())
 
 
 def _maybe_broadcast(df: DataFrame, rows: int | None, limit: int) -> DataFrame:
@@ -71,7 +78,7 @@ def cluster_density(df: DataFrame, radius: float = K.DENSITY_RADIUS_M, x: str =
     refine.
     """
     eps = radius * 1e-9 if eps is None else eps
-    d = materialize(distinct_points(df, x, y))
+    d = _non_null(materialize(distinct_points(df, x, y)))
     px, py = F.col("px"), F.col("py")
 
     def at_level(frame: DataFrame, lvl: int, xc="px", yc="py") -> DataFrame:
@@ -146,8 +153,8 @@ def nearest_anchor(df: DataFrame, anchors: DataFrame | None, x: str = "x", y: st
     (lineage stays one round deep). No anchors ⇒ ``NO_ANCHOR_DIST`` / false.
     """
     spark = df.sparkSession
-    a = (anchors.where(F.col(ax).isNotNull() & F.col(ay).isNotNull())
-                .select(F.col(ax).alias("ax"), F.col(ay).alias("ay")).distinct()
+    a = (materialize(anchors.select(F.col(ax).alias("ax"), F.col(ay).alias("ay")).distinct())
+                    .where(F.col("ax").isNotNull() & F.col("ay").isNotNull())
          if anchors is not None else None)
     stats = a.agg(F.count(F.lit(1)).alias("n"), F.min("ax").alias("x0"), F.max("ax").alias("x1"),
                   F.min("ay").alias("y0"), F.max("ay").alias("y1")).first() if a is not None else None
@@ -158,8 +165,7 @@ def nearest_anchor(df: DataFrame, anchors: DataFrame | None, x: str = "x", y: st
     if start_cell is None:
         area = max((stats["x1"] - stats["x0"]) * (stats["y1"] - stats["y0"]), 1.0)
         start_cell = max(2.0 * math.sqrt(area / n_anchor), 1.0)
-    unresolved = (df.select(F.col(x).alias("px"), F.col(y).alias("py"))
-                    .where(F.col("px").isNotNull() & F.col("py").isNotNull()).distinct())
+    unresolved = df.select(F.col(x).alias("px"), F.col(y).alias("py")).distinct()
     resolved = []
     s = float(start_cell)
     for _ in range(max_rounds):
@@ -172,7 +178,7 @@ def nearest_anchor(df: DataFrame, anchors: DataFrame | None, x: str = "x", y: st
                 .groupBy("px", "py")
                 .agg(F.min(euclid(F.col("px"), F.col("py"), F.col("ax"), F.col("ay"))).alias("d"))
                 .withColumn("ok", F.col("d").isNotNull() & (F.col("d") <= s)))
-        cand = materialize(cand)
+        cand = _non_null(materialize(cand))
         resolved.append(cand.where("ok").select("px", "py", "d"))
         unresolved = cand.where(~F.col("ok")).select("px", "py")
         if unresolved.isEmpty():
@@ -220,9 +226,10 @@ def edges_from_rings(polys: DataFrame, area: str = "area", ordcol: str = "area_o
 
 def project_edges(edges: DataFrame, params: dict = K.LOCAL_TM) -> DataFrame:
     """Project edge endpoints to metres (edges stay straight between projected vertices)."""
-    x1, y1 = tm_forward(F.col("x1"), F.col("y1"), params=params)
-    x2, y2 = tm_forward(F.col("x2"), F.col("y2"), params=params)
-    return edges.withColumns({"x1": x1, "y1": y1, "x2": x2, "y2": y2})
+    e = project_local_m(edges, "x1", "y1", "_mx1", "_my1", params)
+    e = project_local_m(e, "x2", "y2", "_mx2", "_my2", params)
+    return (e.drop("x1", "y1", "x2", "y2")
+             .withColumnsRenamed({"_mx1": "x1", "_my1": "y1", "_mx2": "x2", "_my2": "y2"}))
 
 
 # ---------------------------------------------------------------------------
@@ -332,11 +339,13 @@ def assign_area(df: DataFrame, edges: DataFrame | None, lon: str = "longitude",
     n_strip = _count_strip_rows(edges, strip)
     inside = (point_in_area_pairs(pts, edges, strip, edge_rows=n_strip)
               .groupBy("px", "py").agg(F.min_by("area", "area_ord").alias("within")))
-    rest = pts.join(inside, ["px", "py"], "left_anti")
-    mx, my = tm_forward(F.col("px"), F.col("py"), params=params)
-    rest = rest.withColumns({"mx": mx, "my": my,
-                             "radius": F.when(F.col("py") > border_lat, F.lit(border_radius))
-                                        .otherwise(F.lit(mainland_radius))})
+    # one row per distinct point with its containing area (or NULL), written once:
+    # both the nearest-area pass and the final labels read it
+    per_pt = materialize(pts.join(inside, ["px", "py"], "left"))
+    inside = per_pt.where(F.col("within").isNotNull()).select("px", "py", "within")
+    rest = per_pt.where(F.col("within").isNull()).select("px", "py")
+    rest = project_local_m(rest, "px", "py", "mx", "my", params).withColumn(
+        "radius", F.when(F.col("py") > border_lat, F.lit(border_radius)).otherwise(F.lit(mainland_radius)))
     near = nearest_area_pairs(rest, project_edges(edges, params), max(border_radius, mainland_radius),
                               edge_rows=None).select("px", "py", F.col("area").alias("near"))
     lab = inside.select("px", "py", F.col("within").alias("lab")).unionByName(
