@@ -145,7 +145,7 @@ def cv_gbt(df: DataFrame, features: list[str], fold: str = "fold", label: str =
     ev = RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName="rmse")
     cv = CrossValidator(estimator=gbt_pipeline(features, label, **kw),
                         estimatorParamMaps=ParamGridBuilder().build(), evaluator=ev,
-                        foldCol=fold, numFolds=int(data.select(F.max(fold)).scalar() + 1))
+                        foldCol=fold, numFolds=int(data.agg(F.max(fold)).first()[0]) + 1)
     m = cv.fit(data)
     spark = df.sparkSession
     return spark.createDataFrame([(float(m.avgMetrics[0]), 2.0 * float(m.stdMetrics[0]))],

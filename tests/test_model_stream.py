@@ -90,3 +90,12 @@ def test_sink_versions_and_missing_scan(spark):
     assert p0.endswith("v=0") and p1.endswith("v=1")
     assert SC.read_latest(spark, root).count() == 2
     assert SC.scan_parquet(spark, root + "/missing", VENUES).count() == 0
+
+
+def test_cv_gbt_reports_mean_and_spread(spark):
+    from residuum.operators.ordering import kfold_contiguous
+    df = kfold_contiguous(_train_frame(spark), ["venue_id"])
+    r = M.cv_gbt(df, M.RETRAIN_FEATURES, max_iter=3, max_depth=2).first()
+    assert r.rmse_mean > 0 and r.rmse_2std >= 0
+    per = M.fold_rmse(M.cv_context_residual(df, ["category"]))
+    assert per.count() == 5
