@@ -115,7 +115,7 @@ def parsed(spark, sf):
 _MEMBERS = ("members", """SELECT CAST((rn - 1) // 20 AS BIGINT) AS batch_id, CAST((rn - 1) % 20 AS INTEGER) AS pos, name FROM (
   SELECT name, row_number() OVER (ORDER BY name) AS rn FROM (SELECT DISTINCT name FROM vce WHERE category_encoded = 'Other' AND name IS NOT NULL))""")
 _variants = "[" + ", ".join(O.lit(v) for v in STUB_VARIANTS) + "]"
-_LINES = ("lines", f"""SELECT batch_id, pos + 1 AS line_no,
+_LINES = ("lines", f"""SELECT batch_id, CAST(pos + 1 AS BIGINT) AS line_no,
   '- ' || CASE WHEN pos % 3 = 0 THEN substring(name, 1, 9) ELSE name END || ' | ' || {_variants}[(pos % {len(STUB_VARIANTS)}) + 1] AS line
 FROM members""")
 
@@ -459,7 +459,7 @@ def q_value_counts_head(spark, sf):
     return FE.value_counts(venues(spark, sf), "category").limit(5)
 
 
-@register("other_share", O.with_(O.V, O.TOPCAT, O.VCE) + """SELECT count_if(category_encoded = 'Other') AS remaining_other,
+@register("other_share", O.with_(O.V, O.TOPCAT, O.VCE) + """SELECT CAST(count_if(category_encoded = 'Other') AS BIGINT) AS remaining_other,
   round(100.0 * count_if(category_encoded = 'Other') / count(*), 6) AS other_pct FROM vce""")
 def q_other_share(spark, sf):
     b = with_bucket(spark, sf)

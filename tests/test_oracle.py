@@ -25,6 +25,10 @@ def _digest(rows, cols):
     return sorted("|".join(_norm(r[i]) for i in order) for r in rows)
 
 
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+         "array<int>": "INTEGER[]"}
+
+
 def _check(spark, con, sf, key):
     df = QUERIES[key](spark, sf)
     got = _digest([tuple(r) for r in df.collect()], df.columns)
@@ -32,6 +36,8 @@ def _check(spark, con, sf, key):
     cols = [d[0] for d in res.description]
     want = _digest(res.fetchall(), cols)
     assert sorted(df.columns) == sorted(cols)
+    duck_types = {r[0]: r[1] for r in con.execute(f"DESCRIBE {SQL[key]}").fetchall()}
+    assert {c: TYPES.get(t, t) for c, t in df.dtypes} == duck_types
     assert len(got) == len(want)
     assert hashlib.md5("\n".join(got).encode()).hexdigest() == hashlib.md5("\n".join(want).encode()).hexdigest(), \
         (sorted(set(got) - set(want))[:3], sorted(set(want) - set(got))[:3])
