@@ -62,7 +62,7 @@ def _maybe_broadcast(df: DataFrame, rows: int | None, limit: int) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def cluster_density(df: DataFrame, radius: float = K.DENSITY_RADIUS_M, x: str = "x", y: str = "y",
-                    out: str = "cluster_density", levels: int = 6, leaf_size: int = 32,
+                    out: str = "cluster_density", levels: int = 6, leaf_size: int = 64,
                     eps: float | None = None) -> DataFrame:
     """Number of *other* rows within ``radius`` (inclusive, Euclidean, same units as x/y).
 
