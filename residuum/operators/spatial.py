@@ -242,10 +242,8 @@ def _strip_edges(edges: DataFrame, h: float) -> DataFrame:
     return edges.withColumn("strip", F.explode(F.sequence(lo, hi)))
 
 
-def point_in_area_pairs(pts: DataFrame, edges: DataFrame, strip: float = 0.005,
-                        edge_rows: int | None = None,
-                        broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """(px, py, area, area_ord) for every polygon strictly containing the point.
+def _ray_test(pts: DataFrame, strip_edges: DataFrame, strip: float, keys: tuple = ()) -> DataFrame:
+    """(px, py, *keys, area, area_ord) for every polygon strictly containing (px, py).
 
     Even-odd ray casting towards +x: points join the edges of their horizontal
     strip (equi-join on the strip id) and count crossings per polygon; a point
@@ -253,9 +251,7 @@ def point_in_area_pairs(pts: DataFrame, edges: DataFrame, strip: float = 0.005,
     """
     px, py = F.col("px"), F.col("py")
     x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
-    e = _strip_edges(edges, strip)
-    e = _maybe_broadcast(e, edge_rows, broadcast_rows)
-    j = (pts.withColumn("strip", F.floor(py / strip)).join(e, "strip")
+    j = (pts.withColumn("strip", F.floor(py / strip)).join(strip_edges, "strip")
             .where(px <= F.greatest(x1, x2)))
     straddle = (y1 > py) != (y2 > py)
     xint = F.when(y2 != y1, x1 + (py - y1) * (x2 - x1) / (y2 - y1))
@@ -263,10 +259,49 @@ def point_in_area_pairs(pts: DataFrame, edges: DataFrame, strip: float = 0.005,
     on_edge = ((px >= F.least(x1, x2)) & (px <= F.greatest(x1, x2)) &
                (py >= F.least(y1, y2)) & (py <= F.greatest(y1, y2)) &
                ((x2 - x1) * (py - y1) - (y2 - y1) * (px - x1) == 0.0))
-    per = (j.groupBy("px", "py", "area", "area_ord")
+    per = (j.groupBy("px", "py", *keys, "area", "area_ord")
             .agg(F.sum(F.when(crosses, 1).otherwise(0)).alias("nc"),
                  F.max(on_edge.cast("int")).alias("oe")))
-    return per.where((F.col("nc") % 2 == 1) & (F.col("oe") == 0)).select("px", "py", "area", "area_ord")
+    return per.where((F.col("nc") % 2 == 1) & (F.col("oe") == 0)).select("px", "py", *keys, "area", "area_ord")
+
+
+def boundary_cells(edges: DataFrame, cell: float) -> DataFrame:
+    """Grid cells (cx, cy) touched by the bounding box of any edge.
+
+    ``floor(v / cell)`` is monotone, so any point of a segment lies in a cell
+    of its bounding-box range: a cell outside this set contains no boundary
+    point, and every point in it has the same containment for every polygon.
+    """
+    xs = F.sequence(F.floor(F.least("x1", "x2") / cell), F.floor(F.greatest("x1", "x2") / cell))
+    ys = F.sequence(F.floor(F.least("y1", "y2") / cell), F.floor(F.greatest("y1", "y2") / cell))
+    return edges.select(F.explode(xs).alias("cx"), ys.alias("_ys")).select("cx", F.explode("_ys").alias("cy")).distinct()
+
+
+def point_in_area_pairs(pts: DataFrame, edges: DataFrame, strip: float = 0.005, cell: float = 0.001,
+                        broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """(px, py, area, area_ord) for every polygon strictly containing the point.
+
+    Points are bucketed into grid cells. Points in a cell that no polygon
+    boundary touches take the label of the cell, decided once from the cell's
+    centre; only points in boundary cells are ray-tested individually. With
+    many points per cell the edge work grows with the number of distinct cells
+    and the boundary length, not with the number of points. The strip-edge and
+    boundary-cell tables are broadcast only when their measured size allows.
+    """
+    g = float(cell)
+    se = _strip_edges(edges, strip)
+    se = _maybe_broadcast(se, _count_strip_rows(edges, strip), broadcast_rows)
+    bc = materialize(boundary_cells(edges, g))
+    bc = _maybe_broadcast(bc.withColumn("_b", F.lit(True)), bc.count(), broadcast_rows)
+    p = materialize(pts.select("px", "py", F.floor(F.col("px") / g).alias("cx"), F.floor(F.col("py") / g).alias("cy"))
+                       .join(bc, ["cx", "cy"], "left"))
+    on_boundary = _ray_test(p.where(F.col("_b")).select("px", "py"), se, strip)
+    inner = p.where(F.col("_b").isNull()).select("px", "py", "cx", "cy")
+    centres = inner.select("cx", "cy").distinct().select(
+        "cx", "cy", ((F.col("cx") + 0.5) * g).alias("px"), ((F.col("cy") + 0.5) * g).alias("py"))
+    cell_hits = _ray_test(centres, se, strip, keys=("cx", "cy")).select("cx", "cy", "area", "area_ord")
+    in_cells = inner.join(cell_hits, ["cx", "cy"]).select("px", "py", "area", "area_ord")
+    return on_boundary.unionByName(in_cells)
 
 
 def point_in_area(df: DataFrame, edges: DataFrame, lon: str = "longitude", lat: str = "latitude",
@@ -278,7 +313,7 @@ def point_in_area(df: DataFrame, edges: DataFrame, lon: str = "longitude", lat:
     """
     pts = df.select(F.col(lon).alias("px"), F.col(lat).alias("py")) \
             .where(F.col("px").isNotNull() & F.col("py").isNotNull()).distinct()
-    hits = point_in_area_pairs(pts, edges, strip, edge_rows=_count_strip_rows(edges, strip))
+    hits = point_in_area_pairs(pts, edges, strip)
     if not fanout:
         hits = hits.groupBy("px", "py").agg(F.min_by("area", "area_ord").alias("area"))
     hits = hits.select("px", "py", F.col("area").alias(out))
@@ -336,8 +371,7 @@ def assign_area(df: DataFrame, edges: DataFrame | None, lon: str = "longitude",
         return df.withColumn(out, F.lit(unknown))
     pts = df.select(F.col(lon).alias("px"), F.col(lat).alias("py")) \
             .where(F.col("px").isNotNull() & F.col("py").isNotNull()).distinct()
-    n_strip = _count_strip_rows(edges, strip)
-    inside = (point_in_area_pairs(pts, edges, strip, edge_rows=n_strip)
+    inside = (point_in_area_pairs(pts, edges, strip)
               .groupBy("px", "py").agg(F.min_by("area", "area_ord").alias("within")))
     # one row per distinct point with its containing area (or NULL), written once:
     # both the nearest-area pass and the final labels read it
@@ -346,8 +380,14 @@ def assign_area(df: DataFrame, edges: DataFrame | None, lon: str = "longitude",
     rest = per_pt.where(F.col("within").isNull()).select("px", "py")
     rest = project_local_m(rest, "px", "py", "mx", "my", params).withColumn(
         "radius", F.when(F.col("py") > border_lat, F.lit(border_radius)).otherwise(F.lit(mainland_radius)))
-    near = nearest_area_pairs(rest, project_edges(edges, params), max(border_radius, mainland_radius),
-                              edge_rows=None).select("px", "py", F.col("area").alias("near"))
+    # one pass per radius class, each with cells of its own radius: a 100 m
+    # border search scans 100 m cells, not the 2 km mainland cells
+    edges_m = project_edges(edges, params)
+    near = None
+    for r in sorted({float(border_radius), float(mainland_radius)}):
+        part = nearest_area_pairs(rest.where(F.col("radius") == r), edges_m, r)
+        near = part if near is None else near.unionByName(part)
+    near = near.select("px", "py", F.col("area").alias("near"))
     lab = inside.select("px", "py", F.col("within").alias("lab")).unionByName(
         near.select("px", "py", F.col("near").alias("lab")))
     res = df.join(lab, (df[lon] == lab["px"]) & (df[lat] == lab["py"]), "left")
