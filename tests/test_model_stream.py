@@ -99,3 +99,25 @@ def test_cv_gbt_reports_mean_and_spread(spark):
     assert r.rmse_mean > 0 and r.rmse_2std >= 0
     per = M.fold_rmse(M.cv_context_residual(df, ["category"]))
     assert per.count() == 5
+
+
+def test_pipelines_build_refresh_serve(spark):
+    from residuum.catalog import venues
+    from residuum.plans import pipelines as P
+    from residuum.plans.serve import FilterSpec
+    from residuum.sources import fixtures as FX
+    from residuum.operators import spatial as S
+    raw = venues(spark, SF_SMALL)
+    edges = S.edges_from_rectangles(FX.areas_fx(spark, SF_SMALL))
+    built = P.build(raw, FX.anchors_fx(spark, SF_SMALL), edges, max_iter=3, max_depth=2,
+                    table_root=shared_path(spark, "t_build"))
+    assert {"residual", "planning_area", "cluster_density", "dist_to_hawker"} <= set(built.table.columns)
+    lex = {"Even": ["0", "2", "4"], "Odd": ["1", "3"]}
+    classifier = lambda prompt: ""          # answers nothing: leftovers stay Other
+    ref = P.refresh(built.table, lex, classifier, max_iter=3, max_depth=2)
+    names = ref.table.select("name").where(F.col("name").isNotNull())
+    assert names.count() == names.distinct().count()
+    assert {r.category for r in ref.table.select("category").distinct().collect()} <= {"Even", "Odd", "Other"}
+    top, tips, count, view = P.serve(ref.table, FilterSpec(min_rating=0.0, min_reviews=0), k=5)
+    assert top.count() == 5 and tips.count() == count.first().visible
+    assert view.first().zoom == 11
