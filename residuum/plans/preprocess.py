@@ -11,7 +11,6 @@ distances of their wrong location — pass ``overrides_first=False`` for that).
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from residuum.functions import columns as C
 from residuum.functions import constants as K

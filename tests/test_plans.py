@@ -1,6 +1,5 @@
 """Plan-shape tests: the physical plans keep the properties the design relies on."""
 
-from pyspark.sql import functions as F
 
 from residuum.functions.geo import project_local_m
 from residuum.operators import classify as CL
