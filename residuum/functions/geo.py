@@ -38,26 +38,23 @@ def _tm_constants(params: dict, a: float = WGS84_A, f: float = WGS84_F) -> dict:
                 fe=params["false_easting"], fn=params["false_northing"])
 
 
-def _same(name, value):
-    return value
+def _same(**named):
+    return list(named.values())
 
 
 def tm_forward(lon, lat, m=SPARK_MATH, params: dict = LOCAL_TM, bind=_same):
     """(easting, northing) in metres for lon/lat degrees, on any math backend.
 
-    ``bind(name, value)`` may turn an intermediate into a reference (the Spark
-    version binds them as columns so each is computed once).
+    ``bind(**named)`` may turn one layer of intermediates into references (the
+    Spark version binds each layer as columns so each value is computed once).
     """
     c = _tm_constants(params)
-    phi = bind("phi", lat * DEG)
-    s, co, t = bind("s", m.sin(phi)), bind("co", m.cos(phi)), bind("t", m.tan(phi))
-    nu = bind("nu", c["a"] / m.sqrt(1.0 - c["e2"] * s * s))
-    tt = bind("tt", t * t)
-    cc = bind("cc", c["ep2"] * co * co)
-    aa = bind("aa", (lon - c["lon0"]) * DEG * co)
-    aa2 = bind("aa2", aa * aa)
-    aa3 = bind("aa3", aa2 * aa)
-    aa4 = bind("aa4", aa2 * aa2)
+    phi, = bind(phi=lat * DEG)
+    s, co, t = bind(s=m.sin(phi), co=m.cos(phi), t=m.tan(phi))
+    nu, tt, cc, aa = bind(nu=c["a"] / m.sqrt(1.0 - c["e2"] * s * s), tt=t * t, cc=c["ep2"] * co * co,
+                          aa=(lon - c["lon0"]) * DEG * co)
+    aa2, = bind(aa2=aa * aa)
+    aa3, aa4 = bind(aa3=aa2 * aa, aa4=aa2 * aa2)
     aa5 = aa4 * aa
     aa6 = aa3 * aa3
     mer = c["a"] * (c["m1"] * phi - c["m2"] * m.sin(2.0 * phi)
@@ -76,16 +73,16 @@ def web_mercator(lon, lat, m=SPARK_MATH, r: float = WEB_MERCATOR_R):
 
 
 class _ColumnBinder:
-    """Adds each bound intermediate as a temporary column of the frame."""
+    """Adds each layer of bound intermediates as temporary columns of the frame."""
 
     def __init__(self, df: DataFrame, prefix: str):
         self.df, self.prefix, self.names = df, prefix, []
 
-    def __call__(self, name: str, value: Column) -> Column:
-        col_name = f"{self.prefix}{name}"
-        self.df = self.df.withColumn(col_name, value)
-        self.names.append(col_name)
-        return F.col(col_name)
+    def __call__(self, **named: Column) -> list[Column]:
+        cols = {f"{self.prefix}{k}": v for k, v in named.items()}
+        self.df = self.df.withColumns(cols)
+        self.names.extend(cols)
+        return [F.col(n) for n in cols]
 
 
 def project_local_m(df: DataFrame, lon: str = "longitude", lat: str = "latitude",

@@ -77,8 +77,21 @@ def cluster_density(df: DataFrame, radius: float = K.DENSITY_RADIUS_M, x: str =
     the shared folder; the loop stops at the first level with nothing left to
     refine.
     """
-    eps = radius * 1e-9 if eps is None else eps
     d = _non_null(materialize(distinct_points(df, x, y)))
+    counts = density_points(d, radius, levels, leaf_size, eps)
+    return (df.join(counts, (df[x] == counts["px"]) & (df[y] == counts["py"]), "left")
+              .withColumn(out, F.when(F.col(x).isNotNull() & F.col(y).isNotNull(),
+                                      F.coalesce(F.col("_n"), F.lit(1)) - 1).cast("bigint"))
+              .drop("px", "py", "_n"))
+
+
+def density_points(d: DataFrame, radius: float = K.DENSITY_RADIUS_M, levels: int = 6,
+                   leaf_size: int = 64, eps: float | None = None) -> DataFrame:
+    """(px, py, _n): total weight within ``radius`` of each distinct point (itself included).
+
+    ``d`` holds distinct, non-null points with weights ``w`` (see ``cluster_density``).
+    """
+    eps = radius * 1e-9 if eps is None else eps
     px, py = F.col("px"), F.col("py")
 
     def at_level(frame: DataFrame, lvl: int, xc="px", yc="py") -> DataFrame:
@@ -127,11 +140,7 @@ def cluster_density(df: DataFrame, radius: float = K.DENSITY_RADIUS_M, x: str =
     total = parts[0]
     for p in parts[1:]:
         total = total.unionByName(p)
-    counts = total.groupBy("px", "py").agg(F.sum("n").alias("_n"))
-    return (df.join(counts, (df[x] == counts["px"]) & (df[y] == counts["py"]), "left")
-              .withColumn(out, F.when(F.col(x).isNotNull() & F.col(y).isNotNull(),
-                                      F.coalesce(F.col("_n"), F.lit(1)) - 1).cast("bigint"))
-              .drop("px", "py", "_n"))
+    return total.groupBy("px", "py").agg(F.sum("n").alias("_n"))
 
 
 # ---------------------------------------------------------------------------
@@ -152,20 +161,32 @@ def nearest_anchor(df: DataFrame, anchors: DataFrame | None, x: str = "x", y: st
     cell. Each round's per-point result is checkpointed to the shared folder
     (lineage stays one round deep). No anchors ⇒ ``NO_ANCHOR_DIST`` / false.
     """
-    spark = df.sparkSession
+    best = nearest_points(df.select(F.col(x).alias("px"), F.col(y).alias("py")).distinct(),
+                          anchors, ax, ay, start_cell, growth, max_rounds, broadcast_rows)
+    if best is None:
+        return df.withColumns({dist_col: F.lit(K.NO_ANCHOR_DIST),
+                               flag_col: F.lit(K.NO_ANCHOR_DIST < flag_m)})
+    out = df.join(best, (df[x] == best["px"]) & (df[y] == best["py"]), "left")
+    return (out.withColumn(dist_col, F.col("d"))
+               .withColumn(flag_col, F.col("d") < flag_m)
+               .drop("px", "py", "d"))
+
+
+def nearest_points(unresolved: DataFrame, anchors: DataFrame | None, ax: str = "x", ay: str = "y",
+                   start_cell: float | None = None, growth: float = 4.0, max_rounds: int = 64,
+                   broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame | None:
+    """(px, py, d) for distinct points (px, py); None when there are no anchors."""
     a = (materialize(anchors.select(F.col(ax).alias("ax"), F.col(ay).alias("ay")).distinct())
                     .where(F.col("ax").isNotNull() & F.col("ay").isNotNull())
          if anchors is not None else None)
     stats = a.agg(F.count(F.lit(1)).alias("n"), F.min("ax").alias("x0"), F.max("ax").alias("x1"),
                   F.min("ay").alias("y0"), F.max("ay").alias("y1")).first() if a is not None else None
     if stats is None or stats["n"] == 0:
-        return df.withColumns({dist_col: F.lit(K.NO_ANCHOR_DIST),
-                               flag_col: F.lit(K.NO_ANCHOR_DIST < flag_m)})
+        return None
     n_anchor = stats["n"]
     if start_cell is None:
         area = max((stats["x1"] - stats["x0"]) * (stats["y1"] - stats["y0"]), 1.0)
         start_cell = max(2.0 * math.sqrt(area / n_anchor), 1.0)
-    unresolved = df.select(F.col(x).alias("px"), F.col(y).alias("py")).distinct()
     resolved = []
     s = float(start_cell)
     for _ in range(max_rounds):
@@ -189,10 +210,7 @@ def nearest_anchor(df: DataFrame, anchors: DataFrame | None, x: str = "x", y: st
     best = resolved[0]
     for r in resolved[1:]:
         best = best.unionByName(r)
-    out = df.join(best, (df[x] == best["px"]) & (df[y] == best["py"]), "left")
-    return (out.withColumn(dist_col, F.col("d"))
-               .withColumn(flag_col, F.col("d") < flag_m)
-               .drop("px", "py", "d"))
+    return best
 
 
 # ---------------------------------------------------------------------------
@@ -371,6 +389,20 @@ def assign_area(df: DataFrame, edges: DataFrame | None, lon: str = "longitude",
         return df.withColumn(out, F.lit(unknown))
     pts = df.select(F.col(lon).alias("px"), F.col(lat).alias("py")) \
             .where(F.col("px").isNotNull() & F.col("py").isNotNull()).distinct()
+    lab = area_points(pts, edges, border_lat, border_radius, mainland_radius, strip, params)
+    res = df.join(lab, (df[lon] == lab["px"]) & (df[lat] == lab["py"]), "left")
+    return res.withColumn(out, area_label(F.col("lab"), F.col(lat), cutoff_lat, outside)).drop("px", "py", "lab")
+
+
+def area_label(lab, lat, cutoff_lat: float | None = K.HARD_CUTOFF_LAT, outside: str = K.OUTSIDE_AREA):
+    label = F.coalesce(lab, F.lit(outside))
+    return label if cutoff_lat is None else F.when(lat > cutoff_lat, F.lit(outside)).otherwise(label)
+
+
+def area_points(pts: DataFrame, edges: DataFrame, border_lat: float = K.BORDER_LAT,
+                border_radius: float = K.BORDER_RADIUS_M, mainland_radius: float = K.MAINLAND_RADIUS_M,
+                strip: float = 0.005, params: dict = K.LOCAL_TM) -> DataFrame:
+    """(px=lon, py=lat, lab) for distinct points that are inside a polygon or near one."""
     inside = (point_in_area_pairs(pts, edges, strip)
               .groupBy("px", "py").agg(F.min_by("area", "area_ord").alias("within")))
     # one row per distinct point with its containing area (or NULL), written once:
@@ -387,11 +419,44 @@ def assign_area(df: DataFrame, edges: DataFrame | None, lon: str = "longitude",
     for r in sorted({float(border_radius), float(mainland_radius)}):
         part = nearest_area_pairs(rest.where(F.col("radius") == r), edges_m, r)
         near = part if near is None else near.unionByName(part)
-    near = near.select("px", "py", F.col("area").alias("near"))
-    lab = inside.select("px", "py", F.col("within").alias("lab")).unionByName(
-        near.select("px", "py", F.col("near").alias("lab")))
-    res = df.join(lab, (df[lon] == lab["px"]) & (df[lat] == lab["py"]), "left")
-    label = F.coalesce(F.col("lab"), F.lit(outside))
-    if cutoff_lat is not None:
-        label = F.when(F.col(lat) > cutoff_lat, F.lit(outside)).otherwise(label)
-    return res.withColumn(out, label).drop("px", "py", "lab")
+    return inside.select("px", "py", F.col("within").alias("lab")).unionByName(
+        near.select("px", "py", F.col("area").alias("lab")))
+
+
+# ---------------------------------------------------------------------------
+# all three point features in one pass
+# ---------------------------------------------------------------------------
+
+def spatial_features(df: DataFrame, anchors: DataFrame | None, edges: DataFrame | None,
+                     lon: str = "longitude", lat: str = "latitude", radius: float = K.DENSITY_RADIUS_M,
+                     flag_m: float = K.ANCHOR_FLAG_M, params: dict = K.LOCAL_TM,
+                     cutoff_lat: float | None = K.HARD_CUTOFF_LAT) -> DataFrame:
+    """dist_to_hawker, is_hawker, cluster_density and planning_area in one pass.
+
+    The three features depend only on the coordinate, so they are computed on
+    the distinct coordinates (with multiplicities, projected once and
+    checkpointed) and joined back to the rows in a single join — one shuffle
+    of the wide table instead of one per feature. ``anchors`` carry lon/lat.
+    """
+    g = (df.groupBy(F.col(lon).alias("_lon"), F.col(lat).alias("_lat")).agg(F.count(F.lit(1)).alias("w")))
+    g = materialize(project_local_m(g, "_lon", "_lat", "px", "py", params)) \
+        .where(F.col("_lon").isNotNull() & F.col("_lat").isNotNull())
+    a = project_local_m(anchors, params=params) if anchors is not None else None
+    nn = nearest_points(g.select("px", "py"), a)
+    dens = density_points(g.groupBy("px", "py").agg(F.sum("w").alias("w")), radius)
+    per = g.join(dens, ["px", "py"], "left")
+    per = per.join(nn, ["px", "py"], "left") if nn is not None else per.withColumn("d", F.lit(K.NO_ANCHOR_DIST))
+    if edges is not None:
+        lab = area_points(g.select(F.col("_lon").alias("px"), F.col("_lat").alias("py")), edges, params=params)
+        per = per.join(lab.withColumnsRenamed({"px": "_lon", "py": "_lat"}), ["_lon", "_lat"], "left")
+    per = per.select("_lon", "_lat", "d", "_n", *(["lab"] if edges is not None else []))
+    out = df.join(per, (df[lon] == per["_lon"]) & (df[lat] == per["_lat"]), "left")
+    ok = F.col(lon).isNotNull() & F.col(lat).isNotNull()
+    out = out.withColumns({
+        "dist_to_hawker": F.when(ok, F.col("d")),
+        "is_hawker": F.when(ok, F.col("d") < flag_m),
+        "cluster_density": F.when(ok, F.col("_n") - 1).cast("bigint"),
+        "planning_area": (area_label(F.col("lab"), F.col(lat), cutoff_lat) if edges is not None
+                          else F.lit(K.UNKNOWN_AREA)),
+    })
+    return out.drop("_lon", "_lat", "d", "_n", "lab")

@@ -23,19 +23,25 @@ from residuum.sources.schema import require_columns
 def preprocess(df: DataFrame, anchors: DataFrame | None, edges: DataFrame | None,
                overrides=K.COORD_OVERRIDES, overrides_first: bool = True) -> DataFrame:
     """venues → + log_reviews, is_chain, dist_to_hawker, is_hawker, category_encoded,
-    cluster_density, price_level_num, planning_area."""
+    cluster_density, price_level_num, planning_area.
+
+    The coordinate features are computed together on distinct coordinates and
+    joined back once (``spatial_features``); with ``overrides_first=False``
+    they use two coordinate sets, so they are chained instead.
+    """
     require_columns(df, "longitude", "latitude")
     out = add_features(df)
     out = is_chain(out)
+    out = top_category_bucket(out)
     use_overrides = edges is not None and overrides
     if use_overrides and overrides_first:
         out = C.coord_overrides(out, overrides)
+    if not (use_overrides and not overrides_first):
+        # all coordinate features from one pass over the distinct coordinates
+        return S.spatial_features(out, anchors, edges)
+    # original order: distances on the scraped point, areas on the corrected one
     out = project_local_m(out)
     a = project_local_m(anchors) if anchors is not None else None
-    out = S.nearest_anchor(out, a)
-    out = top_category_bucket(out)
-    out = S.cluster_density(out)
-    if use_overrides and not overrides_first:
-        out = C.coord_overrides(out, overrides)
-    out = S.assign_area(out, edges)
-    return out.drop("x", "y")
+    out = S.cluster_density(S.nearest_anchor(out, a))
+    out = C.coord_overrides(out, overrides)
+    return S.assign_area(out, edges).drop("x", "y")

@@ -96,3 +96,20 @@ def test_assign_area_radius_and_cutoffs(spark):
     assert got == {1: "R", 2: "R", 3: "R", 4: "Outside Singapore", 5: "Outside Singapore",
                    6: "Outside Singapore", 7: "R"}
     assert {r.planning_area for r in S.assign_area(df, None).collect()} == {"Unknown"}
+
+
+def test_one_pass_features_equal_separate_operators(spark):
+    from residuum.functions.geo import project_local_m
+    from residuum.sources import fixtures as FX
+    sf = "/root/testdata/sf0.01"
+    v = FX.venues_fx(spark, sf)
+    anchors = FX.anchors_fx(spark, sf)
+    edges = S.edges_from_rectangles(FX.areas_fx(spark, sf))
+    one = S.spatial_features(v, anchors, edges).select(
+        "venue_id", "dist_to_hawker", "is_hawker", "cluster_density", "planning_area")
+    sep = S.assign_area(S.cluster_density(S.nearest_anchor(project_local_m(v), project_local_m(anchors))), edges)
+    sep = sep.select("venue_id", "dist_to_hawker", "is_hawker", "cluster_density", "planning_area")
+    assert one.count() == sep.count() == v.count()
+    assert one.exceptAll(sep).count() == 0
+    none = S.spatial_features(v, None, None).select("dist_to_hawker", "planning_area").distinct().collect()
+    assert [(r.dist_to_hawker, r.planning_area) for r in none] == [(9999.0, "Unknown")]
