@@ -121,3 +121,33 @@ def test_pipelines_build_refresh_serve(spark):
     top, tips, count, view = P.serve(ref.table, FilterSpec(min_rating=0.0, min_reviews=0), k=5)
     assert top.count() == 5 and tips.count() == count.first().visible
     assert view.first().zoom == 11
+
+
+def test_geojson_collection_multipolygon_and_fallbacks(spark):
+    import json
+    import os
+    from residuum.operators import spatial as S
+    from residuum.sources import geo_files as G
+    root = shared_path(spark, "t_geojson")
+    os.makedirs(root, exist_ok=True)
+    sq = lambda x0, y0, x1, y1: [[x0, y0], [x1, y0], [x1, y1], [x0, y1], [x0, y0]]
+    fc = {"type": "FeatureCollection", "features": [
+        {"type": "Feature", "properties": {"name": "P"}, "geometry": {"type": "Polygon", "coordinates": [sq(0, 0, 2, 2)]}},
+        {"type": "Feature", "properties": {"name": "M"},
+         "geometry": {"type": "MultiPolygon", "coordinates": [[sq(5, 0, 6, 1)], [sq(7, 0, 8, 1)]]}},
+        {"type": "Feature", "properties": {"name": "pt"}, "geometry": {"type": "Point", "coordinates": [1.5, 2.5]}}]}
+    path = os.path.join(root, "areas.geojson")
+    with open(path, "w") as f:
+        json.dump(fc, f, indent=2)                      # multi-line document
+    feats = G.scan_geojson(spark, path)
+    assert feats.count() == 3
+    e = S.edges_from_rings(G.geojson_rings(feats))
+    pts = spark.createDataFrame([(1, 1.0, 1.0), (2, 7.5, 0.5), (3, 6.5, 0.5)], "venue_id long, longitude double, latitude double")
+    got = {r.venue_id: r.area_within for r in S.point_in_area(pts, e, strip=0.5).collect()}
+    assert got == {1: "P", 2: "M", 3: None}
+    anchors = G.geojson_points(feats).collect()
+    assert [(a.longitude, a.latitude) for a in anchors] == [(1.5, 2.5)]
+    assert G.load_anchors(spark, path, None).count() == 1
+    assert G.load_areas(spark, os.path.join(root, "missing.geojson")) is None
+    seeds = G.load_seeds(spark, None).collect()
+    assert [(s.latitude, s.longitude) for s in seeds] == [(1.3521, 103.8198)]
