@@ -131,4 +131,4 @@ def q_stream_dedup_best(spark, sf):
     src = _drop_files(spark, sf)
     table, ck = shared_path(spark, "best"), shared_path(spark, "best_ckpt")
     ST.stream_dedup_best(spark, src, VENUES, table, ck)
-    return SC.read_latest(spark, table, VENUES)
+    return ST.read_bucketed(spark, table, VENUES)

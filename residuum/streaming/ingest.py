@@ -10,6 +10,8 @@ appends scraped rows to one parquet file. Here:
   (``trigger(availableNow=True)`` processes the backlog and stops), and
   ``foreachBatch`` writes each micro-batch idempotently keyed by ``batch_id``.
   A rerun with the same checkpoint adds nothing; a failed batch is retried.
+  The keep-best table is hash-bucketed so a batch rewrites only the buckets
+  its keys touch.
 """
 
 from __future__ import annotations
@@ -59,21 +61,67 @@ def read_ingested(spark: SparkSession, sink_root: str, schema: T.StructType) ->
     return spark.read.schema(schema).parquet(sink_root)
 
 
+def _bucket_versions(spark: SparkSession, root: str) -> dict[int, list[int]]:
+    """{bucket: [complete versions containing it]} from the folder listing (metadata only)."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    rp = jvm.org.apache.hadoop.fs.Path(root)
+    fs = rp.getFileSystem(conf)
+    out: dict[int, list[int]] = {}
+    if not fs.exists(rp):
+        return out
+    for vs in fs.listStatus(rp):
+        vn = vs.getPath().getName()
+        if not (vn.startswith("v=") and vn[2:].isdigit()):
+            continue
+        if not fs.exists(jvm.org.apache.hadoop.fs.Path(vs.getPath(), "_SUCCESS")):
+            continue
+        for bs in fs.listStatus(vs.getPath()):
+            bn = bs.getPath().getName()
+            if bn.startswith("bucket=") and bn[7:].lstrip("-").isdigit():
+                out.setdefault(int(bn[7:]), []).append(int(vn[2:]))
+    return out
+
+
+def read_bucketed(spark: SparkSession, root: str, schema: T.StructType, buckets: list[int] | None = None,
+                  before_version: int | None = None) -> DataFrame:
+    """Newest complete version of each bucket (optionally only versions < ``before_version``)."""
+    paths = []
+    for b, versions in _bucket_versions(spark, root).items():
+        if buckets is not None and b not in buckets:
+            continue
+        vs = [v for v in versions if before_version is None or v < before_version]
+        if vs:
+            paths.append(f"{root.rstrip('/')}/v={max(vs)}/bucket={b}")
+    if not paths:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*paths)
+
+
 def stream_dedup_best(spark: SparkSession, source_dir: str, schema: T.StructType, table_root: str,
                       checkpoint: str, key: str = "name", order: str = "review_count",
-                      tiebreak: str = "venue_id", fmt: str = "parquet"):
+                      tiebreak: str = "venue_id", fmt: str = "parquet", buckets: int = 64):
     """Keep-best-per-key table maintained across micro-batches.
 
-    Each batch is merged with the current version (union → keep-best) and
-    written as version ``v=<batch_id+1>``; readers take the newest complete
-    version. Replaying a batch rewrites the same version (idempotent).
+    The table is hash-bucketed by key. Batch ``k`` reads only the buckets its
+    keys fall in (newest versions before ``k+1``), merges them with the batch
+    (keep-best) and writes those buckets as version ``v=k+1``; untouched buckets
+    are not rewritten. Replaying a batch recomputes the same version from the
+    same inputs (idempotent). Readers use ``read_bucketed``. ``buckets`` is part
+    of the table's layout and must stay the same for the life of the table.
     """
     stream = spark.readStream.schema(schema).format(fmt).load(source_dir)
+    bucket = F.pmod(F.xxhash64(F.col(key)), F.lit(buckets))
 
     def merge(batch: DataFrame, batch_id: int):
-        current = SC.read_latest(batch.sparkSession, table_root, schema)
-        merged = dedup_best(current.unionByName(batch.select(*schema.fieldNames())), key, order, tiebreak)
-        SC.sink_parquet(merged, table_root, version=batch_id + 1)
+        b = batch.select(*schema.fieldNames())
+        touched = [r[0] for r in b.select(bucket.alias("b")).distinct().collect()]   # ≤ `buckets` ints
+        if not touched:
+            return
+        current = read_bucketed(batch.sparkSession, table_root, schema, touched, before_version=batch_id + 1)
+        merged = dedup_best(current.unionByName(b), key, order, tiebreak).withColumn("bucket", bucket)
+        (merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket")
+               .parquet(f"{table_root.rstrip('/')}/v={batch_id + 1}"))
 
     q = (stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
                .trigger(availableNow=True).start())
