@@ -4,6 +4,8 @@ import math
 import random
 
 
+from pyspark.sql import functions as F
+
 from residuum.operators import spatial as S
 
 
@@ -113,3 +115,18 @@ def test_one_pass_features_equal_separate_operators(spark):
     assert one.exceptAll(sep).count() == 0
     none = S.spatial_features(v, None, None).select("dist_to_hawker", "planning_area").distinct().collect()
     assert [(r.dist_to_hawker, r.planning_area) for r in none] == [(9999.0, "Unknown")]
+
+
+def test_point_in_polygon_cell_path_equals_direct_path(spark):
+    import random
+    rnd = random.Random(11)
+    # dense: many points per 0.7-wide cell, so the boundary-cell path is taken
+    pts = [(i, round(rnd.uniform(-1, 25), 3), round(rnd.uniform(-1, 11), 3)) for i in range(3000)]
+    pts += [(3000 + i, 9.0, float(i % 11)) for i in range(50)]        # on / near edges
+    df = spark.createDataFrame(pts, "venue_id long, longitude double, latitude double")
+    e = _poly_edges(spark)
+    p = df.select(F.col("longitude").alias("px"), F.col("latitude").alias("py")).distinct()
+    cells = S.point_in_area_pairs(p, e, strip=0.7, cell=0.7, min_points_per_cell=1.0)
+    direct = S.point_in_area_pairs(p, e, strip=0.7, cell=0.7, min_points_per_cell=1e9)
+    assert cells.count() == direct.count() > 0
+    assert cells.exceptAll(direct).count() == 0
