@@ -460,9 +460,10 @@ def spatial_features(df: DataFrame, anchors: DataFrame | None, edges: DataFrame
     per = per.select("_lon", "_lat", "d", "_n", *(["lab"] if edges is not None else []))
     out = df.join(per, (df[lon] == per["_lon"]) & (df[lat] == per["_lat"]), "left")
     ok = F.col(lon).isNotNull() & F.col(lat).isNotNull()
+    dist = F.when(ok, F.col("d")) if nn is not None else F.lit(K.NO_ANCHOR_DIST)   # no anchors: every row
     out = out.withColumns({
-        "dist_to_hawker": F.when(ok, F.col("d")),
-        "is_hawker": F.when(ok, F.col("d") < flag_m),
+        "dist_to_hawker": dist,
+        "is_hawker": dist < flag_m,
         "cluster_density": F.when(ok, F.col("_n") - 1).cast("bigint"),
         "planning_area": (area_label(F.col("lab"), F.col(lat), cutoff_lat) if edges is not None
                           else F.lit(K.UNKNOWN_AREA)),
