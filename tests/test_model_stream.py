@@ -104,9 +104,9 @@ def test_cv_gbt_reports_mean_and_spread(spark):
     assert per.count() == 5
 
 
-def test_pipelines_build_refresh_serve(spark):
+def test_jobs_build_refresh_serve(spark):
     from residuum.catalog import venues
-    from residuum.plans import pipelines as P
+    from residuum.plans import jobs as P
     from residuum.plans.serve import FilterSpec
     from residuum.sources import fixtures as FX
     from residuum.operators import spatial as S
