@@ -127,8 +127,19 @@ def ordinal_encode(df: DataFrame, column: str, out: str | None = None) -> DataFr
     return m.transform(df).withColumn(out, F.col(out).cast("bigint"))
 
 
+def _max_bins(data: DataFrame, features: list[str], floor: int = 32) -> int:
+    """Bins enough for the largest categorical feature (its categories + the 'unseen' slot)."""
+    cats = [f for f in features if f in CATEGORICAL]
+    if not cats:
+        return floor
+    row = data.agg(*[F.countDistinct(c).alias(c) for c in cats]).first()
+    return max(floor, max(row[c] for c in cats) + 2)
+
+
 def fit_gbt(df: DataFrame, features: list[str], label: str = "rating", **kw) -> PipelineModel:
-    return gbt_pipeline(features, label, **kw).fit(prepare_features(df, features, label))
+    data = prepare_features(df, features, label)
+    kw.setdefault("max_bins", _max_bins(data, features))
+    return gbt_pipeline(features, label, **kw).fit(data)
 
 
 def gbt_residuals(model: PipelineModel, df: DataFrame, features: list[str], label: str = "rating",
@@ -142,6 +153,7 @@ def gbt_residuals(model: PipelineModel, df: DataFrame, features: list[str], labe
 def cv_gbt(df: DataFrame, features: list[str], fold: str = "fold", label: str = "rating", **kw) -> DataFrame:
     """5-fold CV with user folds; returns (rmse_mean, rmse_2std) like the original report."""
     data = prepare_features(df, features, label)
+    kw.setdefault("max_bins", _max_bins(data, features))
     ev = RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName="rmse")
     cv = CrossValidator(estimator=gbt_pipeline(features, label, **kw),
                         estimatorParamMaps=ParamGridBuilder().build(), evaluator=ev,

@@ -154,3 +154,9 @@ def test_geojson_collection_multipolygon_and_fallbacks(spark):
     assert G.load_areas(spark, os.path.join(root, "missing.geojson")) is None
     seeds = G.load_seeds(spark, None).collect()
     assert [(s.latitude, s.longitude) for s in seeds] == [(1.3521, 103.8198)]
+
+
+def test_gbt_handles_many_categories(spark):
+    df = _train_frame(spark).withColumn("planning_area", F.concat(F.lit("A"), (F.col("venue_id") % 300).cast("string")))
+    model = M.fit_gbt(df, M.RETRAIN_FEATURES, max_iter=2, max_depth=2)
+    assert M.gbt_residuals(model, df, M.RETRAIN_FEATURES).count() > 0
