@@ -49,6 +49,7 @@ class FilterSpec:
     min_rating: float = K.DEFAULT_MIN_RATING
     min_reviews: int = K.DEFAULT_MIN_REVIEWS
     gems_only: bool = False
+    hide_anchor_sites: bool = False      # optional: drop rows flagged is_hawker (off by default)
 
 
 def user_filters(df: DataFrame, spec: FilterSpec = FilterSpec(), area: str = "planning_area",
@@ -61,6 +62,8 @@ def user_filters(df: DataFrame, spec: FilterSpec = FilterSpec(), area: str = "pl
     out = out.where((F.col("rating") >= spec.min_rating) & (F.col("review_count") >= spec.min_reviews))
     if spec.gems_only:
         out = out.where(F.col("residual") >= K.GEM_THRESHOLD)
+    if spec.hide_anchor_sites:
+        out = out.where(~F.coalesce(F.col("is_hawker"), F.lit(False)))
     return out
 
 

@@ -171,6 +171,8 @@ def test_user_filters(spark):
     assert user_filters(df).count() == 3
     assert user_filters(df, FilterSpec(gems_only=True)).count() == 2
     assert user_filters(df, FilterSpec(cuisine="Thai", area="A", gems_only=True)).count() == 1
+    flagged = df.withColumn("is_hawker", F.col("category") == "Malay")
+    assert user_filters(flagged, FilterSpec(hide_anchor_sites=True)).count() == 2
 
 
 def test_price_and_log(spark):
