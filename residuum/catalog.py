@@ -403,15 +403,16 @@ def q_point_in_area(spark, sf):
 @register("nearest_area", O.with_(O.V, O.AR, O.WITHIN, O.EDGES_M, O.NEAR) +
           "SELECT w.venue_id, n.near_area FROM within w LEFT JOIN near n ON w.venue_id = n.venue_id WHERE w.area_within IS NULL")
 def q_nearest_area(spark, sf):
+    """Nearest polygon within the per-row radius for rows inside no polygon (NULL if none)."""
     v = venues(spark, sf)
     e = edges(spark, sf)
-    inside = project_local_m(S.point_in_area(v, e).where(F.col("area_within").isNull()), x="mx", y="my")
-    pts = inside.select(F.col("venue_id").alias("px"), F.lit(0.0).alias("py"), "mx", "my",
-                        F.when(F.col("latitude") > K.BORDER_LAT, F.lit(K.BORDER_RADIUS_M))
-                         .otherwise(F.lit(K.MAINLAND_RADIUS_M)).alias("radius"))
+    outside = S.point_in_area(v, e).where(F.col("area_within").isNull()).select("venue_id", "longitude", "latitude")
+    pts = outside.select(F.col("longitude").alias("px"), F.col("latitude").alias("py")).distinct()
+    pts = project_local_m(pts, "px", "py", "mx", "my").withColumn(
+        "radius", F.when(F.col("py") > K.BORDER_LAT, F.lit(K.BORDER_RADIUS_M)).otherwise(F.lit(K.MAINLAND_RADIUS_M)))
     near = S.nearest_area_pairs(pts, S.project_edges(e), K.MAINLAND_RADIUS_M)
-    return (pts.select(F.col("px").alias("venue_id"))
-               .join(near.select(F.col("px").alias("venue_id"), F.col("area").alias("near_area")), "venue_id", "left"))
+    j = outside.join(near, (outside["longitude"] == near["px"]) & (outside["latitude"] == near["py"]), "left")
+    return j.select("venue_id", F.col("area").alias("near_area"))
 
 
 @register("assign_area", O.with_(*O.AREA_CTES) + "SELECT venue_id, planning_area FROM assigned")
