@@ -371,6 +371,8 @@ def nearest_area_pairs(pts_m: DataFrame, edges_m: DataFrame, max_radius: float,
     cells_y = F.sequence(F.floor(F.least("y1", "y2") / g), F.floor(F.greatest("y1", "y2") / g))
     e = (edges_m.withColumn("cx", F.explode(cells_x)).withColumn("cy", F.explode(cells_y))
          .select("cx", "cy", "area", "area_ord", "x1", "y1", "x2", "y2"))
+    if edge_rows is None:                       # measured: the polygon layer is a small, fixed table
+        edge_rows = e.count()
     e = _maybe_broadcast(e, edge_rows, broadcast_rows)
     p = (pts_m.select("px", "py", "mx", "my", radius_col, F.inline(_offsets(1)))
               .select("px", "py", "mx", "my", radius_col,
