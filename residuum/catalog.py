@@ -50,8 +50,16 @@ FX_FILTER = SV.FilterSpec(cuisine="C1", min_rating=3.5, min_reviews=5, gems_only
 FX_AREA = "AREA 7"
 
 
+def rnd(c, d: int):
+    """Round to d decimals as ``round(x * 10^d) / 10^d`` (half away from zero on the
+    scaled double): the same arithmetic as the oracle's ``round``, so ties agree."""
+    c = F.col(c) if isinstance(c, str) else c
+    m = float(10 ** d)
+    return F.round(c * m, 0) / m
+
+
 def _r(c, d):
-    return F.round(F.col(c), d).alias(c)
+    return rnd(c, d).alias(c)
 
 
 # ---------------------------------------------------------------------------
@@ -216,7 +224,7 @@ def q_project_web_mercator(spark, sf):
 
 @register("log_reviews", O.with_(O.V) + "SELECT venue_id, round(ln(1 + coalesce(CAST(review_count AS DOUBLE), 0.0)), 9) AS log_reviews FROM v")
 def q_log_reviews(spark, sf):
-    return venues(spark, sf).select("venue_id", F.round(C.log_reviews(), 9).alias("log_reviews"))
+    return venues(spark, sf).select("venue_id", rnd(C.log_reviews(), 9).alias("log_reviews"))
 
 
 @register("price_level_num", O.with_(O.V) + """SELECT venue_id, CASE price_level WHEN '$' THEN 1.0::DOUBLE WHEN '$$' THEN 2.0::DOUBLE
@@ -465,7 +473,7 @@ def q_value_counts_head(spark, sf):
 def q_other_share(spark, sf):
     b = with_bucket(spark, sf)
     n_other = F.count_if(F.col("category_encoded") == K.OTHER)
-    return b.agg(n_other.alias("remaining_other"), F.round(100.0 * n_other / F.count(F.lit(1)), 6).alias("other_pct"))
+    return b.agg(n_other.alias("remaining_other"), rnd(100.0 * n_other / F.count(F.lit(1)), 6).alias("other_pct"))
 
 
 @register("residual_stats", O.with_(*_CLEAN_M7) + """SELECT round(avg(residual), 6) AS mean, round(stddev_samp(residual), 6) AS std,
@@ -495,16 +503,17 @@ def q_facets_area(spark, sf):
 
 
 _FOLDS = ("fv", "SELECT *, CAST(ntile(5) OVER (ORDER BY venue_id) - 1 AS INTEGER) AS fold FROM d")
-_CV = ("cvp", """SELECT d.venue_id, d.rating, d.fold,
-  (t.ts - coalesce(p.fs, 0.0) + 1.0::DOUBLE * ((SELECT sum(rating) FROM fv WHERE rating IS NOT NULL) - ft.Fs)
+_XS = "CAST(sum(CAST(rating AS DECIMAL(38,10))) AS DOUBLE)"
+_CV = ("cvp", f"""SELECT d.venue_id, d.rating, d.fold,
+  (t.ts - coalesce(p.fs, 0.0) + 1.0::DOUBLE * ((SELECT {_XS} FROM fv WHERE rating IS NOT NULL) - ft.Fs)
      / ((SELECT count(*) FROM fv WHERE rating IS NOT NULL) - ft.Fn))
   / (t.tn - coalesce(p.fn, 0) + 1.0::DOUBLE) AS prediction
 FROM (SELECT * FROM fv WHERE rating IS NOT NULL) d
-JOIN (SELECT category, price_level, sum(rating) ts, count(*) tn FROM fv WHERE rating IS NOT NULL GROUP BY ALL) t
+JOIN (SELECT category, price_level, {_XS} ts, count(*) tn FROM fv WHERE rating IS NOT NULL GROUP BY ALL) t
   ON d.category IS NOT DISTINCT FROM t.category AND d.price_level IS NOT DISTINCT FROM t.price_level
-LEFT JOIN (SELECT category, price_level, fold, sum(rating) fs, count(*) fn FROM fv WHERE rating IS NOT NULL GROUP BY ALL) p
+LEFT JOIN (SELECT category, price_level, fold, {_XS} fs, count(*) fn FROM fv WHERE rating IS NOT NULL GROUP BY ALL) p
   ON d.category IS NOT DISTINCT FROM p.category AND d.price_level IS NOT DISTINCT FROM p.price_level AND d.fold = p.fold
-JOIN (SELECT fold, sum(rating) Fs, count(*) Fn FROM fv WHERE rating IS NOT NULL GROUP BY fold) ft ON d.fold = ft.fold""")
+JOIN (SELECT fold, {_XS} Fs, count(*) Fn FROM fv WHERE rating IS NOT NULL GROUP BY fold) ft ON d.fold = ft.fold""")
 
 
 def cv_predictions(spark, sf):
@@ -513,7 +522,8 @@ def cv_predictions(spark, sf):
 
 
 @register("cv_rmse_summary", O.with_(*O.CLEAN, _FOLDS, _CV) + """SELECT round(avg(rmse), 6) AS rmse_mean, round(2 * stddev_pop(rmse), 6) AS rmse_2std, count(*) AS folds
-FROM (SELECT fold, sqrt(avg((rating - prediction) * (rating - prediction))) AS rmse FROM cvp GROUP BY fold)""")
+FROM (SELECT fold, sqrt(CAST(sum(CAST((rating - prediction) * (rating - prediction) AS DECIMAL(38,10))) AS DOUBLE)
+                        / CAST(count(*) AS DOUBLE)) AS rmse FROM cvp GROUP BY fold)""")
 def q_cv_rmse_summary(spark, sf):
     s = M.cv_rmse_summary(M.fold_rmse(cv_predictions(spark, sf)))
     return s.select(_r("rmse_mean", 6), _r("rmse_2std", 6), "folds")

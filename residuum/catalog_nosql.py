@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from residuum.catalog import FX_OVERRIDES, edges, register, venues
+from residuum.catalog import FX_OVERRIDES, edges, register, rnd, venues
 from residuum.functions import constants as K
 from residuum.functions.geo import project_local_m
 from residuum.operators import classify as CL
@@ -56,7 +56,7 @@ def q_source_fallback(spark, sf):
     missing = shared_path(spark, "no_such_geojson")
     anchors = G.load_anchors(spark, missing, kml)
     v = S.nearest_anchor(project_local_m(venues(spark, sf)), project_local_m(anchors))
-    return v.select("venue_id", F.round("dist_to_hawker", 3).alias("dist_to_hawker"), "is_hawker")
+    return v.select("venue_id", rnd("dist_to_hawker", 3).alias("dist_to_hawker"), "is_hawker")
 
 
 @register("preprocess")

@@ -156,10 +156,13 @@ M7_KEYS = ("category", "price_level")
 def m7(src: str, keys=M7_KEYS, lam: float = 1.0) -> tuple[str, str]:
     on = " AND ".join(f"s.{k} IS NOT DISTINCT FROM g.{k}" for k in keys)
     ks = ", ".join(keys)
+    gmean = (f"(SELECT CAST(sum(CAST(rating AS DECIMAL(38,10))) AS DOUBLE) / CAST(count(*) AS DOUBLE) "
+             f"FROM {src} WHERE rating IS NOT NULL)")
     return ("m7", f"""SELECT s.*, p AS predicted_rating, s.rating - p AS residual FROM (
-  SELECT s.*, (coalesce(g.gs, 0.0) + {lam!r}::DOUBLE * (SELECT avg(rating) FROM {src} WHERE rating IS NOT NULL))
+  SELECT s.*, (coalesce(g.gs, 0.0) + {lam!r}::DOUBLE * {gmean})
               / (coalesce(g.gn, 0) + {lam!r}::DOUBLE) AS p
-  FROM {src} s LEFT JOIN (SELECT {ks}, sum(rating) AS gs, count(*) AS gn FROM {src} WHERE rating IS NOT NULL GROUP BY {ks}) g
+  FROM {src} s LEFT JOIN (SELECT {ks}, CAST(sum(CAST(rating AS DECIMAL(38,10))) AS DOUBLE) AS gs, count(*) AS gn
+                          FROM {src} WHERE rating IS NOT NULL GROUP BY {ks}) g
   ON {on}) s""")
 
 

@@ -46,13 +46,26 @@ def _null_safe_join(df: DataFrame, groups: DataFrame, keys: list[str]) -> DataFr
 # M7 — expected value by context
 # ---------------------------------------------------------------------------
 
+EXACT = "decimal(38,10)"
+
+
+def exact_sum(c) -> "F.Column":
+    """Order-independent sum: decimal addition is exact, so the result does not
+    depend on partitioning or task order (doubles would differ in the last bits)."""
+    return F.sum(F.col(c).cast(EXACT) if isinstance(c, str) else c.cast(EXACT))
+
+
 def context_residual(df: DataFrame, keys: list[str], target: str = "rating", lam: float = 1.0,
                      pred: str = "predicted_rating", res: str = "residual") -> DataFrame:
-    """Add ``pred`` = (Σ target + λ·global mean) / (n + λ) per context group and ``res`` = target − pred."""
+    """Add ``pred`` = (Σ target + λ·global mean) / (n + λ) per context group and ``res`` = target − pred.
+
+    Sums are exact (decimal), so predictions are the same on every run and layout.
+    """
     valid = df.where(F.col(target).isNotNull())
-    groups = valid.groupBy(*keys).agg(F.sum(target).alias("_s"), F.count(F.lit(1)).alias("_n"))
+    groups = valid.groupBy(*keys).agg(exact_sum(target).alias("_s"), F.count(F.lit(1)).alias("_n"))
     # global mean from the (small) group table: no second pass over the rows
-    gmean = groups.select(F.sum("_s") / F.sum("_n")).scalar()
+    gmean = groups.select(F.sum("_s").cast("double") / F.sum("_n").cast("double")).scalar()
+    groups = groups.withColumn("_s", F.col("_s").cast("double"))
     j = _null_safe_join(df, groups, keys)
     p = (F.coalesce(F.col("_s"), F.lit(0.0)) + F.lit(lam) * gmean) / (F.coalesce(F.col("_n"), F.lit(0)) + F.lit(lam))
     return j.withColumn(pred, p).withColumn(res, F.col(target) - F.col(pred)).drop("_s", "_n")
@@ -63,11 +76,13 @@ def cv_context_residual(df: DataFrame, keys: list[str], fold: str = "fold", targ
     """Out-of-fold predictions of the context model: group and global statistics
     are taken from the other folds (totals minus the fold's own share)."""
     valid = df.where(F.col(target).isNotNull())
-    per = valid.groupBy(*keys, fold).agg(F.sum(target).alias("_fs"), F.count(F.lit(1)).alias("_fn"))
-    tot = valid.groupBy(*keys).agg(F.sum(target).alias("_ts"), F.count(F.lit(1)).alias("_tn"))
-    fold_tot = valid.groupBy(fold).agg(F.sum(target).alias("_ks"), F.count(F.lit(1)).alias("_kn"))
+    per = valid.groupBy(*keys, fold).agg(exact_sum(target).cast("double").alias("_fs"), F.count(F.lit(1)).alias("_fn"))
+    tot = valid.groupBy(*keys).agg(exact_sum(target).cast("double").alias("_ts"), F.count(F.lit(1)).alias("_tn"))
+    fold_tot = valid.groupBy(fold).agg(exact_sum(target).alias("_ks"), F.count(F.lit(1)).alias("_kn"))
     # global totals from the per-fold table (one row per fold): no extra pass over the rows
-    all_s, all_n = fold_tot.select(F.sum("_ks")).scalar(), fold_tot.select(F.sum("_kn")).scalar()
+    all_s = fold_tot.select(F.sum("_ks").cast("double")).scalar()
+    all_n = fold_tot.select(F.sum("_kn")).scalar()
+    fold_tot = fold_tot.withColumn("_ks", F.col("_ks").cast("double"))
     j = _null_safe_join(valid, tot, keys)
     per_r = per.select(*[F.col(k).alias(f"_p_{k}") for k in keys], F.col(fold).alias("_p_f"), "_fs", "_fn")
     cond = reduce(lambda a, b: a & b, [j[k].eqNullSafe(per_r[f"_p_{k}"]) for k in keys]) & (j[fold] == per_r["_p_f"])
@@ -80,7 +95,7 @@ def cv_context_residual(df: DataFrame, keys: list[str], fold: str = "fold", targ
 
 def fold_rmse(pred: DataFrame, fold: str = "fold", label: str = "rating", prediction: str = "prediction") -> DataFrame:
     e = F.col(label) - F.col(prediction)
-    return pred.groupBy(fold).agg(F.sqrt(F.avg(e * e)).alias("rmse"))
+    return pred.groupBy(fold).agg(F.sqrt(exact_sum(e * e).cast("double") / F.count(e).cast("double")).alias("rmse"))
 
 
 def cv_rmse_summary(per_fold: DataFrame) -> DataFrame:
