@@ -185,8 +185,13 @@ def nearest_points(unresolved: DataFrame, anchors: DataFrame | None, ax: str = "
         return None
     n_anchor = stats["n"]
     if start_cell is None:
-        area = max((stats["x1"] - stats["x0"]) * (stats["y1"] - stats["y0"]), 1.0)
-        start_cell = max(2.0 * math.sqrt(area / n_anchor), 1.0)
+        w, h = stats["x1"] - stats["x0"], stats["y1"] - stats["y0"]
+        if w > 0 and h > 0:                       # ~2 mean anchor spacings
+            start_cell = max(2.0 * math.sqrt(w * h / n_anchor), 1.0)
+        elif max(w, h) > 0:                       # collinear anchors
+            start_cell = max(2.0 * max(w, h) / n_anchor, 1.0)
+        else:                                     # a single location
+            start_cell = 1000.0
     resolved = []
     s = float(start_cell)
     for _ in range(max_rounds):

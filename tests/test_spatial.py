@@ -130,3 +130,14 @@ def test_point_in_polygon_cell_path_equals_direct_path(spark):
     direct = S.point_in_area_pairs(p, e, strip=0.7, cell=0.7, min_points_per_cell=1e9)
     assert cells.count() == direct.count() > 0
     assert cells.exceptAll(direct).count() == 0
+
+
+def test_nearest_anchor_single_and_collinear_anchors(spark):
+    import math
+    p = spark.createDataFrame([(1, 0.0, 0.0), (2, 5000.0, 12000.0)], "venue_id long, x double, y double")
+    for anchors in ([(1, 100.0, 100.0)], [(1, 0.0, 50.0), (2, 0.0, 900.0), (3, 0.0, 30000.0)]):
+        a = spark.createDataFrame(anchors, "anchor_id long, x double, y double")
+        got = {r.venue_id: r.dist_to_hawker for r in S.nearest_anchor(p, a).collect()}
+        for vid, x, y in [(1, 0.0, 0.0), (2, 5000.0, 12000.0)]:
+            want = min(math.hypot(x - ax, y - ay) for _, ax, ay in anchors)
+            assert abs(got[vid] - want) < 1e-9
