@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from residuum.llm import decontaminate
+from residuum.llm import content_sort, decontaminate, secrets
 from residuum.llm.staging import table
+from residuum.session import shared_path
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -39,3 +40,41 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""")
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_SECRET_SQL = {
+    "assign": r"""(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""",
+    "access": r"(A)KIA([A-Z0-9]+)",
+    "hex": r"([0-9a-f])([0-9a-f]*)",
+}
+_SECRET_KEEP = {"assign": "length(v) >= 6", "access": "length(m) >= 20", "hex": "length(m) >= 24"}
+
+
+def _spans_sql(rank: int, kind: str) -> str:
+    p = _SECRET_SQL[kind]
+    return f"""SELECT doc_id, {rank} AS r, '{kind}' AS kind, e - length(m) AS s, e FROM (
+      SELECT doc_id, i, m, v, sum(length(g) + coalesce(length(m), 0)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM (
+        SELECT doc_id, unnest(range(len(g))) AS i, unnest(g) AS g, unnest(list_resize(m, len(g))) AS m, unnest(list_resize(v, len(g))) AS v FROM (
+          SELECT doc_id, string_split_regex(t, '{p}') AS g, regexp_extract_all(t, '{p}', 0) AS m, regexp_extract_all(t, '{p}', 2) AS v FROM d)))
+      WHERE m IS NOT NULL AND {_SECRET_KEEP[kind]}"""
+
+
+@query("op1_secrets", f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({' UNION ALL '.join(_spans_sql(i, k) for i, k in enumerate(_SECRET_SQL))}),
+a AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+      count(*) FILTER (kind = 'hex') AS n_hex, string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY s, r) AS spans
+      FROM f GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN a USING (doc_id)""")
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.findings_by_document(table(spark, sf_dir, "documents"), shared_path(spark, "llm", "secret-ledger"))
+
+
+@query("op2_exact_dedup", f"""
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), {AZ}) AS t FROM documents),
+g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)""")
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return content_sort.duplicate_groups(table(spark, sf_dir, "documents"))
