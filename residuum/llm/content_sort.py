@@ -4,7 +4,9 @@ Texts are equal when identical after lower-casing A-Z. Spark samples splitters o
 the normalised text and range-partitions the rows by it, sorts each range (to
 disk where needed), so that equal texts stand next to each other, and the window
 over the sorted rows compares whole neighbouring texts: a run of equal ones is a
-group, of which the row with the largest (or smallest) id stays.
+group, of which the row with the largest (or smallest) id stays. Splitters, which
+the driver gets, hold the first ``LEAD`` characters and a hash of the whole text
+that orders texts with the same lead; whole texts never leave the executors.
 
 Hot groups. A group with more rows than a quarter of a mean partition is split:
 its rows get a salt, which is the second sort key, so splitters fall inside the
@@ -23,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from residuum.llm.staging import shuffle_partitions, stage
 
+LEAD = 32
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -43,9 +46,10 @@ def _runs(docs: DataFrame, id_col: str, text_col: str, largest: bool) -> DataFra
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("bigint").alias("id"),
                        normalised(F.col(text_col)).alias("norm"), key.alias("key"))
     rows = (rows.join(F.broadcast(hot), "key", "left")
-            .select("row", "id", "norm", F.coalesce("parts", F.lit(1)).alias("parts"),
+            .select("row", "id", "norm", F.substring("norm", 1, LEAD).alias("lead"), F.xxhash64("norm").alias("tie"),
+                    F.coalesce("parts", F.lit(1)).alias("parts"),
                     F.when(F.col("parts") > 1, F.pmod(F.xxhash64("id"), F.col("parts"))).otherwise(F.lit(0)).alias("salt")))
-    return _compare(rows.repartitionByRange("norm", "salt"), ["norm", "salt"], largest)
+    return _compare(rows.repartitionByRange("lead", "tie", "salt"), ["lead", "tie", "norm", "salt"], largest)
 
 
 def _compare(rows: DataFrame, keys: list[str], largest: bool) -> DataFrame:
