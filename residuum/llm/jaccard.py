@@ -19,11 +19,12 @@ Counting. The order is cut into ``FRAGMENTS`` ranges. A candidate's set is store
 as one segment for each range; the overlap of a pair is counted for each fragment
 on its own and summed over the fragments.
 
-Large groups. In each posting list the rows are first tried against one member
-(a star, not all pairs), and what links is merged; this repeats with another
-member while it finds links. Last, every pair that is still in different groups
-and shares ``COMMON`` prefix shingles is counted, so no link between groups is
-missed, and a group of thousands of near copies never becomes all its pairs.
+Large groups. While the posting lists hold more than ``PAIRS_PER_ROW`` pairs of
+different groups for each of their rows, each list's rows are tried against one
+member (a star, not all pairs) and what links is merged; every round takes other
+members. Last, every pair that is still in different groups and shares ``COMMON``
+prefix shingles is counted, so no link between groups is missed, and a group of
+thousands of near copies never becomes all its pairs.
 
 Cases: null or empty text has no shingle and links with nothing; repeated rows
 share their document's group.
@@ -43,6 +44,7 @@ SHINGLE = 5
 PERCENT = 75
 COMMON = 3
 FRAGMENTS = 8
+PAIRS_PER_ROW = 8
 HOT_LIST = 1 << 16
 HOT_COUNT = 100
 _BUFFER = 1 << 22
@@ -192,12 +194,17 @@ def _shared_prefixes(nodes: DataFrame) -> DataFrame:
 
 
 def _all_links(shared: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """Links that give the groups of all links: stars while they find any, then every pair across groups."""
-    links = tested = None
-    turn = 0
+    """Links that give the groups of all links: stars while there are too many pairs, then every pair across groups."""
+    links, tested, turn = None, None, 0
     fits = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
+    rows = shared.count()
     groups = shared.select("gram", "node", "n", F.col("node").alias("root"))
     while True:
+        by_root = groups.groupBy("gram", "root").count().groupBy("gram").agg(
+            F.sum("count").alias("all"), F.sum(F.col("count") * F.col("count")).alias("same"))
+        across = by_root.agg(F.sum(F.expr("(CAST(all AS DOUBLE) * all - same) / 2"))).first()[0] or 0
+        if across <= PAIRS_PER_ROW * rows:
+            break
         rank = F.struct(F.xxhash64(F.lit(turn), "node").alias("rank"), F.col("node").alias("node"), F.col("n").alias("n"), F.col("root").alias("root"))
         hub = groups.groupBy("gram").agg(F.min(rank).alias("hub"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
         star = (groups.join(hub, "gram").where("root <> hub.root")
@@ -213,13 +220,15 @@ def _all_links(shared: DataFrame, segments: DataFrame, percent: int) -> DataFram
         tested = star.select("a", "b") if tested is None else tested.unionByName(star.select("a", "b"))
         if found.isEmpty():
             break
-        root = components(links)
-        groups = stage(shared.join(root, "node", "left").select("gram", "node", "n", F.coalesce("root", "node").alias("root")), "jaccard-groups")
+        groups = stage(shared.join(components(links), "node", "left").select("gram", "node", "n", F.coalesce("root", "node").alias("root")), "jaccard-groups")
         turn += 1
     mixed = groups.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("gram")
     open_lists = stage(groups.join(mixed, "gram", "leftsemi"), "jaccard-open")
     x = open_lists.selectExpr("gram AS ga", "node AS a", "n AS na", "root AS ra")
     y = open_lists.selectExpr("gram AS gb", "node AS b", "n AS nb", "root AS rb")
     rest = (x.join(y, F.expr(f"ga = gb AND a < b AND ra <> rb AND {fits}")).groupBy("a", "b", "na", "nb").count()
-            .where(F.col("count") >= COMMON).drop("count").join(tested, ["a", "b"], "leftanti"))
-    return links.unionByName(stage(_linked(rest, segments, percent), "jaccard-links"))
+            .where(F.col("count") >= COMMON).drop("count"))
+    if tested is not None:
+        rest = rest.join(tested, ["a", "b"], "leftanti")
+    found = stage(_linked(stage(rest, "jaccard-rest"), segments, percent), "jaccard-links")
+    return found if links is None else links.unionByName(found)
