@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from residuum.llm.graph import components
-from residuum.llm.staging import id_text, stage
+from residuum.llm.staging import discard, id_text, stage
 from residuum.llm.textops import LOWER, SPACE_SPLIT, blocks, find_words, mix, prefix_hash, span_hash, word_hashes
 
 SHINGLE = 5
@@ -156,31 +156,37 @@ def _segments(docs: DataFrame, hot) -> DataFrame:
     return docs.mapInArrow(lambda batches: _batched(rows(batches), make), "doc_id bigint, fragment int, grams array<bigint>")
 
 
-def _linked(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
+def _linked(docs: DataFrame, hot, pairs: DataFrame, percent: int) -> DataFrame:
     """Of ``pairs(a, b, na, nb)``, those that link: partial overlaps by fragment, summed for each pair."""
+    named = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    segments = stage(_segments(docs.join(named, "doc_id", "leftsemi").dropDuplicates(["doc_id"]), hot), "jaccard-segments")
     left = segments.select(F.col("doc_id").alias("a"), "fragment", F.col("grams").alias("ga"))
     right = segments.select(F.col("doc_id").alias("b"), "fragment", F.col("grams").alias("gb"))
     part = (pairs.join(left, "a").join(right, ["b", "fragment"])
             .select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).cast("bigint").alias("shared")))
     total = part.groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
-    return total.where(100 * F.col("shared") >= percent * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
+    found = stage(total.where(100 * F.col("shared") >= percent * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b"), "jaccard-links")
+    discard(segments)
+    return found
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id, n_shingles, component_id`` (smallest id of its group)."""
     docs = id_text(docs, id_col, text_col)
     hot = _frequent(docs)
-    sets = stage(_prefixes(docs, hot, percent), "jaccard-sets")
+    wide = stage(_prefixes(docs, hot, percent), "jaccard-prefixes")
     key = ["n", "d1", "d2"]
-    nodes = stage(sets.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("node"), F.first("prefix").alias("prefix")), "jaccard-nodes")
+    sets = stage(wide.drop("prefix"), "jaccard-sets")
+    nodes = stage(wide.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("node"), F.first("prefix").alias("prefix")), "jaccard-nodes")
+    discard(wide)
     shared = _shared_prefixes(nodes)
-    segments = stage(_segments(docs.join(shared.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "leftsemi"), hot)
-                     .dropDuplicates(["doc_id", "fragment"]), "jaccard-segments")
-    links = _all_links(shared, segments, percent)
+    narrow = stage(nodes.drop("prefix"), "jaccard-nodes")
+    discard(nodes)
+    links = _all_links(docs, hot, shared, percent)
     root = components(links)
     named = root.join(root.groupBy("root").agg(F.min("node").alias("component_id")), "root").select("node", "component_id")
-    by_set = nodes.select(*key, "node").join(named, "node", "left").select(*key, F.coalesce("component_id", "node").alias("component_id"))
-    return (sets.drop("prefix").join(by_set, key, "left")
+    by_set = narrow.select(*key, "node").join(named, "node", "left").select(*key, F.coalesce("component_id", "node").alias("component_id"))
+    return (sets.join(by_set, key, "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))
 
 
@@ -190,10 +196,12 @@ def _shared_prefixes(nodes: DataFrame) -> DataFrame:
     several = (entries.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("gram"))).where("df > 1").drop("df"))
     several = stage(several, "jaccard-postings")
     enough = several.groupBy("node").count().where(F.col("count") >= COMMON).select("node")
-    return stage(several.join(enough, "node", "leftsemi"), "jaccard-postings")
+    out = stage(several.join(enough, "node", "leftsemi"), "jaccard-postings")
+    discard(several)
+    return out
 
 
-def _all_links(shared: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
+def _all_links(docs: DataFrame, hot, shared: DataFrame, percent: int) -> DataFrame:
     """Links that give the groups of all links: stars while there are too many pairs, then every pair across groups."""
     links, tested, turn = None, None, 0
     fits = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
@@ -215,7 +223,7 @@ def _all_links(shared: DataFrame, segments: DataFrame, percent: int) -> DataFram
         if tested is not None:
             star = star.join(tested, ["a", "b"], "leftanti")
         star = stage(star, "jaccard-stars")
-        found = stage(_linked(star, segments, percent), "jaccard-links")
+        found = _linked(docs, hot, star, percent)
         links = found if links is None else links.unionByName(found)
         tested = star.select("a", "b") if tested is None else tested.unionByName(star.select("a", "b"))
         if found.isEmpty():
@@ -230,5 +238,5 @@ def _all_links(shared: DataFrame, segments: DataFrame, percent: int) -> DataFram
             .where(F.col("count") >= COMMON).drop("count"))
     if tested is not None:
         rest = rest.join(tested, ["a", "b"], "leftanti")
-    found = stage(_linked(stage(rest, "jaccard-rest"), segments, percent), "jaccard-links")
+    found = _linked(docs, hot, stage(rest, "jaccard-rest"), percent)
     return found if links is None else links.unionByName(found)
