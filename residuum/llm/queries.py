@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from residuum.llm import content_sort, decontaminate, jaccard, secrets
+from residuum.llm import content_sort, decontaminate, jaccard, recompression, secrets, suffix
 from residuum.llm.staging import table
 from residuum.session import shared_path
 
@@ -92,3 +92,13 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) c USING (doc_id)""")
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicate_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op7_recompression")
+def op7_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query("op9_suffix_array")
+def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
