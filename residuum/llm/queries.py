@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from residuum.llm import content_sort, decontaminate, jaccard, recompression, secrets, suffix
+from residuum.llm import content_sort, decontaminate, jaccard, packing, quality, recompression, secrets, suffix, toxicity
 from residuum.llm.staging import table
 from residuum.session import shared_path
 
@@ -102,3 +102,18 @@ def op7_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_suffix_array")
 def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query("op3_toxicity")
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op8_packing")
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query("op10_quality")
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
