@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from residuum.llm.staging import id_text
 from residuum.llm.textops import SPACE_SPLIT, blocks, find_words, prefix_hash, span_hash, word_hashes
@@ -131,3 +131,16 @@ def scores(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: in
             yield pa.record_batch([pa.array(b.ids), pa.array(model.value.score(features(b)))], names=["doc_id", "score"])
     return (docs.mapInArrow(run, "doc_id bigint, score double")
             .select("doc_id", (fold("doc_id", parts) == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 4, held: int = 2, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` that reach the threshold, with all their columns; rows without an id are scored too. No shuffle."""
+    model = docs.sparkSession.sparkContext.broadcast(train(id_text(docs, id_col, text_col), labels, label, fold("doc_id", parts) != held))
+
+    def run(batches):
+        for batch in batches:
+            score = [model.value.score(features(b)) for b in blocks([batch])]
+            good = np.concatenate(score) >= threshold if score else np.empty(0, bool)
+            yield pa.record_batch([batch.column(2).filter(pa.array(good))], names=["row"])
+    rows = docs.select(F.lit(0).cast("bigint").alias("at"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.mapInArrow(run, T.StructType([T.StructField("row", docs.schema)])).select("row.*")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from residuum.llm import content_sort, decontaminate, jaccard, packing, quality, recompression, secrets, suffix, toxicity
+from residuum.llm import chat, content_sort, decontaminate, jaccard, packing, quality, recompression, secrets, suffix, toxicity
 from residuum.llm.staging import table
 from residuum.session import shared_path
 
+CHAT_PARTS = 5
 QUERIES: dict = {}
 SQL: dict = {}
 
@@ -117,3 +118,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_quality")
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op4_chat_format")
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles train on conversations whose crc32 modulo ``CHAT_PARTS`` is not 0; the others are held out."""
+    held = quality.fold("conv_id", CHAT_PARTS) == 0
+    out = chat.format_turns(table(spark, sf_dir, "conversations"), keep=~held)
+    return out.withColumn("held_out", held)
