@@ -19,8 +19,12 @@ one; equal lengths are ordered by id.
 
 from __future__ import annotations
 
+import os
 import random
+import re
 import zlib
+from array import array
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -36,7 +40,8 @@ ISLANDS = 2
 EPOCHS = 2
 GENERATIONS = 12
 POPULATION = 6
-_KNOWN = 200_000
+KNOWN_WORDS = 400_000  # a worker forgets its words beyond that
+_SIMPLE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)")
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -46,39 +51,67 @@ def default_tokenizer() -> str:
 
 
 class _Words(dict):
-    """Numbers of words, and the ids of each; a word met for the first time waits in ``new``."""
+    """Numbers of white-space-separated words; the ids of each stand in ``flat``.
+
+    A word of basic and Latin-1 letters with ASCII punctuation after it is one run of letters and one of
+    punctuation to the tokenizer, so it is looked up in these two parts, and a new run of letters goes to the
+    model alone. Any other word goes through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
-        self.tokenizer, self.new = Tokenizer.from_file(path), []
-        self.flat, self.start, self.size = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.tokenizer = Tokenizer.from_file(path)
+        letters = [chr(c) for c in (*range(97, 123), 0xDF, *range(0xE0, 0xF7), *range(0xF8, 0x100))]
+        self.mapped = str.maketrans({c: self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters})
+        self.reset()
+
+    def reset(self) -> None:
+        self.clear()
+        self.parts = {}
+        self.flat, self.start, self.size = array("I"), array("q"), array("q")
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        self.new.append(word)
+        text = word.decode()
+        m = _SIMPLE.fullmatch(text)
+        if m:
+            letters, marks = m.groups()
+            letters = letters.lower()
+            ids = self.parts.get(letters)
+            if ids is None:
+                ids = self.parts[letters] = [t.id for t in self.tokenizer.model.tokenize(letters.translate(self.mapped))]
+            if marks:
+                more = self.parts.get(marks)
+                if more is None:
+                    more = self.parts[marks] = self.tokenizer.encode(marks, add_special_tokens=False).ids
+                ids = ids + more
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        self[word] = n = len(self.start)
+        self.start.append(len(self.flat))
+        self.size.append(len(ids))
+        self.flat.extend(ids)
         return n
 
     def encode(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and the number of each text's ids."""
         count = np.array([len(t) for t in texts])
         at = np.fromiter((self[w] for t in texts for w in t), np.int64, int(count.sum()))
-        if self.new:
-            got = self.tokenizer.encode_batch([w.decode() for w in self.new], add_special_tokens=False)
-            sizes = np.array([len(g.ids) for g in got], np.int64)
-            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(sizes) - sizes])
-            self.size = np.concatenate([self.size, sizes])
-            self.flat = np.concatenate([self.flat, *(np.array(g.ids, np.uint32) for g in got)])
-            self.new = []
-        size = self.size[at]
+        size = np.array(self.size)[at] if len(at) else at
         ends = np.cumsum(size)
-        ids = self.flat[np.repeat(self.start[at] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+        ids = np.array(self.flat)[np.repeat(np.array(self.start)[at] - ends + size, size) + np.arange(ends[-1])] if len(at) else at
         total = np.concatenate([[0], ends])
         edge = np.concatenate([[0], np.cumsum(count)])
         per = total[edge[1:]] - total[edge[:-1]]
-        if len(self) > _KNOWN:
-            self.clear()
-            self.flat, self.start, self.size = self.flat[:0], self.start[:0], self.size[:0]
-        return ids, per
+        if len(self) > KNOWN_WORDS:
+            self.reset()
+        return ids.astype(np.uint32), per
+
+
+@lru_cache(maxsize=1)
+def _words(path: str) -> _Words:
+    """One for each Python worker, which Spark uses again for later tasks."""
+    return _Words(path)
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, end_id: int = 0) -> DataFrame:
@@ -86,7 +119,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH,
     def run(batches):
         words = None
         for b in blocks(batches):
-            words = words or _Words(tokenizer or default_tokenizer())
+            words = words or _words(tokenizer or default_tokenizer())
             ids, count = words.encode([b.data[x:y].tobytes().split() for x, y in zip(b.off[:-1].tolist(), b.off[1:].tolist())])
             out, at = [], 0
             for doc, n in zip(b.ids.tolist(), count.tolist()):
