@@ -17,7 +17,7 @@ def components(edges: DataFrame) -> DataFrame:
     by the aggregate. Only an emptiness test reaches the driver.
     """
     edges = stage(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-edges")
-    roots, turn = None, 0
+    roots, turn = None, -1
     while not edges.isEmpty():
         turn += 1
         rank = lambda c: F.struct(F.xxhash64(F.lit(turn), F.col(c)).alias("rank"), F.col(c).alias("to"))  # noqa: E731, B023

@@ -19,12 +19,13 @@ Counting. The order is cut into ``FRAGMENTS`` ranges. A candidate's set is store
 as one segment for each range; the overlap of a pair is counted for each fragment
 on its own and summed over the fragments.
 
-Large groups. While the posting lists hold more than ``PAIRS_PER_ROW`` pairs of
-different groups for each of their rows, each list's rows are tried against one
-member (a star, not all pairs) and what links is merged; every round takes other
-members. Last, every pair that is still in different groups and shares ``COMMON``
-prefix shingles is counted, so no link between groups is missed, and a group of
-thousands of near copies never becomes all its pairs.
+Large groups. In a posting list of more than ``SMALL_LIST`` rows each row is first
+measured against one member, the hub (a star, not all pairs), and what links is
+one group. Jaccard distance is a metric: two rows whose distances to the hub
+differ by more than the limit can't link, so of the pairs still in different
+groups only those whose distances are near are tried. Every pair that may link is
+measured or already in one group, so no link between groups is missed, and a
+group of thousands of near copies never becomes all its pairs.
 
 Cases: null or empty text has no shingle and links with nothing; repeated rows
 share their document's group.
@@ -44,7 +45,7 @@ SHINGLE = 5
 PERCENT = 75
 COMMON = 3
 FRAGMENTS = 8
-PAIRS_PER_ROW = 8
+SMALL_LIST = 32
 HOT_LIST = 1 << 16
 HOT_COUNT = 100
 _BUFFER = 1 << 22
@@ -156,18 +157,17 @@ def _segments(docs: DataFrame, hot) -> DataFrame:
     return docs.mapInArrow(lambda batches: _batched(rows(batches), make), "doc_id bigint, fragment int, grams array<bigint>")
 
 
-def _linked(docs: DataFrame, hot, pairs: DataFrame, percent: int) -> DataFrame:
-    """Of ``pairs(a, b, na, nb)``, those that link: partial overlaps by fragment, summed for each pair."""
+def _overlaps(docs: DataFrame, hot, pairs: DataFrame) -> DataFrame:
+    """``pairs(a, b, na, nb)`` with ``shared``: partial overlaps by fragment, summed for each pair."""
     named = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     segments = stage(_segments(docs.join(named, "doc_id", "leftsemi").dropDuplicates(["doc_id"]), hot), "jaccard-segments")
     left = segments.select(F.col("doc_id").alias("a"), "fragment", F.col("grams").alias("ga"))
     right = segments.select(F.col("doc_id").alias("b"), "fragment", F.col("grams").alias("gb"))
     part = (pairs.join(left, "a").join(right, ["b", "fragment"])
             .select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).cast("bigint").alias("shared")))
-    total = part.groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
-    found = stage(total.where(100 * F.col("shared") >= percent * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b"), "jaccard-links")
+    out = stage(part.groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared")), "jaccard-overlaps")
     discard(segments)
-    return found
+    return out
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -202,41 +202,34 @@ def _shared_prefixes(nodes: DataFrame) -> DataFrame:
 
 
 def _all_links(docs: DataFrame, hot, shared: DataFrame, percent: int) -> DataFrame:
-    """Links that give the groups of all links: stars while there are too many pairs, then every pair across groups."""
-    links, tested, turn = None, None, 0
+    """Links that give the groups of all links."""
     fits = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
-    rows = shared.count()
-    groups = shared.select("gram", "node", "n", F.col("node").alias("root"))
-    while True:
-        by_root = groups.groupBy("gram", "root").count().groupBy("gram").agg(
-            F.sum("count").alias("all"), F.sum(F.col("count") * F.col("count")).alias("same"))
-        across = by_root.agg(F.sum(F.expr("(CAST(all AS DOUBLE) * all - same) / 2"))).first()[0] or 0
-        if across <= PAIRS_PER_ROW * rows:
-            break
-        rank = F.struct(F.xxhash64(F.lit(turn), "node").alias("rank"), F.col("node").alias("node"), F.col("n").alias("n"), F.col("root").alias("root"))
-        hub = groups.groupBy("gram").agg(F.min(rank).alias("hub"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-        star = (groups.join(hub, "gram").where("root <> hub.root")
-                .select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"),
-                        F.when(F.col("node") < F.col("hub.node"), F.col("n")).otherwise(F.col("hub.n")).alias("na"),
-                        F.when(F.col("node") < F.col("hub.node"), F.col("hub.n")).otherwise(F.col("n")).alias("nb"))
-                .where(fits).groupBy("a", "b", "na", "nb").count().where(F.col("count") >= COMMON).drop("count"))
-        if tested is not None:
-            star = star.join(tested, ["a", "b"], "leftanti")
-        star = stage(star, "jaccard-stars")
-        found = _linked(docs, hot, star, percent)
-        links = found if links is None else links.unionByName(found)
-        tested = star.select("a", "b") if tested is None else tested.unionByName(star.select("a", "b"))
-        if found.isEmpty():
-            break
-        groups = stage(shared.join(components(links), "node", "left").select("gram", "node", "n", F.coalesce("root", "node").alias("root")), "jaccard-groups")
-        turn += 1
-    mixed = groups.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("gram")
-    open_lists = stage(groups.join(mixed, "gram", "leftsemi"), "jaccard-open")
-    x = open_lists.selectExpr("gram AS ga", "node AS a", "n AS na", "root AS ra")
-    y = open_lists.selectExpr("gram AS gb", "node AS b", "n AS nb", "root AS rb")
-    rest = (x.join(y, F.expr(f"ga = gb AND a < b AND ra <> rb AND {fits}")).groupBy("a", "b", "na", "nb").count()
-            .where(F.col("count") >= COMMON).drop("count"))
-    if tested is not None:
-        rest = rest.join(tested, ["a", "b"], "leftanti")
-    found = _linked(docs, hot, stage(rest, "jaccard-rest"), percent)
-    return found if links is None else links.unionByName(found)
+    links = f"100 * shared >= {percent} * (na + nb - shared)"
+    reach = 1 - percent / 100 + 1e-9
+    rank = F.struct(F.xxhash64(F.lit(0), "node").alias("rank"), F.col("node").alias("hub"), F.col("n").alias("hub_n"))
+    hubs = shared.groupBy("gram").agg(F.min(rank).alias("h"), F.count(F.lit(1)).alias("df")).where(F.col("df") > SMALL_LIST).select("gram", "h.hub", "h.hub_n")
+    lists = stage(shared.join(hubs, "gram", "left"), "jaccard-lists")
+    first = F.col("node") < F.col("hub")
+    star = stage(lists.where("hub IS NOT NULL AND hub <> node")
+                 .select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"),
+                         F.when(first, F.col("n")).otherwise(F.col("hub_n")).alias("na"), F.when(first, F.col("hub_n")).otherwise(F.col("n")).alias("nb"))
+                 .where(fits).distinct(), "jaccard-star")
+    measured = _overlaps(docs, hot, star)
+    near = measured.where(links).select("a", "b")
+    far = measured.select("a", "b", (1 - F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("d"))
+    far = far.selectExpr("a AS node", "b AS hub", "d").unionByName(far.selectExpr("b AS node", "a AS hub", "d"))
+    root = components(near).select("node", "root")
+    sized = 1 - F.least("n", "hub_n") / F.greatest("n", "hub_n")
+    known = F.when(F.col("hub") == F.col("node"), F.lit(0.0)).otherwise(F.col("d"))
+    rows = stage(lists.join(far, ["node", "hub"], "left").join(root, ["node"], "left")
+                 .select("gram", "node", "n", F.coalesce("root", "node").alias("root"), F.when(F.col("hub").isNotNull(), F.coalesce(known, sized)).alias("low"),
+                         F.when(F.col("hub").isNotNull(), F.coalesce(known, F.lit(1.0))).alias("high")), "jaccard-lists")
+    discard(lists)
+    mixed = rows.groupBy("gram").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one <> other").select("gram")
+    still = stage(rows.join(mixed, "gram", "leftsemi"), "jaccard-open")
+    discard(rows)
+    x = still.selectExpr("gram AS ga", "node AS a", "n AS na", "root AS ra", "low AS la", "high AS ha")
+    y = still.selectExpr("gram AS gb", "node AS b", "n AS nb", "root AS rb", "low AS lb", "high AS hb")
+    rest = (x.join(y, F.expr(f"ga = gb AND a < b AND ra <> rb AND {fits} AND (la IS NULL OR (la - hb <= {reach} AND lb - ha <= {reach}))"))
+            .groupBy("a", "b", "na", "nb").count().where(F.col("count") >= COMMON).drop("count").join(star.select("a", "b"), ["a", "b"], "leftanti"))
+    return near.unionByName(_overlaps(docs, hot, stage(rest, "jaccard-rest")).where(links).select("a", "b"))
