@@ -90,8 +90,8 @@ def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = BASE, id_co
     todo = stage(paths.groupBy("blob").agg(F.min("doc_id").alias("doc_id")).join(seen, "blob", "left")
                  .select("blob", "doc_id", F.array_except(F.array(*[F.lit(r.key) for r in rules]), F.coalesce("seen", F.array().cast("array<string>"))).alias("todo"))
                  .where(F.size("todo") > 0), "blob-todo")
-    # an id that repeats with one text still names one blob
-    texts = docs.join(todo, "doc_id").select("blob", "todo", "text")
+    texts = (docs.join(todo, "doc_id").where(F.sha2(F.col("text").cast("binary"), 256) == F.col("blob"))
+             .dropDuplicates(["doc_id"]).select("blob", "todo", "text"))
     _matches(texts, rules).distinct().write.mode("append").parquet(f"{ledger}/findings")
     todo.select("blob", F.explode("todo").alias("rule")).write.mode("append").parquet(f"{ledger}/scanned")
     now = spark.read.schema(FINDINGS).parquet(f"{ledger}/findings")
