@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from residuum.session import materialize
 from residuum.functions import constants as K
 from residuum.operators.ordering import global_row_number
 
@@ -86,18 +87,23 @@ def prompt_batches(names: DataFrame, name: str = "name", batch_size: int = K.BAT
 # P16 / P17 — parse and validate answers
 # ---------------------------------------------------------------------------
 
+def strip(c: Column) -> Column:
+    """Without the white space (tab and carriage return too) at both ends."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def response_parse(responses: DataFrame, text: str = "response") -> DataFrame:
     """Lines containing a pipe → (batch_id, line_no, name, raw_category).
 
     name = field 0 trimmed, then leading '-'/' ' stripped; category = field 1
     trimmed; further fields are ignored.
     """
-    lines = responses.select("batch_id", F.posexplode(F.split(F.trim(F.col(text)), "\n")).alias("line_no", "line"))
+    lines = responses.select("batch_id", F.posexplode(F.split(strip(F.col(text)), "\n")).alias("line_no", "line"))
     lines = lines.where(F.col("line").contains("|"))
     parts = F.split(F.col("line"), r"\|")
     return lines.select("batch_id", "line_no",
-                        F.regexp_replace(F.trim(parts[0]), r"^[- ]+", "").alias("name"),
-                        F.trim(parts[1]).alias("raw_category"))
+                        F.regexp_replace(strip(parts[0]), r"^[- ]+", "").alias("name"),
+                        strip(parts[1]).alias("raw_category"))
 
 
 def label_validate(c: Column, labels: list[str] = K.CUISINE_LABELS, other: str = K.OTHER) -> Column:
@@ -175,7 +181,8 @@ def batch_inference(df: DataFrame, fn: Callable[[str], str], category: str = "ca
     """Label leftover rows via an external classifier; returns ``df`` with updated categories."""
     members, batches = prompt_batches(leftover_names(df, category, name, other), name, batch_size,
                                       labels=labels)
-    answers = call_classifier(batches, fn, parallelism)
+    # written once: the two branches below must see the same answer, and each prompt is one call
+    answers = materialize(call_classifier(batches, fn, parallelism))
     parsed = response_parse(answers.where(~F.col("error")))
     parsed = parsed.withColumn("category", label_validate(F.col("raw_category"), labels, other))
     matched = fuzzy_match(parsed, members)
