@@ -40,7 +40,7 @@ ISLANDS = 2
 EPOCHS = 2
 GENERATIONS = 12
 POPULATION = 6
-KNOWN_WORDS = 400_000  # a worker forgets its words beyond that
+KNOWN_WORDS = 1_000_000  # a worker forgets its words beyond that (about 250 MB)
 _SIMPLE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)")
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
