@@ -615,7 +615,7 @@ def q_label_validate(spark, sf):
     return p.select("batch_id", F.col("line_no").cast("bigint").alias("line_no"), "category")
 
 
-@register("ordinal_encode", O.with_(O.V) + """SELECT v.venue_id, CAST(coalesce(c.code, (SELECT count(DISTINCT category) FROM v)) AS BIGINT) AS category_code
+@register("ordinal_encode", O.with_(O.V) + """SELECT v.venue_id, CAST(coalesce(c.code, -1) AS BIGINT) AS category_code
 FROM v LEFT JOIN (SELECT category, dense_rank() OVER (ORDER BY category) - 1 AS code FROM (SELECT DISTINCT category FROM v WHERE category IS NOT NULL)) c
 ON v.category = c.category""")
 def q_ordinal_encode(spark, sf):

@@ -135,11 +135,12 @@ def gbt_pipeline(features: list[str], label: str = "rating", max_iter: int = 30,
 
 
 def ordinal_encode(df: DataFrame, column: str, out: str | None = None) -> DataFrame:
-    """Alphabetical codes 0..n-1 (NULL and unseen → n) via ``StringIndexer``."""
+    """Alphabetical codes 0..n-1 (NULL and unseen → -1) via ``StringIndexer``."""
     out = out or f"{column}_code"
     m = StringIndexer(inputCol=column, outputCol=out, stringOrderType="alphabetAsc",
                       handleInvalid="keep").fit(df)
-    return m.transform(df).withColumn(out, F.col(out).cast("bigint"))
+    code = F.col(out).cast("bigint")
+    return m.transform(df).withColumn(out, F.when(code < len(m.labels), code).otherwise(F.lit(-1).cast("bigint")))
 
 
 def _max_bins(data: DataFrame, features: list[str], floor: int = 32) -> int:

@@ -50,6 +50,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not base:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="residuum-ckpt-")
         spark.conf.set("spark.checkpoint.dir", base)
     if sc.getCheckpointDir() is None:
