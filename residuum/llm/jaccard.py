@@ -13,7 +13,11 @@ links.
 Candidates. Documents with equal sets are one node. A pair of different sets that
 links shares at least ``COMMON`` shingles (three against four is the smallest
 case), and so shares that many among the first ``n - ceil(percent * n) + COMMON``
-of either. Only those prefixes are shuffled.
+of either. Only those prefixes are shuffled. For one pair the bound is closer: with an
+overlap of ``least = percent * (na + nb) / (100 + percent)`` or more, the first
+``COMMON`` shared shingles have at least ``least - COMMON`` of either set after
+them, so a shared shingle counts only where ``room`` (the shingles after it, and
+``COMMON``) reaches ``least`` in both sets.
 
 Counting. The order is cut into ``FRAGMENTS`` ranges. A candidate's set is stored
 as one segment for each range; the overlap of a pair is counted for each fragment
@@ -172,6 +176,8 @@ def _overlaps(docs: DataFrame, hot, pairs: DataFrame) -> DataFrame:
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id, n_shingles, component_id`` (smallest id of its group)."""
+    if not 100 * (COMMON - 1) < percent * COMMON:
+        raise ValueError(f"different sets with fewer than {COMMON} common shingles can link at {percent} %")
     docs = id_text(docs, id_col, text_col)
     hot = _frequent(docs)
     wide = stage(_prefixes(docs, hot, percent), "jaccard-prefixes")
@@ -191,8 +197,9 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def _shared_prefixes(nodes: DataFrame) -> DataFrame:
-    """``gram, node, n``: prefix entries in posting lists of two nodes or more, of nodes with ``COMMON`` such entries."""
-    entries = nodes.select("node", "n", F.explode("prefix").alias("gram"))
+    """``node, n, room, gram``: prefix entries in posting lists of two nodes or more, of nodes with ``COMMON`` such entries."""
+    entries = (nodes.select("node", "n", F.posexplode("prefix").alias("at", "gram"))
+               .select("node", "n", (F.col("n") - F.col("at") - 1 + COMMON).alias("room"), "gram"))
     several = (entries.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("gram"))).where("df > 1").drop("df"))
     several = stage(several, "jaccard-postings")
     enough = several.groupBy("node").count().where(F.col("count") >= COMMON).select("node")
@@ -204,6 +211,7 @@ def _shared_prefixes(nodes: DataFrame) -> DataFrame:
 def _all_links(docs: DataFrame, hot, shared: DataFrame, percent: int) -> DataFrame:
     """Links that give the groups of all links."""
     fits = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
+    placed = f"{percent} * (na + nb) <= {100 + percent} * least(ma, mb)"
     links = f"100 * shared >= {percent} * (na + nb - shared)"
     reach = 1 - percent / 100 + 1e-9
     rank = F.struct(F.xxhash64(F.lit(0), "node").alias("rank"), F.col("node").alias("hub"), F.col("n").alias("hub_n"))
@@ -222,14 +230,14 @@ def _all_links(docs: DataFrame, hot, shared: DataFrame, percent: int) -> DataFra
     sized = 1 - F.least("n", "hub_n") / F.greatest("n", "hub_n")
     known = F.when(F.col("hub") == F.col("node"), F.lit(0.0)).otherwise(F.col("d"))
     rows = stage(lists.join(far, ["node", "hub"], "left").join(root, ["node"], "left")
-                 .select("gram", "node", "n", F.coalesce("root", "node").alias("root"), F.when(F.col("hub").isNotNull(), F.coalesce(known, sized)).alias("low"),
+                 .select("gram", "node", "n", "room", F.coalesce("root", "node").alias("root"), F.when(F.col("hub").isNotNull(), F.coalesce(known, sized)).alias("low"),
                          F.when(F.col("hub").isNotNull(), F.coalesce(known, F.lit(1.0))).alias("high")), "jaccard-lists")
     discard(lists)
     mixed = rows.groupBy("gram").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one <> other").select("gram")
     still = stage(rows.join(mixed, "gram", "leftsemi"), "jaccard-open")
     discard(rows)
-    x = still.selectExpr("gram AS ga", "node AS a", "n AS na", "root AS ra", "low AS la", "high AS ha")
-    y = still.selectExpr("gram AS gb", "node AS b", "n AS nb", "root AS rb", "low AS lb", "high AS hb")
-    rest = (x.join(y, F.expr(f"ga = gb AND a < b AND ra <> rb AND {fits} AND (la IS NULL OR (la - hb <= {reach} AND lb - ha <= {reach}))"))
+    x = still.selectExpr("gram AS ga", "node AS a", "n AS na", "room AS ma", "root AS ra", "low AS la", "high AS ha")
+    y = still.selectExpr("gram AS gb", "node AS b", "n AS nb", "room AS mb", "root AS rb", "low AS lb", "high AS hb")
+    rest = (x.join(y, F.expr(f"ga = gb AND a < b AND ra <> rb AND {fits} AND {placed} AND (la IS NULL OR (la - hb <= {reach} AND lb - ha <= {reach}))"))
             .groupBy("a", "b", "na", "nb").count().where(F.col("count") >= COMMON).drop("count").join(star.select("a", "b"), ["a", "b"], "leftanti"))
     return near.unionByName(_overlaps(docs, hot, stage(rest, "jaccard-rest")).where(links).select("a", "b"))
