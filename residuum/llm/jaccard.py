@@ -52,6 +52,7 @@ FRAGMENTS = 8
 SMALL_LIST = 32
 HOT_LIST = 1 << 16
 HOT_COUNT = 100
+BROADCAST_IDS = 1 << 20  # ids of candidates, counted first; beyond that their texts are found by a shuffled join
 _BUFFER = 1 << 22
 
 
@@ -163,14 +164,15 @@ def _segments(docs: DataFrame, hot) -> DataFrame:
 
 def _overlaps(docs: DataFrame, hot, pairs: DataFrame) -> DataFrame:
     """``pairs(a, b, na, nb)`` with ``shared``: partial overlaps by fragment, summed for each pair."""
-    named = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    segments = stage(_segments(docs.join(named, "doc_id", "leftsemi").dropDuplicates(["doc_id"]), hot), "jaccard-segments")
+    named = stage(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "jaccard-named")
+    ids = F.broadcast(named) if named.count() <= BROADCAST_IDS else named
+    segments = stage(_segments(docs.join(ids, "doc_id", "leftsemi").dropDuplicates(["doc_id"]), hot), "jaccard-segments")
     left = segments.select(F.col("doc_id").alias("a"), "fragment", F.col("grams").alias("ga"))
     right = segments.select(F.col("doc_id").alias("b"), "fragment", F.col("grams").alias("gb"))
     part = (pairs.join(left, "a").join(right, ["b", "fragment"])
             .select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).cast("bigint").alias("shared")))
     out = stage(part.groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared")), "jaccard-overlaps")
-    discard(segments)
+    discard(segments, named)
     return out
 
 

@@ -101,6 +101,8 @@ def brute_groups(rows):
 @pytest.mark.parametrize("small_list", [32, 3])
 def test_jaccard_groups(spark, monkeypatch, small_list):
     monkeypatch.setattr(jaccard, "SMALL_LIST", small_list)
+    if small_list == 3:  # and the way beyond the broadcast
+        monkeypatch.setattr(jaccard, "BROADCAST_IDS", 0)
     rnd = random.Random(9)
     words = [f"w{i}" for i in range(400)]
     rows = [(1, None), (2, ""), (3, "one two"), (4, "One  TWO"), (5, "a b c d e f g"), (6, "a b c d e f g h"), (7, " \n"), (8, "z " * 3000), (9, "z " * 50), (5, "a b c d e f g")]
@@ -121,6 +123,8 @@ def test_jaccard_groups(spark, monkeypatch, small_list):
     for r in got:
         assert (r.n_shingles, r.component_id) == want[r.doc_id], r.doc_id
     assert jaccard.near_duplicate_groups(frame(spark, []).where("false")).collect() == []
+    with pytest.raises(ValueError):
+        jaccard.near_duplicate_groups(frame(spark, rows), percent=60)
 
 
 def test_components(spark):
