@@ -25,7 +25,9 @@ on its own and summed over the fragments.
 
 Large groups. In a posting list of more than ``SMALL_LIST`` rows each row is first
 measured against one member, the hub (a star, not all pairs), and what links is
-one group. Jaccard distance is a metric: two rows whose distances to the hub
+one group. The hub is the member whose prefix entries stand in the longest lists on
+average: the text that most others are copies of, so that one star joins most of
+them. Jaccard distance is a metric: two rows whose distances to the hub
 differ by more than the limit can't link, so of the pairs still in different
 groups only those whose distances are near are tried. Every pair that may link is
 measured or already in one group, so no link between groups is missed, and a
@@ -187,7 +189,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     sets = stage(wide.drop("prefix"), "jaccard-sets")
     nodes = stage(wide.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("node"), F.first("prefix").alias("prefix")), "jaccard-nodes")
     discard(wide)
-    shared = _shared_prefixes(nodes)
+    shared = _shared_prefixes(nodes, percent)
     narrow = stage(nodes.drop("prefix"), "jaccard-nodes")
     discard(nodes)
     links = _all_links(docs, hot, shared, percent)
@@ -198,14 +200,17 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))
 
 
-def _shared_prefixes(nodes: DataFrame) -> DataFrame:
-    """``node, n, room, gram``: prefix entries in posting lists of two nodes or more, of nodes with ``COMMON`` such entries."""
+def _shared_prefixes(nodes: DataFrame, percent: int) -> DataFrame:
+    """``node, n, room, gram, weight``: prefix entries in posting lists of two nodes or more, of nodes with ``COMMON``
+    such entries; ``weight`` is the sum of the lengths of a node's lists over the length of its prefix."""
     entries = (nodes.select("node", "n", F.posexplode("prefix").alias("at", "gram"))
                .select("node", "n", (F.col("n") - F.col("at") - 1 + COMMON).alias("room"), "gram"))
-    several = (entries.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("gram"))).where("df > 1").drop("df"))
+    several = (entries.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("gram"))).where("df > 1"))
     several = stage(several, "jaccard-postings")
-    enough = several.groupBy("node").count().where(F.col("count") >= COMMON).select("node")
-    out = stage(several.join(enough, "node", "leftsemi"), "jaccard-postings")
+    prefix = F.expr(f"least(n, n - ceil({percent} * n / 100) + {COMMON})")
+    enough = (several.groupBy("node", "n").agg(F.count(F.lit(1)).alias("count"), F.sum("df").alias("total")).where(F.col("count") >= COMMON)
+              .select("node", (F.col("total") / prefix).alias("weight")))
+    out = stage(several.drop("df").join(enough, "node"), "jaccard-postings")
     discard(several)
     return out
 
@@ -216,9 +221,9 @@ def _all_links(docs: DataFrame, hot, shared: DataFrame, percent: int) -> DataFra
     placed = f"{percent} * (na + nb) <= {100 + percent} * least(ma, mb)"
     links = f"100 * shared >= {percent} * (na + nb - shared)"
     reach = 1 - percent / 100 + 1e-9
-    rank = F.struct(F.xxhash64(F.lit(0), "node").alias("rank"), F.col("node").alias("hub"), F.col("n").alias("hub_n"))
+    rank = F.struct((-F.col("weight")).alias("rank"), F.col("node").alias("hub"), F.col("n").alias("hub_n"))
     hubs = shared.groupBy("gram").agg(F.min(rank).alias("h"), F.count(F.lit(1)).alias("df")).where(F.col("df") > SMALL_LIST).select("gram", "h.hub", "h.hub_n")
-    lists = stage(shared.join(hubs, "gram", "left"), "jaccard-lists")
+    lists = stage(shared.drop("weight").join(hubs, "gram", "left"), "jaccard-lists")
     first = F.col("node") < F.col("hub")
     star = stage(lists.where("hub IS NOT NULL AND hub <> node")
                  .select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"),
