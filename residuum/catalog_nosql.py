@@ -26,7 +26,7 @@ from residuum.sources import scan as SC
 from residuum.sources.schema import VENUES
 from residuum.streaming import ingest as ST
 
-GBT_ARGS = dict(max_iter=15, max_depth=4)
+GBT_ARGS = dict(max_depth=4)
 
 
 def feature_table(spark, sf):
@@ -104,7 +104,7 @@ def stub_classifier(prompt: str) -> str:
 @register("batch_inference")
 def q_batch_inference(spark, sf):
     v = top_category_bucket(venues(spark, sf))
-    out = CL.batch_inference(v, stub_classifier, category="category_encoded", parallelism=2)
+    out = CL.batch_inference(v, stub_classifier, category="category_encoded")
     return out.select("venue_id", "name", F.col("category_encoded").alias("category"))
 
 

@@ -1,9 +1,9 @@
 """Scalar column functions (all built-in expressions, inside whole-stage codegen).
 
-Numbers rendered as text use ``fixed_decimal``: half-up rounding on the
-scaled value (``floor(x·10^d + 0.5)``), written with integer arithmetic so the
-text is the same on every engine. (Python's ``%.2f`` rounds the exact binary
-value instead; the two differ only on exact binary ties such as 4.25.)
+Numbers rendered as text use ``fixed_decimal``: the exact binary value rounded
+to nearest, exact ties to even, with a sign for every negative value (so -0.001
+gives ``-0.00`` and 0.125 gives ``0.12``, as C's ``%.2f`` does), in built-in
+double arithmetic.
 """
 
 from __future__ import annotations
@@ -25,14 +25,27 @@ def nan_to_null(c) -> Column:
 
 
 def fixed_decimal(c, digits: int) -> Column:
-    """Half-up fixed-point text of a double: 4.256 → '4.26' (digits ≥ 1)."""
+    """Fixed-point text of a double as ``%.<digits>f`` writes it: 4.256 → '4.26' (digits ≥ 1).
+
+    ``scaled`` is the product with 10^digits rounded once; where it falls on a half,
+    ``low``, the exact error of that product (the value split into two halves of 26
+    bits), says on which side the true value lies.
+    """
     scale = 10 ** digits
-    n = F.floor(col(c) * float(scale) + 0.5).cast("bigint")
-    a = F.abs(n)
-    frac = F.lpad((a % scale).cast("string"), digits, "0")
+    x = col(c)
+    a = F.abs(x)
+    scaled = a * float(scale)
+    split = a * 134217729.0  # 2^27 + 1
+    high = split - (split - a)
+    low = (high * float(scale) - scaled) + (a - high) * float(scale)
+    whole = F.floor(scaled).cast("bigint")
+    over = scaled - whole
+    up = (over > 0.5) | ((over == 0.5) & ((low > 0.0) | ((low == 0.0) & (whole % 2 == 1))))
+    n = whole + F.when(up, 1).otherwise(0)
+    frac = F.lpad((n % scale).cast("string"), digits, "0")
     return F.when(n.isNull(), F.lit(None).cast("string")).otherwise(
-        F.concat(F.when(n < 0, F.lit("-")).otherwise(F.lit("")),
-                 (a / scale).cast("bigint").cast("string"), F.lit("."), frac))
+        F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")),
+                 F.floor(n / scale).cast("bigint").cast("string"), F.lit("."), frac))
 
 
 # --- features ---------------------------------------------------------------

@@ -153,10 +153,11 @@ def apply_labels(df: DataFrame, mapping: DataFrame, category: str = "category",
 # M8 — batch inference through a caller-supplied function
 # ---------------------------------------------------------------------------
 
-def call_classifier(batches: DataFrame, fn: Callable[[str], str], parallelism: int = 1) -> DataFrame:
+def call_classifier(batches: DataFrame, fn: Callable[[str], str], parallelism: int | None = None) -> DataFrame:
     """(batch_id, response, error) for every prompt; ``fn`` maps prompt text → answer text.
 
-    ``parallelism`` bounds concurrent callers (the rate limit of the service).
+    ``parallelism`` bounds concurrent callers (what the service allows); by default
+    as many as the session has cores.
     A failing call marks its batch as an error; its names become ``Other``.
     """
     def run(it: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
@@ -171,12 +172,13 @@ def call_classifier(batches: DataFrame, fn: Callable[[str], str], parallelism: i
                     err.append(True)
             yield pd.DataFrame({"batch_id": pdf["batch_id"], "response": resp, "error": err})
 
-    return (batches.select("batch_id", "prompt").repartition(parallelism, "batch_id")
+    callers = parallelism or batches.sparkSession.sparkContext.defaultParallelism
+    return (batches.select("batch_id", "prompt").repartition(callers, "batch_id")
                    .mapInPandas(run, "batch_id long, response string, error boolean"))
 
 
 def batch_inference(df: DataFrame, fn: Callable[[str], str], category: str = "category",
-                    name: str = "name", batch_size: int = K.BATCH_SIZE, parallelism: int = 1,
+                    name: str = "name", batch_size: int = K.BATCH_SIZE, parallelism: int | None = None,
                     labels: list[str] = K.CUISINE_LABELS, other: str = K.OTHER) -> DataFrame:
     """Label leftover rows via an external classifier; returns ``df`` with updated categories."""
     members, batches = prompt_batches(leftover_names(df, category, name, other), name, batch_size,

@@ -170,10 +170,7 @@ CLEAN = (V, BBOX, ("d", "SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY
 
 
 def fixed_sql(x: str, digits: int) -> str:
-    scale = 10 ** digits
-    n = f"CAST(floor(({x}) * {float(scale)!r}::DOUBLE + 0.5::DOUBLE) AS BIGINT)"
-    return (f"(CASE WHEN {n} IS NULL THEN NULL ELSE concat(CASE WHEN {n} < 0 THEN '-' ELSE '' END, "
-            f"CAST(abs({n}) // {scale} AS VARCHAR), '.', lpad(CAST(abs({n}) % {scale} AS VARCHAR), {digits}, '0')) END)")
+    return f"printf('%.{digits}f', CAST({x} AS DOUBLE))"
 
 
 def explanation_sql(rating="rating", r="residual", pred="predicted_rating", reviews="review_count",

@@ -51,7 +51,7 @@ def build(raw: DataFrame, anchors: DataFrame | None, edges: DataFrame | None,
 
 def refresh(table: DataFrame, lexicon: dict[str, list[str]] | None,
             classifier: Callable[[str], str] | None, features: list[str] = M.RETRAIN_FEATURES,
-            parallelism: int = 1, table_root: str | None = None, **gbt) -> Fitted:
+            parallelism: int | None = None, table_root: str | None = None, **gbt) -> Fitted:
     """Dedup → keyword categories → external labels for ``Other`` → refit.
 
     ``table`` is a previous build's output (it carries the features). Writes a

@@ -120,7 +120,7 @@ def prepare_features(df: DataFrame, features: list[str], label: str = "rating")
     return out.withColumns({f: F.col(f).cast("double") for f in features if f not in CATEGORICAL})
 
 
-def gbt_pipeline(features: list[str], label: str = "rating", max_iter: int = 30, max_depth: int = 5,
+def gbt_pipeline(features: list[str], label: str = "rating", max_iter: int = 100, max_depth: int = 5,
                  max_bins: int = 128, seed: int = K.SEED) -> Pipeline:
     cats = [f for f in features if f in CATEGORICAL]
     nums = [f for f in features if f not in CATEGORICAL]
@@ -171,9 +171,10 @@ def cv_gbt(df: DataFrame, features: list[str], fold: str = "fold", label: str =
     data = prepare_features(df, features, label)
     kw.setdefault("max_bins", _max_bins(data, features))
     ev = RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName="rmse")
+    folds = int(data.agg(F.max(fold)).first()[0]) + 1
     cv = CrossValidator(estimator=gbt_pipeline(features, label, **kw),
                         estimatorParamMaps=ParamGridBuilder().build(), evaluator=ev,
-                        foldCol=fold, numFolds=int(data.agg(F.max(fold)).first()[0]) + 1)
+                        foldCol=fold, numFolds=folds, parallelism=folds)
     m = cv.fit(data)
     spark = df.sparkSession
     return spark.createDataFrame([(float(m.avgMetrics[0]), 2.0 * float(m.stdMetrics[0]))],

@@ -105,6 +105,14 @@ def test_residual_classes_and_text(spark):
     assert out[5].g == "+1.23" and out[6].g == "-0.46" and out[2].g == "0.00"
 
 
+def test_number_text_is_that_of_the_exact_value(spark):
+    vals = [-0.001, -0.004, -0.005, 0.125, -0.125, 0.375, 1.005, 1.115, 2.675, 4.25, 0.05, 0.0, -3.0] + [i / 1000 for i in range(-500, 500, 7)]
+    got = spark.createDataFrame([(v,) for v in vals], "r double").select(
+        "r", C.fixed_decimal("r", 2).alias("two"), C.fixed_decimal("r", 1).alias("one"), C.badge("r").alias("badge")).collect()
+    assert [(g.two, g.one) for g in got] == [("%.2f" % v, "%.1f" % v) for v in vals]
+    assert got[0].badge == "Overrated -0.00" and got[3].badge == "Underrated +0.12"
+
+
 @pytest.mark.parametrize("reviews,density,expect", [
     (19, 4, "very few reviews, low competition nearby"),
     (20, 5, "20 reviews"),
