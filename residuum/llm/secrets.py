@@ -8,13 +8,14 @@ findings back to every path that has the blob. A new rule version therefore
 scans each blob once more with that rule alone, and a rerun scans nothing.
 
 Findings are written before the pairs are marked, so a run that dies between the
-two is scanned again; findings are read as a set.
+two is scanned again; findings are read as a set. Only blobs whose text was read
+are marked.
 
 Positions are code points. A text is split at the matches; the lengths of pieces
 and matches, summed in order, are the positions, so no row-at-a-time code runs.
 
 Cases: null text is the empty blob; rows without an id are left out; a blob that
-a third of all rows share is scanned once.
+a third of all rows share is scanned once; an id may have any number of versions.
 """
 
 from __future__ import annotations
@@ -60,7 +61,7 @@ def _ledger(spark, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _matches(texts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """``blob, todo, text`` to findings, by the rules each blob has to do."""
+    """``blob, todo, text`` to findings, by the rules each blob has to do, and one row with a null rule for each blob read."""
     def found(r: Rule):
         parts = F.arrays_zip(F.split("text", r.pattern, -1).alias("piece"),
                              F.regexp_extract_all("text", F.lit(r.pattern), F.lit(0)).alias("whole"),
@@ -69,11 +70,14 @@ def _matches(texts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
                       F.struct(F.lit(r.key).alias("rule"), F.lit(r.kind).alias("kind"), F.lit(r.least).alias("least"),
                                F.transform(parts, lambda x: F.struct(F.length(x["piece"]).alias("gap"), F.length(x["whole"]).alias("size"),
                                                                      F.length(x["value"]).alias("value"))).alias("parts")))
-    each = texts.select("blob", F.explode(F.array(*[found(r) for r in rules])).alias("f")).where("f IS NOT NULL")
+    piece = "array<struct<gap: int, size: int, value: int>>"
+    read = F.struct(F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("kind"), F.lit(0).alias("least"),
+                    F.from_json(F.lit("[{}]"), piece).alias("parts"))
+    each = texts.select("blob", F.explode(F.array(*[found(r) for r in rules], read)).alias("f")).where("f IS NOT NULL")
     parts = each.select("blob", "f.rule", "f.kind", "f.least", F.posexplode("f.parts").alias("at", "p"))
     upto = Window.partitionBy("blob", "rule").orderBy("at")
     end = F.sum(F.col("p.gap") + F.coalesce("p.size", F.lit(0))).over(upto)
-    return (parts.withColumn("end", end).where("p.size IS NOT NULL AND p.value >= least")
+    return (parts.withColumn("end", end).where("rule IS NULL OR (p.size IS NOT NULL AND p.value >= least)")
             .selectExpr("blob", "rule", "kind", "CAST(end - p.size AS BIGINT) AS start", "CAST(end AS BIGINT) AS end"))
 
 
@@ -84,16 +88,18 @@ def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = BASE, id_co
     """
     spark = versions.sparkSession
     scanned, findings = _ledger(spark, ledger)
-    docs = id_text(versions, id_col, text_col)
-    paths = stage(docs.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("blob")), "blob-paths")
+    docs = id_text(versions, id_col, text_col).withColumn("blob", F.sha2(F.col("text").cast("binary"), 256))
+    paths = stage(docs.select("doc_id", "blob"), "blob-paths")
     seen = scanned.groupBy("blob").agg(F.collect_set("rule").alias("seen"))
     todo = stage(paths.groupBy("blob").agg(F.min("doc_id").alias("doc_id")).join(seen, "blob", "left")
                  .select("blob", "doc_id", F.array_except(F.array(*[F.lit(r.key) for r in rules]), F.coalesce("seen", F.array().cast("array<string>"))).alias("todo"))
                  .where(F.size("todo") > 0), "blob-todo")
-    texts = (docs.join(todo, "doc_id").where(F.sha2(F.col("text").cast("binary"), 256) == F.col("blob"))
-             .dropDuplicates(["doc_id"]).select("blob", "todo", "text"))
-    _matches(texts, rules).distinct().write.mode("append").parquet(f"{ledger}/findings")
-    todo.select("blob", F.explode("todo").alias("rule")).write.mode("append").parquet(f"{ledger}/scanned")
+    # a blob of ``todo`` stands beside one id, so this leaves one row for each blob
+    texts = docs.join(todo, ["doc_id", "blob"]).dropDuplicates(["doc_id", "blob"]).select("blob", "todo", "text")
+    found = stage(_matches(texts, rules).distinct(), "blob-findings")
+    found.where("rule IS NOT NULL").write.mode("append").parquet(f"{ledger}/findings")
+    (todo.join(found.where("rule IS NULL").select("blob"), "blob", "leftsemi").select("blob", F.explode("todo").alias("rule"))
+     .write.mode("append").parquet(f"{ledger}/scanned"))
     now = spark.read.schema(FINDINGS).parquet(f"{ledger}/findings")
     return paths, now.where(F.col("rule").isin([r.key for r in rules])).select("blob", "kind", "start", "end").distinct()
 

@@ -52,6 +52,25 @@ def test_secrets(spark):
     assert spark.read.parquet(f"{folder}/scanned").count() == before + 3 + before // 3
 
 
+def test_secrets_of_every_version_of_one_id(spark):
+    texts = ["token=abcdef1", "token=zzzzzz2", "no secret", "x token=yyyyyy3", "token=zzzzzz2"]
+    rows = [(1, t) for t in texts] + [(2, "x token=yyyyyy3")]
+    folder = shared_path(spark, "test-ledger-versions")
+    want = sorted([(1, "assign:0:13")] * 3 + [(1, ""), (1, "assign:2:15"), (2, "assign:2:15")])
+    for _ in range(2):
+        assert sorted((r.doc_id, r.spans) for r in secrets.findings_by_document(frame(spark, rows), folder).collect()) == want
+    assert sorted(r.blob for r in spark.read.parquet(f"{folder}/scanned").where("rule = 'hex@1'").collect()) == sorted(map(sha, set(texts)))
+
+
+def test_secrets_marks_only_blobs_whose_text_was_read(spark, monkeypatch):
+    folder = shared_path(spark, "test-ledger-read")
+    rows = [(1, "token=abcdef1"), (2, "token=zzzzzz2")]
+    stage = secrets.stage
+    monkeypatch.setattr(secrets, "stage", lambda df, name: stage(df.unionByName(df.limit(1).withColumn("blob", F.lit("gone"))) if name == "blob-todo" else df, name))
+    secrets.scan(frame(spark, rows), folder)
+    assert {r.blob for r in spark.read.parquet(f"{folder}/scanned").collect()} == {sha(t) for _, t in rows}
+
+
 def exact_cases():
     rnd = random.Random(2)
     rows = [(i, rnd.choice(["Hot text", "hot TEXT", "hot text"])) for i in range(100, 400)]
