@@ -209,6 +209,22 @@ def test_quality_filter_keeps_columns_and_rows_without_id(spark):
     assert {r.doc_id for r in kept.collect()} - {None} == scored
 
 
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrst", "абвгдежзиклмнопрстуф"])
+def test_quality_tells_words_of_the_same_shape_apart(spark, letters):
+    rnd = random.Random(8)
+    vocabulary = [["".join(rnd.choice(letters) for _ in range(3 + i % 6)) for i in range(240)] for _ in range(2)]
+    common = vocabulary[0][:120]  # half of the words stand in good and bad texts alike
+    rows, labels = [], []
+    for d in range(400):
+        good = d % 2
+        own = vocabulary[good][120:]
+        # the same lengths at the same places: only which words they are tells the labels apart
+        rows.append((d, " ".join(rnd.choice((own, common)[k % 3 == 0][k % 6::6]) for k in range(60))))
+        labels.append((d, good))
+    got = quality.scores(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int"), threshold=0.5).where("held_out").collect()
+    assert len(got) > 50 and np.mean([r.predicted == r.doc_id % 2 for r in got]) >= 0.9
+
+
 def viterbi(model, rows):
     score = model.begin + model.emission(rows[:1, 1:])[0]
     back = []
