@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from residuum.llm import chat, content_sort, decontaminate, jaccard, packing, quality, recompression, secrets, suffix, toxicity
+from residuum.llm import chat, content_sort, decontaminate, jaccard, packing, periodic, quality, recompression, secrets, suffix, toxicity, url_cascade
 from residuum.llm.staging import table
 from residuum.session import shared_path
 
@@ -126,3 +126,29 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = quality.fold("conv_id", CHAT_PARTS) == 0
     out = chat.format_turns(table(spark, sf_dir, "conversations"), keep=~held)
     return out.withColumn("held_out", held)
+
+
+_RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in url_cascade.RULES)
+
+
+@query("op11_url_cascade", rf"""
+WITH u AS (SELECT row_number() OVER () AS i, page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), {AZ}), '') AS host,
+           coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+r(verdict, h, p) AS (VALUES {_RULES}),
+b AS (SELECT i, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict
+      FROM u JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY i)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u LEFT JOIN b USING (i)""")
+def op11_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_cascade.judge(table(spark, sf_dir, "pages"), url_cascade.rule_table(spark))
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(table(spark, sf_dir, "documents"), rewrite=periodic.periodic_tail)
+    best = periodic.greatest_run(F.col("runs"))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    return (found.withColumn("best", best)
+            .select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+                    F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+                    F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+                    F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256")))
