@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from residuum.llm import chat, content_sort, decontaminate, jaccard, packing, periodic, quality, recompression, secrets, suffix, toxicity, url_cascade
+from residuum.llm import chat, content_sort, decontaminate, jaccard, packing, periodic, prefix_trie, quality, recompression, secrets, suffix, toxicity, url_cascade
 from residuum.llm.staging import table
 from residuum.session import shared_path
 
@@ -142,6 +142,36 @@ def op11_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.judge(table(spark, sf_dir, "pages"), url_cascade.rule_table(spark))
 
 
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST({x} AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda a, z: xor(a >> 1, 3988292384 * (a & 1)))), 4294967295)"""
+
+
+@query("op12_prefix_trie", f"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i, coalesce(role, '') AS role, coalesce(text, '') AS text
+           FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id),
+c AS (SELECT conv_id, b, h, least(h, coalesce(base_n, 0)) AS k, least(h, coalesce(base_n, 0)) + greatest(n - h, 0) AS len FROM (
+  SELECT conv_id, n, conv_id - ((conv_id % 5) + 5) % 5 AS b, {_CRC32.format(x='conv_id')} % 9 AS h FROM n) LEFT JOIN (SELECT conv_id AS b, n AS base_n FROM n) USING (b)),
+r AS (SELECT c.conv_id, i AS d, role, text FROM c JOIN t ON t.conv_id = b AND i <= k
+      UNION ALL SELECT conv_id, i - h + k, role, text FROM c JOIN t USING (conv_id) WHERE i > h),
+p AS (SELECT conv_id, d, text, string_agg(sha256(strlen(role) || ':' || role || text), '') OVER (PARTITION BY conv_id ORDER BY d) AS k FROM r
+      UNION ALL SELECT conv_id, 0, '', '' FROM c),
+m AS (SELECT conv_id, d, k, text, min(conv_id) OVER w AS node, count(*) OVER w AS n_convs FROM p WINDOW w AS (PARTITION BY d, sha256(k))),
+nodes AS (SELECT node, d, n_convs, (n_convs - 1) * strlen(text) AS saved FROM m WHERE conv_id = node),
+up AS (SELECT x.node, x.d, y.node AS parent FROM nodes x JOIN m y ON y.conv_id = x.node AND y.d = x.d - 1),
+kids AS (SELECT parent AS node, d - 1 AS d, count(*) AS n_children FROM up GROUP BY ALL),
+flat AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (node, d)),
+sums AS (SELECT m.node, m.d, sum(saved) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+         FROM flat JOIN m ON m.conv_id = flat.node AND m.d <= flat.d GROUP BY ALL),
+ends AS (SELECT node, d, sha256(string_agg(CAST(m.conv_id AS VARCHAR), ',' ORDER BY m.conv_id)) AS e FROM m JOIN c ON c.conv_id = m.conv_id AND len = d GROUP BY ALL)
+SELECT node AS conv_id, d AS depth, parent AS parent_conv_id, n_convs, n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens,
+       coalesce(e, sha256('')) AS ends_sha256
+FROM flat JOIN sums USING (node, d) LEFT JOIN up USING (node, d) LEFT JOIN ends USING (node, d)""")
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.turns_of(table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(*prefix_trie.with_shared_starts(turns, *prefix_trie.shared_start(F.col("conv_id"))))
+
+
 @query("op13_periodic_runs")
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = periodic.find_runs(table(spark, sf_dir, "documents"), rewrite=periodic.periodic_tail)
