@@ -312,7 +312,7 @@ _EXPL_CTES = (O.V, O.VX, O.DENS, O.AR, O.WITHIN, O.EDGES_M, O.NEAR, O.ASSIGN,
 
 
 def explained(spark, sf):
-    v = S.assign_area(S.cluster_density(project_local_m(venues(spark, sf))).drop("x", "y"), edges(spark, sf))
+    v = S.spatial_features(venues(spark, sf), None, edges(spark, sf))       # one join back for density and area
     return M.context_residual(v, ["category", "planning_area"])
 
 
@@ -408,6 +408,12 @@ def q_point_in_area(spark, sf):
     return S.point_in_area(venues(spark, sf), edges(spark, sf)).select("venue_id", "area_within")
 
 
+@register("point_in_area_dense", O.with_(O.V, O.AR, O.WITHIN) + "SELECT venue_id, area_within FROM within")
+def q_point_in_area_dense(spark, sf):
+    """The same operator with cells of 0.1 degrees, which hold hundreds of points and whole polygon corners each."""
+    return S.point_in_area(venues(spark, sf), edges(spark, sf), cell=0.1).select("venue_id", "area_within")
+
+
 @register("nearest_area", O.with_(O.V, O.AR, O.WITHIN, O.EDGES_M, O.NEAR) +
           "SELECT w.venue_id, n.near_area FROM within w LEFT JOIN near n ON w.venue_id = n.venue_id WHERE w.area_within IS NULL")
 def q_nearest_area(spark, sf):

@@ -1,42 +1,32 @@
-"""Spatial joins expressed as equi-joins on grid cells.
+"""Spatial joins expressed as equi-joins on cells and tree nodes.
 
 Catalyst plans a bare distance predicate as a nested-loop join, so every
-operator here turns proximity into an equality on cell keys and keeps the
-exact predicate as a post-join filter. Shared rules:
+operator here turns proximity into an equality on keys and keeps the exact
+predicate as a post-join filter. Shared rules:
 
 * Work is done on *distinct coordinates* carrying a multiplicity ``w``:
   any number of co-located copies (one hot source, duplicate scrapes) is a
   single row before the first shuffle, and results are joined back at the end.
-* No operator emits all pairs of a dense region. The radius count refines only
-  cells the search circle cuts, counting whole cells from pre-aggregated cell
-  totals; nearest-neighbour search grows its ring geometrically and stops per
-  point as soon as the answer is proven.
-* A side is broadcast only when its row count has been measured and is below
-  ``broadcast_rows``; otherwise the plan shuffles and AQE may still pick a
-  broadcast or split skewed partitions at run time.
+* No operator emits all pairs of a dense region. The radius count decides pairs
+  of quadtree cells as a whole and splits both sides of the undecided ones;
+  nearest-neighbour search descends a capacity-split tree of the anchors and
+  keeps, per point, only nodes that can still hold the nearest; point in polygon
+  looks at the clipped edges of the point's own cell; the nearest polygon looks
+  at the edges whose corridor covers that cell.
+* There is one path at every size and no fixed number of rounds or levels.
+  Whether a side is broadcast is Spark's decision by its size in bytes.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from residuum.functions import constants as K
 from residuum.functions.geo import euclid, project_local_m, segment_distance
 from residuum.session import materialize
 
-DEFAULT_BROADCAST_ROWS = 2_000_000
-
-
-def _offsets(radius_cells: int = 1):
-    r = range(-radius_cells, radius_cells + 1)
-    return F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in r for j in r])
-
-
-def _children():
-    return F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (0, 1) for j in (0, 1)])
+AREA_CELL = 0.005       # degrees
 
 
 def distinct_points(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -53,116 +43,117 @@ def _non_null(df: DataFrame) -> DataFrame:
     return df.where(F.col("px").isNotNull() & F.col("py").isNotNull())
 
 
-def _maybe_broadcast(df: DataFrame, rows: int | None, limit: int) -> DataFrame:
-    return F.broadcast(df) if rows is not None and rows <= limit else df
-
-
 # ---------------------------------------------------------------------------
 # J2 — radius self-join count
 # ---------------------------------------------------------------------------
 
 def cluster_density(df: DataFrame, radius: float = K.DENSITY_RADIUS_M, x: str = "x", y: str = "y",
-                    out: str = "cluster_density", levels: int = 6, leaf_size: int = 64,
-                    eps: float | None = None) -> DataFrame:
+                    out: str = "cluster_density", leaf_pairs: int = 256, eps: float | None = None) -> DataFrame:
     """Number of *other* rows within ``radius`` (inclusive, Euclidean, same units as x/y).
 
-    Co-located rows count each other. Exact: equal to the brute-force pair
-    count. Level 0 uses cells of side ``radius`` (a 3×3 block covers the
-    circle); a (point, cell) pair is *full* when the farthest corner is inside
-    the circle (add the cell total, no pairs), *empty* when the nearest point
-    is outside, and otherwise the cell is split into its 4 children, down to
-    ``levels``. Cut cells with at most ``leaf_size`` distinct points — and all
-    cut cells at the last level — are resolved point by point. The distinct
-    points and each level's classified (point, cell) pairs are checkpointed to
-    the shared folder; the loop stops at the first level with nothing left to
-    refine.
+    Co-located rows count each other; NULL coordinates count NULL. Exact: equal
+    to the brute-force pair count (see ``density_points``).
     """
     d = _non_null(materialize(distinct_points(df, x, y)))
-    counts = density_points(d, radius, levels, leaf_size, eps)
+    counts = density_points(d, radius, leaf_pairs, eps)
     return (df.join(counts, (df[x] == counts["px"]) & (df[y] == counts["py"]), "left")
-              .withColumn(out, F.when(F.col(x).isNotNull() & F.col(y).isNotNull(),
-                                      F.coalesce(F.col("_n"), F.lit(1)) - 1).cast("bigint"))
-              .drop("px", "py", "_n"))
+              .withColumn(out, (F.col("_n") - 1).cast("bigint")).drop("px", "py", "_n"))
 
 
-def density_points(d: DataFrame, radius: float = K.DENSITY_RADIUS_M, levels: int = 6,
-                   leaf_size: int = 64, eps: float | None = None) -> DataFrame:
+def density_points(d: DataFrame, radius: float = K.DENSITY_RADIUS_M, leaf_pairs: int = 256,
+                   eps: float | None = None) -> DataFrame:
     """(px, py, _n): total weight within ``radius`` of each distinct point (itself included).
 
-    ``d`` holds distinct, non-null points with weights ``w`` (see ``cluster_density``).
+    ``d`` holds distinct, non-null points with weights ``w``. Pairs of quadtree
+    cells are decided as a whole, from side ``radius`` downwards: if the farthest
+    corners are within the radius each cell is credited with the other's total, if
+    the nearest points are beyond it the pair is dropped, if it stands for at most
+    ``leaf_pairs`` pairs of points these are compared, and otherwise both cells are
+    split and their children paired. Credits are carried by the points and pushed
+    down with them; only points of cells that are split again go to the next level,
+    and the recursion ends when no pair is left. The rows made grow with the points
+    whose circle's edge runs through dense cells (at most with power 1.5 of a dense
+    group, when two such groups lie exactly one radius apart), never with its pairs.
     """
-    eps = radius * 1e-9 if eps is None else eps
-    px, py = F.col("px"), F.col("py")
-
-    def at_level(frame: DataFrame, lvl: int, xc="px", yc="py") -> DataFrame:
-        s = radius / (2 ** lvl)
-        return frame.withColumns({"cx": F.floor(F.col(xc) / s), "cy": F.floor(F.col(yc) / s)})
-
-    s0 = radius
-    q = (d.select("px", "py", F.inline(_offsets(1)))
-          .select("px", "py", (F.floor(px / s0) + F.col("dx")).alias("cx"),
-                  (F.floor(py / s0) + F.col("dy")).alias("cy")))
-    parts = []
-    for lvl in range(levels + 1):
-        s = radius / (2 ** lvl)
-        cells = (at_level(d, lvl).groupBy("cx", "cy")
-                 .agg(F.sum("w").alias("cw"), F.count(F.lit(1)).alias("cn")))
-        j = q.join(cells, ["cx", "cy"])
-        x0, x1 = F.col("cx") * s, (F.col("cx") + 1) * s
-        y0, y1 = F.col("cy") * s, (F.col("cy") + 1) * s
-        gx = F.greatest(x0 - px, px - x1, F.lit(0.0))
-        gy = F.greatest(y0 - py, py - y1, F.lit(0.0))
-        fx = F.greatest(F.abs(px - x0), F.abs(px - x1))
-        fy = F.greatest(F.abs(py - y0), F.abs(py - y1))
-        j = materialize(j.withColumns({
-            "_kind": F.when(F.sqrt(fx * fx + fy * fy) <= radius - eps, F.lit(1))
-                      .when(F.sqrt(gx * gx + gy * gy) > radius + eps, F.lit(0))
-                      .otherwise(F.lit(2))}).where(F.col("_kind") > 0))
-        parts.append(j.where(F.col("_kind") == 1).select("px", "py", F.col("cw").alias("n")))
-        cut = j.where(F.col("_kind") == 2)
-        leaf = cut if lvl == levels else cut.where(F.col("cn") <= leaf_size)
-        members = at_level(d, lvl).select(F.col("cx"), F.col("cy"), F.col("px").alias("qx"),
-                                          F.col("py").alias("qy"), F.col("w").alias("qw"))
-        pairs = (leaf.select("px", "py", "cx", "cy").join(members, ["cx", "cy"])
-                 .where(euclid(px, py, F.col("qx"), F.col("qy")) <= radius)
-                 .select("px", "py", F.col("qw").alias("n")))
-        parts.append(pairs)
-        if lvl == levels:
-            break
-        # only (point, dense cut cell) pairs go one level down; materialise that
-        # (usually small) set so the next level does not replay this one
-        q = (cut.where(F.col("cn") > leaf_size)
-                .select("px", "py", "cx", "cy", F.inline(_children()))
-                .select("px", "py", (F.col("cx") * 2 + F.col("dx")).alias("cx"),
-                        (F.col("cy") * 2 + F.col("dy")).alias("cy")))
-        if q.isEmpty():
-            break
-    total = parts[0]
-    for p in parts[1:]:
-        total = total.unionByName(p)
+    settled, pairs, _ = density_rounds(d, radius, leaf_pairs, eps)
+    total = settled[0]
+    for part in settled[1:] + pairs:
+        total = total.unionByName(part)
     return total.groupBy("px", "py").agg(F.sum("n").alias("_n"))
 
 
+def _cells_of(d: DataFrame, side: float) -> DataFrame:
+    return d.withColumns({"cx": F.floor(F.col("px") / side), "cy": F.floor(F.col("py") / side)})
+
+
+def _pair_side(cells: DataFrame, s: str) -> DataFrame:
+    return cells.select(*[F.col(c).alias(s + c) for c in ("cx", "cy", "n", "w")])
+
+
+def density_rounds(d: DataFrame, radius: float, leaf_pairs: int, eps: float | None = None
+                   ) -> tuple[list[DataFrame], list[DataFrame], list[DataFrame]]:
+    """The rounds of ``density_points``: credits of settled points, credits from compared points, decided pairs of cells."""
+    eps = radius * 1e-9 if eps is None else eps
+    side = float(radius)
+    points = _cells_of(d.select("px", "py", "w", F.lit(0).cast("bigint").alias("n")), side)
+    cells = points.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"))
+    near = F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i, j in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
+    pairs = (_pair_side(cells, "a").select("*", F.inline(near))
+             .withColumns({"bcx": F.col("acx") + F.col("dx"), "bcy": F.col("acy") + F.col("dy")}).drop("dx", "dy")
+             .join(_pair_side(cells, "b"), ["bcx", "bcy"]))
+    same = (F.col("acx") == F.col("bcx")) & (F.col("acy") == F.col("bcy"))
+    settled, compared, decided = [], [], []
+    while True:
+        dx, dy = F.abs(F.col("acx") - F.col("bcx")), F.abs(F.col("acy") - F.col("bcy"))
+        apart = lambda k: F.greatest(k - 1, F.lit(0)) * side  # noqa: E731, B023
+        gap = F.sqrt(apart(dx) * apart(dx) + apart(dy) * apart(dy))
+        reach = F.sqrt((dx + 1) * side * (dx + 1) * side + (dy + 1) * side * (dy + 1) * side)
+        kind = (F.when(reach <= radius - eps, "full").when(gap > radius + eps, "none")
+                .when(F.col("an") * F.col("bn") <= leaf_pairs, "leaf").otherwise("split"))
+        pairs = materialize(pairs.withColumn("kind", kind).where("kind != 'none'"))
+        decided.append(pairs)
+        # what whole cells give each other, and which cells go on
+        gives = F.when(F.col("kind") == "full", F.col("bw")), F.when((F.col("kind") == "full") & ~same, F.col("aw"))
+        by_cell = (pairs.where("kind != 'leaf'").select(F.inline(F.array(*[
+            F.struct(F.col(f"{s}cx").alias("cx"), F.col(f"{s}cy").alias("cy"), g.alias("given"), (F.col("kind") == "split").alias("on"))
+            for s, g in zip("ab", gives)])))
+            .groupBy("cx", "cy").agg(F.sum("given").alias("given"), F.max("on").alias("on")))
+        here = points
+        leaf = pairs.where("kind = 'leaf'").select("acx", "acy", "bcx", "bcy")
+        side_of = lambda s: here.select(*[F.col(c).alias(s + c) for c in ("cx", "cy", "px", "py", "w")])  # noqa: E731, B023
+        met = (leaf.join(side_of("a"), ["acx", "acy"]).join(side_of("b"), ["bcx", "bcy"])
+               .where(euclid(F.col("apx"), F.col("apy"), F.col("bpx"), F.col("bpy")) <= radius))
+        both = F.array(F.struct(F.col("apx").alias("px"), F.col("apy").alias("py"), F.col("bw").alias("n")),
+                       F.struct(F.col("bpx").alias("px"), F.col("bpy").alias("py"), F.when(~same, F.col("aw")).alias("n")))
+        compared.append(met.select(F.inline(both)))
+        moved = materialize(points.join(by_cell, ["cx", "cy"], "left")
+                            .select("px", "py", "w", (F.col("n") + F.coalesce("given", F.lit(0))).alias("n"), F.coalesce("on", F.lit(False)).alias("on"), "cx", "cy"))
+        settled.append(moved.where("NOT on").select("px", "py", "n"))
+        if moved.where("on").isEmpty():
+            return settled, compared, decided
+        side /= 2
+        points = _cells_of(moved.where("on").select("px", "py", "w", "n"), side)
+        cells = points.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"))
+        up = lambda s: _pair_side(cells, s).withColumns(  # noqa: E731, B023
+            {f"{s}px": F.shiftright(f"{s}cx", 1), f"{s}py": F.shiftright(f"{s}cy", 1)})
+        split = pairs.where("kind = 'split'").select(F.col("acx").alias("apx"), F.col("acy").alias("apy"), F.col("bcx").alias("bpx"), F.col("bcy").alias("bpy"))
+        pairs = (split.join(up("a"), ["apx", "apy"]).join(up("b"), ["bpx", "bpy"])
+                 .where("apx != bpx OR apy != bpy OR acx < bcx OR (acx = bcx AND acy <= bcy)")
+                 .drop("apx", "apy", "bpx", "bpy"))
+
+
 # ---------------------------------------------------------------------------
 # J1 — nearest anchor distance
 # ---------------------------------------------------------------------------
 
+FAN = 16
+
+
 def nearest_anchor(df: DataFrame, anchors: DataFrame | None, x: str = "x", y: str = "y",
                    ax: str = "x", ay: str = "y", dist_col: str = "dist_to_hawker",
-                   flag_col: str = "is_hawker", flag_m: float = K.ANCHOR_FLAG_M,
-                   start_cell: float | None = None, growth: float = 4.0, max_rounds: int = 64,
-                   broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Distance to the nearest anchor and ``dist < flag_m``.
-
-    Ring search: in round i anchors are bucketed into cells of side s_i and
-    each unresolved point looks at the 3×3 block around its cell. Any anchor
-    outside the block is at least s_i away, so a candidate at distance ≤ s_i is
-    the exact nearest. Unresolved points go to the next round with a larger
-    cell. Each round's per-point result is checkpointed to the shared folder
-    (lineage stays one round deep). No anchors ⇒ ``NO_ANCHOR_DIST`` / false.
-    """
-    best = nearest_points(df.select(F.col(x).alias("px"), F.col(y).alias("py")).distinct(),
-                          anchors, ax, ay, start_cell, growth, max_rounds, broadcast_rows)
+                   flag_col: str = "is_hawker", flag_m: float = K.ANCHOR_FLAG_M, capacity: int = 16) -> DataFrame:
+    """Distance to the nearest anchor and ``dist < flag_m``. No anchors ⇒ ``NO_ANCHOR_DIST`` / false."""
+    best = nearest_points(df.select(F.col(x).alias("px"), F.col(y).alias("py")).distinct(), anchors, ax, ay, capacity)
     if best is None:
         return df.withColumns({dist_col: F.lit(K.NO_ANCHOR_DIST),
                                flag_col: F.lit(K.NO_ANCHOR_DIST < flag_m)})
@@ -172,50 +163,75 @@ def nearest_anchor(df: DataFrame, anchors: DataFrame | None, x: str = "x", y: st
                .drop("px", "py", "d"))
 
 
-def nearest_points(unresolved: DataFrame, anchors: DataFrame | None, ax: str = "x", ay: str = "y",
-                   start_cell: float | None = None, growth: float = 4.0, max_rounds: int = 64,
-                   broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame | None:
-    """(px, py, d) for distinct points (px, py); None when there are no anchors."""
-    a = (materialize(anchors.select(F.col(ax).alias("ax"), F.col(ay).alias("ay")).distinct())
-                    .where(F.col("ax").isNotNull() & F.col("ay").isNotNull())
-         if anchors is not None else None)
-    stats = a.agg(F.count(F.lit(1)).alias("n"), F.min("ax").alias("x0"), F.max("ax").alias("x1"),
-                  F.min("ay").alias("y0"), F.max("ay").alias("y1")).first() if a is not None else None
-    if stats is None or stats["n"] == 0:
+def nearest_points(points: DataFrame, anchors: DataFrame | None, ax: str = "x", ay: str = "y",
+                   capacity: int = 16) -> DataFrame | None:
+    """(px, py, d) for distinct points (px, py); None when there are no anchors.
+
+    The anchors are split into leaves of at most ``capacity`` (``capacity_tree``); points descend the tree and are
+    compared with the anchors of the leaves that remain (``nearest_leaves``).
+    """
+    if anchors is None:
         return None
-    n_anchor = stats["n"]
-    if start_cell is None:
-        w, h = stats["x1"] - stats["x0"], stats["y1"] - stats["y0"]
-        if w > 0 and h > 0:                       # ~2 mean anchor spacings
-            start_cell = max(2.0 * math.sqrt(w * h / n_anchor), 1.0)
-        elif max(w, h) > 0:                       # collinear anchors
-            start_cell = max(2.0 * max(w, h) / n_anchor, 1.0)
-        else:                                     # a single location
-            start_cell = 1000.0
-    resolved = []
-    s = float(start_cell)
-    for _ in range(max_rounds):
-        ring = (a.select("ax", "ay", F.inline(_offsets(1)))
-                 .select("ax", "ay", (F.floor(F.col("ax") / s) + F.col("dx")).alias("cx"),
-                         (F.floor(F.col("ay") / s) + F.col("dy")).alias("cy")))
-        ring = _maybe_broadcast(ring, 9 * n_anchor, broadcast_rows)
-        cand = (unresolved.withColumns({"cx": F.floor(F.col("px") / s), "cy": F.floor(F.col("py") / s)})
-                .join(ring, ["cx", "cy"], "left")
-                .groupBy("px", "py")
-                .agg(F.min(euclid(F.col("px"), F.col("py"), F.col("ax"), F.col("ay"))).alias("d"))
-                .withColumn("ok", F.col("d").isNotNull() & (F.col("d") <= s)))
-        cand = _non_null(materialize(cand))
-        resolved.append(cand.where("ok").select("px", "py", "d"))
-        unresolved = cand.where(~F.col("ok")).select("px", "py")
-        if unresolved.isEmpty():
-            break
-        s *= growth
-    else:
-        raise RuntimeError("nearest_anchor did not converge; raise max_rounds")
-    best = resolved[0]
-    for r in resolved[1:]:
-        best = best.unionByName(r)
-    return best
+    a = materialize(anchors.select(F.col(ax).alias("px"), F.col(ay).alias("py")).distinct())
+    leaves = capacity_tree(_non_null(a), capacity)
+    if leaves.isEmpty():
+        return None
+    near = nearest_leaves(_non_null(materialize(points)), leaves)
+    met = near.join(leaves.select("node", F.col("px").alias("ax"), F.col("py").alias("ay")), "node")
+    return met.groupBy("px", "py").agg(F.min(euclid(F.col("px"), F.col("py"), F.col("ax"), F.col("ay"))).alias("d"))
+
+
+def capacity_tree(points: DataFrame, capacity: int) -> DataFrame:
+    """(px, py, node) for distinct points: ``node`` is the path of a leaf, one digit (0-f) per level, of equal length everywhere.
+
+    Each round splits every node that holds more than ``capacity`` points along the longer side of its box, at the
+    approximate quantiles of its points and at the middle of the box (so that every round separates something). The
+    splits follow the points, not the box: a dense cluster gets leaves of its own. A round is one aggregate with a
+    bounded sketch per node and one join; rounds grow with the logarithm of the points.
+    """
+    out = points.select("px", "py", F.lit("").alias("node"))
+    shares = [i / (FAN - 1) for i in range(1, FAN - 1)]
+    while True:
+        wide = F.col("x1") - F.col("x0") >= F.col("y1") - F.col("y0")
+        nodes = materialize(out.groupBy("node").agg(
+            F.count(F.lit(1)).alias("n"), F.min("px").alias("x0"), F.max("px").alias("x1"), F.min("py").alias("y0"), F.max("py").alias("y1"),
+            F.percentile_approx("px", shares).alias("qx"), F.percentile_approx("py", shares).alias("qy"))
+            .select("node", "n", wide.alias("wide"), F.when(wide, F.col("qx")).otherwise(F.col("qy")).alias("q"),
+                    F.when(wide, (F.col("x0") + F.col("x1")) / 2).otherwise((F.col("y0") + F.col("y1")) / 2).alias("mid")))
+        if nodes.where(F.col("n") > capacity).isEmpty():
+            return out
+        v = F.when(F.col("wide"), F.col("px")).otherwise(F.col("py"))
+        cuts = [F.col("q")[i] for i in range(FAN - 2)] + [F.col("mid")]
+        part = sum((c < v).cast("int") for c in cuts)
+        digit = F.when(F.col("n") > capacity, F.lower(F.hex(part.cast("bigint")))).otherwise(F.lit("0"))
+        out = materialize(out.join(nodes, "node").select("px", "py", F.concat("node", digit).alias("node")))
+
+
+def nearest_leaves(points: DataFrame, leaves: DataFrame) -> DataFrame:
+    """(px, py, node): for each point the leaves of ``capacity_tree`` that can hold its nearest neighbour.
+
+    Branch and bound, one level of the tree per step: a point joins the children of the nodes it still has; a tight box
+    surely holds a point within its smallest greatest distance (each side of it touches one), so nodes farther away
+    than the least such bound go.
+    """
+    depth = leaves.select(F.length("node")).first()[0]
+    boxes = materialize(leaves.groupBy("node").agg(
+        F.min("px").alias("x0"), F.max("px").alias("x1"), F.min("py").alias("y0"), F.max("py").alias("y1")))
+    kept = points.select("px", "py", F.lit("").alias("node"))
+    px, py, x0, x1, y0, y1 = (F.col(c) for c in ("px", "py", "x0", "x1", "y0", "y1"))
+    sq = lambda c: c * c
+    gap = sq(F.greatest(x0 - px, px - x1, F.lit(0.0))) + sq(F.greatest(y0 - py, py - y1, F.lit(0.0)))
+    near_x, far_x = F.least(F.abs(px - x0), F.abs(px - x1)), F.greatest(F.abs(px - x0), F.abs(px - x1))
+    near_y, far_y = F.least(F.abs(py - y0), F.abs(py - y1)), F.greatest(F.abs(py - y0), F.abs(py - y1))
+    bound = F.least(sq(near_x) + sq(far_y), sq(far_x) + sq(near_y))
+    for level in range(1, depth + 1):
+        children = boxes.groupBy(F.left("node", F.lit(level)).alias("child")).agg(
+            F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))
+        children = children.withColumn("node", F.left("child", F.lit(level - 1)))
+        step = kept.join(children, "node").select("px", "py", F.col("child").alias("node"), gap.alias("gap"), bound.alias("bound"))
+        least = F.min("bound").over(Window.partitionBy("px", "py"))
+        kept = materialize(step.withColumn("least", least).where(F.col("gap") <= F.col("least") * (1 + 1e-9)).select("px", "py", "node"))
+    return kept
 
 
 # ---------------------------------------------------------------------------
@@ -259,84 +275,117 @@ def project_edges(edges: DataFrame, params: dict = K.LOCAL_TM) -> DataFrame:
 # J3 — point in polygon (strict: boundary excluded)
 # ---------------------------------------------------------------------------
 
-def _strip_edges(edges: DataFrame, h: float) -> DataFrame:
-    lo = F.floor(F.least("y1", "y2") / h)
-    hi = F.floor(F.greatest("y1", "y2") / h)
-    return edges.withColumn("strip", F.explode(F.sequence(lo, hi)))
+def cells_along(edges: DataFrame, cell: float, reach: float) -> DataFrame:
+    """``edges`` with a row for each grid cell (cx, cy) within ``reach`` of the segment.
 
+    The segment is clipped to each column it touches (widened by ``reach``); the rows of that column are those the clipped
+    part, widened by ``reach``, runs through. A segment of length L gets at most about (L / cell + 2) times
+    (2 + 2 * reach / cell) + L / cell cells whatever its direction.
+    """
+    swap = F.col("x1") <= F.col("x2")
+    ends = {"_xa": F.least("x1", "x2"), "_xb": F.greatest("x1", "x2"),
+            "_ya": F.when(swap, F.col("y1")).otherwise(F.col("y2")), "_yb": F.when(swap, F.col("y2")).otherwise(F.col("y1"))}
+    e = edges.withColumns(ends)
+    e = e.withColumn("cx", F.explode(F.sequence(F.floor((F.col("_xa") - reach) / cell), F.floor((F.col("_xb") + reach) / cell))))
+    run, rise = F.col("_xb") - F.col("_xa"), F.col("_yb") - F.col("_ya")
 
-def _ray_test(pts: DataFrame, strip_edges: DataFrame, strip: float, keys: tuple = ()) -> DataFrame:
-    """(px, py, *keys, area, area_ord) for every polygon strictly containing (px, py).
+    def height(x: Column, flat: Column) -> Column:
+        t = F.least(F.greatest((x - F.col("_xa")) / run, F.lit(0.0)), F.lit(1.0))
+        return F.when(run > 0, F.col("_ya") + t * rise).otherwise(flat)
+    left = height(F.col("cx") * cell - reach, F.col("_ya"))
+    right = height((F.col("cx") + 1) * cell + reach, F.col("_yb"))
+    e = e.withColumns({"_l": left, "_r": right})
+    rows = F.sequence(F.floor((F.least("_l", "_r") - reach) / cell), F.floor((F.greatest("_l", "_r") + reach) / cell))
+    return e.withColumn("cy", F.explode(rows)).drop("_xa", "_xb", "_ya", "_yb", "_l", "_r")
 
-    Even-odd ray casting towards +x: points join the edges of their horizontal
-    strip (equi-join on the strip id) and count crossings per polygon; a point
-    on any edge of a polygon is not *within* it.
-    """
-    px, py = F.col("px"), F.col("py")
-    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
-    j = (pts.withColumn("strip", F.floor(py / strip)).join(strip_edges, "strip")
-            .where(px <= F.greatest(x1, x2)))
-    straddle = (y1 > py) != (y2 > py)
-    xint = F.when(y2 != y1, x1 + (py - y1) * (x2 - x1) / (y2 - y1))
-    crosses = straddle & (px < xint)
-    on_edge = ((px >= F.least(x1, x2)) & (px <= F.greatest(x1, x2)) &
-               (py >= F.least(y1, y2)) & (py <= F.greatest(y1, y2)) &
-               ((x2 - x1) * (py - y1) - (y2 - y1) * (px - x1) == 0.0))
-    per = (j.groupBy("px", "py", *keys, "area", "area_ord")
-            .agg(F.sum(F.when(crosses, 1).otherwise(0)).alias("nc"),
-                 F.max(on_edge.cast("int")).alias("oe")))
-    return per.where((F.col("nc") % 2 == 1) & (F.col("oe") == 0)).select("px", "py", *keys, "area", "area_ord")
-
-
-def boundary_cells(edges: DataFrame, cell: float) -> DataFrame:
-    """Grid cells (cx, cy) touched by the bounding box of any edge.
-
-    ``floor(v / cell)`` is monotone, so any point of a segment lies in a cell
-    of its bounding-box range: a cell outside this set contains no boundary
-    point, and every point in it has the same containment for every polygon.
-    """
-    xs = F.sequence(F.floor(F.least("x1", "x2") / cell), F.floor(F.greatest("x1", "x2") / cell))
-    ys = F.sequence(F.floor(F.least("y1", "y2") / cell), F.floor(F.greatest("y1", "y2") / cell))
-    return edges.select(F.explode(xs).alias("cx"), ys.alias("_ys")).select("cx", F.explode("_ys").alias("cy")).distinct()
 
+# reference points of the cells, as shares of the side; the first that no edge touches is taken
+REFERENCES = [(0.381966011, 0.618033989), (0.414213562, 0.267949192), (0.732050808, 0.236067977), (0.162277660, 0.872983346),
+              (0.645751311, 0.449489743), (0.316624790, 0.123105626), (0.557438524, 0.795831523), (0.851640713, 0.385164807)]
+BLOCK_BITS, BLOCK_LEVELS = 5, 5
 
-def point_in_area_pairs(pts: DataFrame, edges: DataFrame, strip: float = 0.005, cell: float = 0.001,
-                        broadcast_rows: int = DEFAULT_BROADCAST_ROWS, min_points_per_cell: float = 4.0) -> DataFrame:
+
+def _side_of(x: Column, y: Column) -> Column:
+    """Positive, negative or zero: on which side of the edge (x, y) lies."""
+    return (F.col("x2") - F.col("x1")) * (y - F.col("y1")) - (F.col("y2") - F.col("y1")) * (x - F.col("x1"))
+
+
+def _on_edge(x: Column, y: Column) -> Column:
+    return ((x >= F.least("x1", "x2")) & (x <= F.greatest("x1", "x2")) &
+            (y >= F.least("y1", "y2")) & (y <= F.greatest("y1", "y2")) & (_side_of(x, y) == 0.0))
+
+
+def _covering_blocks(edges: DataFrame, cell: float, rx: float, ry: float) -> DataFrame:
+    """(cy, level, block, area, area_ord): the runs of cells in a row whose reference point a polygon covers.
+
+    The line through the references of row ``cy`` meets the polygon's edges; sorted, every other gap is inside. The cells
+    of such a gap are given as blocks of 32^level cells, so a wide polygon takes few rows.
+    """
+    y = (F.col("cy") + ry) * cell
+    rows = F.sequence(F.floor(F.least("y1", "y2") / cell) - 1, F.floor(F.greatest("y1", "y2") / cell) + 1)
+    met = (edges.where("y1 != y2").withColumn("cy", F.explode(rows)).where((F.col("y1") > y) != (F.col("y2") > y))
+           .select("cy", "area", "area_ord", (F.col("x1") + (y - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))).alias("x")))
+    line = Window.partitionBy("cy", "area", "area_ord").orderBy("x")
+    gaps = met.withColumns({"k": F.row_number().over(line), "to": F.lead("x").over(line)}).where("k % 2 = 1 AND to IS NOT NULL")
+
+    def first_cell(x: str) -> Column:
+        """The first cell whose reference is at ``x`` or beyond, by the same product as everywhere else."""
+        c = F.floor(F.col(x) / cell) - 1
+        at = lambda i: (c + i + rx) * cell >= F.col(x)
+        return F.when(at(0), c).when(at(1), c + 1).when(at(2), c + 2).otherwise(c + 3)
+    spans = gaps.select("cy", "area", "area_ord", first_cell("x").alias("lo"), (first_cell("to") - 1).alias("hi")).where("lo <= hi")
+    size = 1 << BLOCK_BITS
+    blocks = None
+    for level in range(BLOCK_LEVELS):
+        up_lo, up_hi = F.shiftright(F.col("lo") + (size - 1), BLOCK_BITS), F.shiftright(F.col("hi") + 1, BLOCK_BITS) - 1
+        whole = (up_lo > up_hi) if level < BLOCK_LEVELS - 1 else F.lit(True)
+        ends = F.concat(F.when(F.col("lo") < up_lo * size, F.sequence(F.col("lo"), up_lo * size - 1)).otherwise(F.array().cast("array<bigint>")),
+                        F.when(F.col("hi") >= (up_hi + 1) * size, F.sequence((up_hi + 1) * size, F.col("hi"))).otherwise(F.array().cast("array<bigint>")))
+        here = spans.select("cy", F.lit(level).alias("level"), F.explode(F.when(whole, F.sequence("lo", "hi")).otherwise(ends)).alias("block"), "area", "area_ord")
+        blocks = here if blocks is None else blocks.unionByName(here)
+        spans = spans.where(~whole).select("cy", "area", "area_ord", up_lo.alias("lo"), up_hi.alias("hi"))
+    return blocks
+
+
+def point_in_area_pairs(pts: DataFrame, edges: DataFrame, cell: float = AREA_CELL) -> DataFrame:
     """(px, py, area, area_ord) for every polygon strictly containing the point.
 
-    Points are bucketed into grid cells. Points in a cell that no polygon
-    boundary touches take the label of the cell, decided once from the cell's
-    centre; only points in boundary cells are ray-tested individually. With
-    many points per cell the edge work grows with the number of distinct cells
-    and the boundary length, not with the number of points. The strip-edge and
-    boundary-cell tables are broadcast only when their measured size allows.
-    Sparse input (fewer than ``min_points_per_cell`` points per occupied cell,
-    measured with one HyperLogLog pass) gains nothing from cell labels, so its
-    points are ray-tested directly.
+    Each grid cell has a reference point. Which polygons cover it is found once per occupied cell; a point of the cell is
+    in the same polygons, except where edges run between the two, and such edges run through the cell: crossings of the
+    segment from point to reference are counted over the cell's own edges. A point on an edge is not within. Edge rows
+    grow with the length of the boundary in cells (``cells_along``), cover rows with the rows of cells a polygon spans
+    and with the occupied cells, point rows with the points.
     """
     g = float(cell)
-    se = _strip_edges(edges, strip)
-    se = _maybe_broadcast(se, _count_strip_rows(edges, strip), broadcast_rows)
-    st = pts.agg(F.count(F.lit(1)).alias("n"),
-                 F.approx_count_distinct(F.struct(F.floor(F.col("px") / g), F.floor(F.col("py") / g))).alias("c")
-                 ).first()
-    if not st["n"] or st["n"] < min_points_per_cell * max(st["c"], 1):
-        return _ray_test(pts.select("px", "py"), se, strip)
-    bc = materialize(boundary_cells(edges, g))
-    bc = _maybe_broadcast(bc.withColumn("_b", F.lit(True)), bc.count(), broadcast_rows)
-    p = materialize(pts.select("px", "py", F.floor(F.col("px") / g).alias("cx"), F.floor(F.col("py") / g).alias("cy"))
-                       .join(bc, ["cx", "cy"], "left"))
-    on_boundary = _ray_test(p.where(F.col("_b")).select("px", "py"), se, strip)
-    inner = p.where(F.col("_b").isNull()).select("px", "py", "cx", "cy")
-    centres = inner.select("cx", "cy").distinct().select(
-        "cx", "cy", ((F.col("cx") + 0.5) * g).alias("px"), ((F.col("cy") + 0.5) * g).alias("py"))
-    cell_hits = _ray_test(centres, se, strip, keys=("cx", "cy")).select("cx", "cy", "area", "area_ord")
-    in_cells = inner.join(cell_hits, ["cx", "cy"]).select("px", "py", "area", "area_ord")
-    return on_boundary.unionByName(in_cells)
+    along = materialize(cells_along(edges.select("area", "area_ord", "x1", "y1", "x2", "y2"), g, g * 1e-6))
+    for rx, ry in REFERENCES:
+        refx, refy = (F.col("cx") + rx) * g, (F.col("cy") + ry) * g
+        if along.where(_on_edge(refx, refy)).isEmpty():
+            break
+    else:
+        raise ValueError("edges touch every reference point; choose another cell size")
+    p = pts.select("px", "py", F.floor(F.col("px") / g).alias("cx"), F.floor(F.col("py") / g).alias("cy"))
+    occupied = p.select("cx", "cy").distinct()
+    levels = F.array(*[F.struct(F.lit(i).alias("level"), F.shiftright("cx", BLOCK_BITS * i).alias("block")) for i in range(BLOCK_LEVELS)])
+    cover = (occupied.select("cx", "cy", F.inline(levels)).join(_covering_blocks(edges, g, rx, ry), ["cy", "level", "block"])
+             .select("cx", "cy", "area", "area_ord"))
+    cover = materialize(cover)
+    p = materialize(p.join(along.select("cx", "cy").distinct().withColumn("edged", F.lit(True)), ["cx", "cy"], "left"))
+    plain = p.where("edged IS NULL").join(cover, ["cx", "cy"]).select("px", "py", "area", "area_ord")
+    q = p.where("edged").select("px", "py", "cx", "cy")
+    px, py = F.col("px"), F.col("py")
+    seg = lambda x, y: (refx - px) * (F.col(y) - py) - (refy - py) * (F.col(x) - px) > 0
+    crosses = ((_side_of(px, py) > 0) != (_side_of(refx, refy) > 0)) & (seg("x1", "y1") != seg("x2", "y2"))
+    met = (q.join(along, ["cx", "cy"])
+           .select("px", "py", "area", "area_ord", crosses.cast("int").alias("c"), _on_edge(px, py).alias("on")))
+    base = q.join(cover, ["cx", "cy"]).select("px", "py", "area", "area_ord", F.lit(1).alias("c"), F.lit(False).alias("on"))
+    near = (met.unionByName(base).groupBy("px", "py", "area", "area_ord").agg(F.sum("c").alias("c"), F.max("on").alias("on"))
+            .where("c % 2 = 1 AND NOT on").select("px", "py", "area", "area_ord"))
+    return plain.unionByName(near)
 
 
 def point_in_area(df: DataFrame, edges: DataFrame, lon: str = "longitude", lat: str = "latitude",
-                  out: str = "area_within", strip: float = 0.005, fanout: bool = False) -> DataFrame:
+                  out: str = "area_within", cell: float = AREA_CELL, fanout: bool = False) -> DataFrame:
     """Left join: the polygon containing each row (NULL if none).
 
     Overlapping polygons: one row per input row with the first polygon in
@@ -344,45 +393,32 @@ def point_in_area(df: DataFrame, edges: DataFrame, lon: str = "longitude", lat:
     """
     pts = df.select(F.col(lon).alias("px"), F.col(lat).alias("py")) \
             .where(F.col("px").isNotNull() & F.col("py").isNotNull()).distinct()
-    hits = point_in_area_pairs(pts, edges, strip)
+    hits = point_in_area_pairs(pts, edges, cell)
     if not fanout:
         hits = hits.groupBy("px", "py").agg(F.min_by("area", "area_ord").alias("area"))
     hits = hits.select("px", "py", F.col("area").alias(out))
     return df.join(hits, (df[lon] == hits["px"]) & (df[lat] == hits["py"]), "left").drop("px", "py")
 
 
-def _count_strip_rows(edges: DataFrame, strip: float) -> int:
-    """Measured size of the strip-replicated edge table (the broadcast guard)."""
-    n = (edges.select((F.floor(F.greatest("y1", "y2") / strip) - F.floor(F.least("y1", "y2") / strip) + 1)
-                      .alias("k")).agg(F.sum("k")).first()[0])
-    return int(n or 0)
-
-
 # ---------------------------------------------------------------------------
 # J4 — nearest polygon within a per-row radius (metres)
 # ---------------------------------------------------------------------------
 
 def nearest_area_pairs(pts_m: DataFrame, edges_m: DataFrame, max_radius: float,
-                       radius_col: str = "radius", edge_rows: int | None = None,
-                       broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                       radius_col: str = "radius") -> DataFrame:
     """For (px, py, mx, my, radius): nearest polygon edge within ``radius`` metres.
 
-    Edges are replicated into every ``max_radius`` cell their bounding box
-    touches; each point looks at its 3×3 block, which contains every edge
-    point within ``max_radius``. Ties go to the first polygon in polygon order.
+    Edges outside the band of the points (their box, widened by the radius) are left out; the others are dealt to the
+    cells of side ``max_radius`` within that distance of the *segment*, so a point looks at its own cell only. Ties go
+    to the first polygon in polygon order.
     """
     g = float(max_radius)
-    cells_x = F.sequence(F.floor(F.least("x1", "x2") / g), F.floor(F.greatest("x1", "x2") / g))
-    cells_y = F.sequence(F.floor(F.least("y1", "y2") / g), F.floor(F.greatest("y1", "y2") / g))
-    e = (edges_m.withColumn("cx", F.explode(cells_x)).withColumn("cy", F.explode(cells_y))
-         .select("cx", "cy", "area", "area_ord", "x1", "y1", "x2", "y2"))
-    if edge_rows is None:                       # measured: the polygon layer is a small, fixed table
-        edge_rows = e.count()
-    e = _maybe_broadcast(e, edge_rows, broadcast_rows)
-    p = (pts_m.select("px", "py", "mx", "my", radius_col, F.inline(_offsets(1)))
-              .select("px", "py", "mx", "my", radius_col,
-                      (F.floor(F.col("mx") / g) + F.col("dx")).alias("cx"),
-                      (F.floor(F.col("my") / g) + F.col("dy")).alias("cy")))
+    box = pts_m.agg(F.min("mx").alias("x0"), F.max("mx").alias("x1"), F.min("my").alias("y0"), F.max("my").alias("y1")).first()
+    inside = F.lit(False) if box.x0 is None else (
+        (F.greatest("x1", "x2") >= box.x0 - g) & (F.least("x1", "x2") <= box.x1 + g) &
+        (F.greatest("y1", "y2") >= box.y0 - g) & (F.least("y1", "y2") <= box.y1 + g))
+    e = materialize(cells_along(edges_m.select("area", "area_ord", "x1", "y1", "x2", "y2").where(inside), g, g * (1 + 1e-9)))
+    p = pts_m.select("px", "py", "mx", "my", radius_col, F.floor(F.col("mx") / g).alias("cx"), F.floor(F.col("my") / g).alias("cy"))
     dist = segment_distance(F.col("mx"), F.col("my"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
     j = p.join(e, ["cx", "cy"]).withColumn("dist", dist).where(F.col("dist") <= F.col(radius_col))
     return (j.groupBy("px", "py")
@@ -394,7 +430,7 @@ def assign_area(df: DataFrame, edges: DataFrame | None, lon: str = "longitude",
                 out: str = "planning_area", border_lat: float = K.BORDER_LAT,
                 border_radius: float = K.BORDER_RADIUS_M, mainland_radius: float = K.MAINLAND_RADIUS_M,
                 cutoff_lat: float | None = K.HARD_CUTOFF_LAT, outside: str = K.OUTSIDE_AREA,
-                unknown: str = K.UNKNOWN_AREA, strip: float = 0.005, params: dict = K.LOCAL_TM) -> DataFrame:
+                unknown: str = K.UNKNOWN_AREA, cell: float = AREA_CELL, params: dict = K.LOCAL_TM) -> DataFrame:
     """Area label per row: polygon containing the point; else the nearest polygon
     within 100 m (lat > 1.44) or 2000 m (otherwise, NULL lat included); else
     ``outside``; and ``outside`` for lat > cutoff. No polygons ⇒ ``unknown``.
@@ -404,7 +440,7 @@ def assign_area(df: DataFrame, edges: DataFrame | None, lon: str = "longitude",
         return df.withColumn(out, F.lit(unknown))
     pts = df.select(F.col(lon).alias("px"), F.col(lat).alias("py")) \
             .where(F.col("px").isNotNull() & F.col("py").isNotNull()).distinct()
-    lab = area_points(pts, edges, border_lat, border_radius, mainland_radius, strip, params)
+    lab = area_points(pts, edges, border_lat, border_radius, mainland_radius, cell, params)
     res = df.join(lab, (df[lon] == lab["px"]) & (df[lat] == lab["py"]), "left")
     return res.withColumn(out, area_label(F.col("lab"), F.col(lat), cutoff_lat, outside)).drop("px", "py", "lab")
 
@@ -416,9 +452,9 @@ def area_label(lab, lat, cutoff_lat: float | None = K.HARD_CUTOFF_LAT, outside:
 
 def area_points(pts: DataFrame, edges: DataFrame, border_lat: float = K.BORDER_LAT,
                 border_radius: float = K.BORDER_RADIUS_M, mainland_radius: float = K.MAINLAND_RADIUS_M,
-                strip: float = 0.005, params: dict = K.LOCAL_TM) -> DataFrame:
+                cell: float = AREA_CELL, params: dict = K.LOCAL_TM) -> DataFrame:
     """(px=lon, py=lat, lab) for distinct points that are inside a polygon or near one."""
-    inside = (point_in_area_pairs(pts, edges, strip)
+    inside = (point_in_area_pairs(pts, edges, cell)
               .groupBy("px", "py").agg(F.min_by("area", "area_ord").alias("within")))
     # one row per distinct point with its containing area (or NULL), written once:
     # both the nearest-area pass and the final labels read it
