@@ -48,7 +48,7 @@ def _non_null(df: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def cluster_density(df: DataFrame, radius: float = K.DENSITY_RADIUS_M, x: str = "x", y: str = "y",
-                    out: str = "cluster_density", leaf_pairs: int = 256, eps: float | None = None) -> DataFrame:
+                    out: str = "cluster_density", leaf_pairs: int = 1024, eps: float | None = None) -> DataFrame:
     """Number of *other* rows within ``radius`` (inclusive, Euclidean, same units as x/y).
 
     Co-located rows count each other; NULL coordinates count NULL. Exact: equal
@@ -60,7 +60,7 @@ def cluster_density(df: DataFrame, radius: float = K.DENSITY_RADIUS_M, x: str =
               .withColumn(out, (F.col("_n") - 1).cast("bigint")).drop("px", "py", "_n"))
 
 
-def density_points(d: DataFrame, radius: float = K.DENSITY_RADIUS_M, leaf_pairs: int = 256,
+def density_points(d: DataFrame, radius: float = K.DENSITY_RADIUS_M, leaf_pairs: int = 1024,
                    eps: float | None = None) -> DataFrame:
     """(px, py, _n): total weight within ``radius`` of each distinct point (itself included).
 
@@ -151,7 +151,7 @@ FAN = 16
 
 def nearest_anchor(df: DataFrame, anchors: DataFrame | None, x: str = "x", y: str = "y",
                    ax: str = "x", ay: str = "y", dist_col: str = "dist_to_hawker",
-                   flag_col: str = "is_hawker", flag_m: float = K.ANCHOR_FLAG_M, capacity: int = 16) -> DataFrame:
+                   flag_col: str = "is_hawker", flag_m: float = K.ANCHOR_FLAG_M, capacity: int = 8) -> DataFrame:
     """Distance to the nearest anchor and ``dist < flag_m``. No anchors ⇒ ``NO_ANCHOR_DIST`` / false."""
     best = nearest_points(df.select(F.col(x).alias("px"), F.col(y).alias("py")).distinct(), anchors, ax, ay, capacity)
     if best is None:
@@ -164,7 +164,7 @@ def nearest_anchor(df: DataFrame, anchors: DataFrame | None, x: str = "x", y: st
 
 
 def nearest_points(points: DataFrame, anchors: DataFrame | None, ax: str = "x", ay: str = "y",
-                   capacity: int = 16) -> DataFrame | None:
+                   capacity: int = 8) -> DataFrame | None:
     """(px, py, d) for distinct points (px, py); None when there are no anchors.
 
     The anchors are split into leaves of at most ``capacity`` (``capacity_tree``); points descend the tree and are
@@ -182,10 +182,10 @@ def nearest_points(points: DataFrame, anchors: DataFrame | None, ax: str = "x",
 
 
 def capacity_tree(points: DataFrame, capacity: int) -> DataFrame:
-    """(px, py, node) for distinct points: ``node`` is the path of a leaf, one digit (0-f) per level, of equal length everywhere.
+    """(px, py, node) for distinct points: ``node`` is the path of a leaf, a digit (0-3) per level, of equal length everywhere.
 
-    Each round splits every node that holds more than ``capacity`` points along the longer side of its box, at the
-    approximate quantiles of its points and at the middle of the box (so that every round separates something). The
+    Each round splits every node that holds more than ``capacity`` points into ``FAN`` along the longer side of its box
+    (two levels of four), at the approximate quantiles of its points and at the middle of the box (so that every round separates something). The
     splits follow the points, not the box: a dense cluster gets leaves of its own. A round is one aggregate with a
     bounded sketch per node and one join; rounds grow with the logarithm of the points.
     """
@@ -193,45 +193,50 @@ def capacity_tree(points: DataFrame, capacity: int) -> DataFrame:
     shares = [i / (FAN - 1) for i in range(1, FAN - 1)]
     while True:
         wide = F.col("x1") - F.col("x0") >= F.col("y1") - F.col("y0")
-        nodes = materialize(out.groupBy("node").agg(
+        nodes = out.groupBy("node").agg(
             F.count(F.lit(1)).alias("n"), F.min("px").alias("x0"), F.max("px").alias("x1"), F.min("py").alias("y0"), F.max("py").alias("y1"),
-            F.percentile_approx("px", shares).alias("qx"), F.percentile_approx("py", shares).alias("qy"))
+            F.percentile_approx("px", shares).alias("qx"), F.percentile_approx("py", shares).alias("qy")) \
             .select("node", "n", wide.alias("wide"), F.when(wide, F.col("qx")).otherwise(F.col("qy")).alias("q"),
-                    F.when(wide, (F.col("x0") + F.col("x1")) / 2).otherwise((F.col("y0") + F.col("y1")) / 2).alias("mid")))
-        if nodes.where(F.col("n") > capacity).isEmpty():
-            return out
+                    F.when(wide, (F.col("x0") + F.col("x1")) / 2).otherwise((F.col("y0") + F.col("y1")) / 2).alias("mid"))
         v = F.when(F.col("wide"), F.col("px")).otherwise(F.col("py"))
         cuts = [F.col("q")[i] for i in range(FAN - 2)] + [F.col("mid")]
         part = sum((c < v).cast("int") for c in cuts)
-        digit = F.when(F.col("n") > capacity, F.lower(F.hex(part.cast("bigint")))).otherwise(F.lit("0"))
-        out = materialize(out.join(nodes, "node").select("px", "py", F.concat("node", digit).alias("node")))
+        more = F.col("n") > capacity
+        digits = F.when(more, F.concat((part / 4).cast("int").cast("string"), (part % 4).cast("string"))).otherwise(F.lit("00"))
+        split = materialize(out.join(nodes, "node").select("px", "py", F.concat("node", digits).alias("node"), more.alias("more")))
+        if split.where("more").isEmpty():
+            return out
+        out = split.select("px", "py", "node")
 
 
 def nearest_leaves(points: DataFrame, leaves: DataFrame) -> DataFrame:
     """(px, py, node): for each point the leaves of ``capacity_tree`` that can hold its nearest neighbour.
 
-    Branch and bound, one level of the tree per step: a point joins the children of the nodes it still has; a tight box
-    surely holds a point within its smallest greatest distance (each side of it touches one), so nodes farther away
-    than the least such bound go.
+    Branch and bound, one level of the tree per step: a point joins the nodes it still has, each with the boxes of its (at
+    most four) children. A tight box surely holds an anchor within its smallest greatest distance (each side of it
+    touches one); children farther away than the least such distance on the way down go. Points are not shuffled where
+    the level is small enough for Spark to broadcast.
     """
     depth = leaves.select(F.length("node")).first()[0]
     boxes = materialize(leaves.groupBy("node").agg(
         F.min("px").alias("x0"), F.max("px").alias("x1"), F.min("py").alias("y0"), F.max("py").alias("y1")))
-    kept = points.select("px", "py", F.lit("").alias("node"))
-    px, py, x0, x1, y0, y1 = (F.col(c) for c in ("px", "py", "x0", "x1", "y0", "y1"))
+    kept = points.select("px", "py", F.lit("").alias("node"), F.lit(float("inf")).alias("least"))
+    px, py = F.col("px"), F.col("py")
     sq = lambda c: c * c
-    gap = sq(F.greatest(x0 - px, px - x1, F.lit(0.0))) + sq(F.greatest(y0 - py, py - y1, F.lit(0.0)))
-    near_x, far_x = F.least(F.abs(px - x0), F.abs(px - x1)), F.greatest(F.abs(px - x0), F.abs(px - x1))
-    near_y, far_y = F.least(F.abs(py - y0), F.abs(py - y1)), F.greatest(F.abs(py - y0), F.abs(py - y1))
-    bound = F.least(sq(near_x) + sq(far_y), sq(far_x) + sq(near_y))
+
+    def bound(b: Column) -> Column:
+        dx = F.abs(px - b["x0"]), F.abs(px - b["x1"])
+        dy = F.abs(py - b["y0"]), F.abs(py - b["y1"])
+        return F.least(sq(F.least(*dx)) + sq(F.greatest(*dy)), sq(F.greatest(*dx)) + sq(F.least(*dy)))
+    gap = (sq(F.greatest(F.col("x0") - px, px - F.col("x1"), F.lit(0.0))) + sq(F.greatest(F.col("y0") - py, py - F.col("y1"), F.lit(0.0))))
     for level in range(1, depth + 1):
-        children = boxes.groupBy(F.left("node", F.lit(level)).alias("child")).agg(
+        children = (boxes.groupBy(F.left("node", F.lit(level)).alias("child")).agg(
             F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))
-        children = children.withColumn("node", F.left("child", F.lit(level - 1)))
-        step = kept.join(children, "node").select("px", "py", F.col("child").alias("node"), gap.alias("gap"), bound.alias("bound"))
-        least = F.min("bound").over(Window.partitionBy("px", "py"))
-        kept = materialize(step.withColumn("least", least).where(F.col("gap") <= F.col("least") * (1 + 1e-9)).select("px", "py", "node"))
-    return kept
+            .groupBy(F.left("child", F.lit(level - 1)).alias("node")).agg(F.collect_list(F.struct("child", "x0", "x1", "y0", "y1")).alias("kids")))
+        step = kept.join(children, "node").withColumn("least", F.least("least", *[bound(F.get("kids", F.lit(i))) for i in range(4)]))
+        kept = (step.select("px", "py", "least", F.inline("kids")).where(gap <= F.col("least") * (1 + 1e-9))
+                .select("px", "py", F.col("child").alias("node"), "least"))
+    return kept.select("px", "py", "node")
 
 
 # ---------------------------------------------------------------------------
