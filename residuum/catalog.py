@@ -598,6 +598,34 @@ def q_keyword_classify_docs(spark, sf):
                                FX_DOC_LEXICON, text="text").select("doc_id", "category")
 
 
+LEXICON_WORDS = 120     # of each language; at four languages a lexicon of 480 entries
+_LEXICON = ("lexicon", f"""SELECT lang, word FROM (SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) AS k
+  FROM (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-zà-ÿ]{{4,}}')) AS word FROM documents WHERE lang IS NOT NULL) GROUP BY lang, word) WHERE k <= {LEXICON_WORDS}""")
+
+
+def language_lexicon(spark, sf) -> dict[str, list[str]]:
+    """The most frequent words of four letters and more of each language (``LEXICON_WORDS`` of each: a bounded list)."""
+    from pyspark.sql import Window
+    words = SC.read_table(spark, sf, "documents").where("lang IS NOT NULL").select(
+        "lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-zà-ÿ]{4,}"), F.lit(0))).alias("word"))
+    best = Window.partitionBy("lang").orderBy(F.desc("count"), "word")
+    top = words.groupBy("lang", "word").count().withColumn("k", F.row_number().over(best)).where(F.col("k") <= LEXICON_WORDS)
+    out: dict[str, list[str]] = {}
+    for r in top.orderBy("lang", "k").collect():
+        out.setdefault(r.lang, []).append(r.word)
+    return out
+
+
+@register("keyword_classify_lexicon", O.with_(_LEXICON, ("s", """SELECT doc_id, lexicon.lang, sum(length(word)) AS s
+  FROM documents JOIN lexicon ON contains(lower(text), word) GROUP BY doc_id, lexicon.lang"""),
+  ("b", "SELECT doc_id, lang FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, lang) = 1")) +
+  "SELECT doc_id, coalesce(b.lang, 'Other') AS category FROM documents LEFT JOIN b USING (doc_id)")
+def q_keyword_classify_lexicon(spark, sf):
+    """Keyword scoring with hundreds of words, themselves taken from the table."""
+    docs = SC.read_table(spark, sf, "documents").select("doc_id", "text")
+    return CL.keyword_classify(docs, language_lexicon(spark, sf), text="text").select("doc_id", "category")
+
+
 _HEAD, _TAIL = K.PROMPT_TEMPLATE.split("{names}")
 _HEAD = _HEAD.replace("{categories}", ", ".join(K.CUISINE_LABELS))
 

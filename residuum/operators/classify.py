@@ -1,9 +1,10 @@
 """Keyword classification and batched external labelling.
 
-Keyword scoring is a projection: the lexicon (a parameter, any size the plan
-can hold) is compiled into one ``contains`` term per keyword, summed per
-label, and the best label picked with ``array_max`` over (score, -order) — no
-join, no shuffle, streaming-safe. The external classifier is the only Python
+Keyword scoring is a projection: a short lexicon is compiled into one
+``contains`` term per keyword, a longer one (more terms than generated code
+takes well) into an automaton that walks each text once (``automaton.py``); the
+scores are summed per label and the best label picked with ``array_max`` over
+(score, -order) — no join, no shuffle, streaming-safe. The external classifier is the only Python
 boundary: prompts are built by Spark, sent in Arrow batches through
 ``mapInPandas`` to a caller-supplied function, and the answers are parsed,
 validated and matched back with built-in expressions and joins.
@@ -19,8 +20,11 @@ from pyspark.sql import functions as F
 
 from residuum.session import materialize
 from residuum.functions import constants as K
+from residuum.operators.automaton import automaton_label
 from residuum.operators.ordering import global_row_number
 
+MAX_TERMS = 64          # terms of a lexicon that go into one generated expression
+
 
 # ---------------------------------------------------------------------------
 # P14 — keyword scores
@@ -41,6 +45,8 @@ def keyword_scores(text: Column, lexicon: dict[str, list[str]]) -> list[tuple[st
 
 def keyword_label(text: Column, lexicon: dict[str, list[str]], other: str = K.OTHER) -> Column:
     """Highest-scoring label; ties go to the label listed first; no hit (or NULL/empty) → ``other``."""
+    if sum(map(len, lexicon.values())) > MAX_TERMS:
+        return automaton_label(text, lexicon, other)
     cands = [F.struct(score.alias("s"), F.lit(-i).alias("o"), F.lit(label).alias("l"))
              for i, (label, score) in enumerate(keyword_scores(text, lexicon))]
     best = F.array_max(F.array(*cands))
