@@ -26,7 +26,6 @@ from residuum.sources import scan as SC
 from residuum.sources.schema import VENUES
 from residuum.streaming import ingest as ST
 
-GBT_ARGS = dict(max_depth=4)
 CV_ITERATIONS = 15  # six fits; at the default of 100 they did not end in 260 s at sf0.01
 
 
@@ -68,14 +67,14 @@ def q_preprocess(spark, sf):
 @register("gbt_residuals")
 def q_gbt_residuals(spark, sf):
     ft = materialize(feature_table(spark, sf))
-    model = M.fit_gbt(ft, M.RETRAIN_FEATURES, **GBT_ARGS)
+    model = M.fit_gbt(ft, M.RETRAIN_FEATURES)
     return M.gbt_residuals(model, ft, M.RETRAIN_FEATURES).select("venue_id", "rating", "predicted_rating", "residual")
 
 
 @register("model_roundtrip")
 def q_model_roundtrip(spark, sf):
     ft = materialize(feature_table(spark, sf))
-    model = M.fit_gbt(ft, M.RETRAIN_FEATURES, **GBT_ARGS)
+    model = M.fit_gbt(ft, M.RETRAIN_FEATURES)
     loaded = M.load_model(M.save_model(model, shared_path(spark, "model")))
     a = M.gbt_residuals(model, ft, M.RETRAIN_FEATURES).select("venue_id", F.col("predicted_rating").alias("p0"))
     b = M.gbt_residuals(loaded, ft, M.RETRAIN_FEATURES).select("venue_id", F.col("predicted_rating").alias("p1"))
@@ -85,13 +84,13 @@ def q_model_roundtrip(spark, sf):
 @register("cv_gbt")
 def q_cv_gbt(spark, sf):
     ft = materialize(kfold_contiguous(feature_table(spark, sf), ["venue_id"]))
-    return M.cv_gbt(ft, M.RETRAIN_FEATURES, max_iter=CV_ITERATIONS, **GBT_ARGS)
+    return M.cv_gbt(ft, M.RETRAIN_FEATURES, max_iter=CV_ITERATIONS)
 
 
 @register("perm_importance")
 def q_perm_importance(spark, sf):
     ft = materialize(feature_table(spark, sf))
-    model = M.fit_gbt(ft, M.RETRAIN_FEATURES, **GBT_ARGS)
+    model = M.fit_gbt(ft, M.RETRAIN_FEATURES)
     return M.permutation_importance(model, ft, M.RETRAIN_FEATURES, repeats=K.PERM_REPEATS)
 
 

@@ -10,6 +10,8 @@ so broadcasting it is bounded by the partition count.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +47,34 @@ def global_row_number(df: DataFrame, order_cols: list, out: str = "rn",
     return res.select(*df.columns, *keep)
 
 
+def shuffled_index(i: Column, n: int, *seeds: Column, rounds: int = 4) -> Column:
+    """A seeded bijection of [0, n): where index ``i`` goes, computed for each row alone, without a sort.
+
+    A Feistel network over a grid of a x b cells just large enough for ``n``: in turn the row is moved by a hash of the
+    column and the column by a hash of the row, which can be undone, so the map is one to one. A result outside [0, n) is
+    mapped again; it can stay outside only as often as there are cells to spare, and the grid is chosen with few.
+    """
+    if n < 1:
+        return i
+    root = math.isqrt(n - 1) + 1
+    a = min(range(root, 2 * root + 1), key=lambda k: (k * -(-n // k) - n, k))
+    b = -(-n // a)
+    grid_a, grid_b = F.lit(a).cast("bigint"), F.lit(b).cast("bigint")
+
+    def once(x: Column) -> Column:
+        cell = F.struct(F.floor(x / grid_b).alias("r"), F.pmod(x, grid_b).alias("c"))
+        moved = F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), cell, lambda s, k: F.struct(
+            F.when(k % 2 == 0, F.pmod(s["r"] + F.pmod(F.xxhash64(s["c"], k, *seeds), grid_a), grid_a)).otherwise(s["r"]).alias("r"),
+            F.when(k % 2 == 1, F.pmod(s["c"] + F.pmod(F.xxhash64(s["r"], k, *seeds), grid_b), grid_b)).otherwise(s["c"]).alias("c")),
+            lambda s: s["r"] * grid_b + s["c"])
+        return moved
+    spare = a * b - n
+    first = once(i.cast("bigint"))
+    if not spare:
+        return first
+    return F.aggregate(F.sequence(F.lit(1), F.lit(spare)), first, lambda x, _: F.when(x < n, x).otherwise(once(x)))
+
+
 def fold_of(rn: Column, total: Column, k: int) -> Column:
     """Contiguous fold id (0-based) of 1-based position ``rn`` among ``total`` rows;
     the first ``total % k`` folds are one row larger (the ``ntile`` rule)."""

@@ -10,8 +10,8 @@ Two regressors:
   with categorical features indexed by ``StringIndexer`` (alphabetical codes).
 
 Folds are contiguous in an explicit order (``kfold_contiguous``); permutation
-importance permutes by a seeded random key numbered in one distributed pass and
-scores every (feature, repeat) copy in a single ``transform``.
+importance permutes by seeded bijections of the row numbers and scores every
+(feature, repeat) copy in a single ``transform``.
 """
 
 from __future__ import annotations
@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from residuum.functions import constants as K
-from residuum.operators.ordering import global_row_number
+from residuum.operators.ordering import global_row_number, shuffled_index
+from residuum.session import materialize
 
 TRAIN_FEATURES = ["log_reviews", "price_level_num", "is_chain", "cluster_density",
                   "category_encoded", "planning_area"]
@@ -189,29 +190,30 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
+def permuted_values(base: DataFrame, cols: list[str], n: int, repeats: int, seed: int = K.SEED) -> DataFrame:
+    """(_f, _r, _i, _v): for each of ``cols`` and repeat, the value that row ``_i`` (numbered 0 to n-1) gets from another row."""
+    copies = F.array(*[F.struct(F.lit(fi).alias("_f"), F.lit(r).alias("_r"), F.col(c).cast("double").alias("_v"))
+                       for fi, c in enumerate(cols) for r in range(repeats)])
+    rep = base.select(F.col("_i").alias("_from"), F.inline(copies))
+    to = shuffled_index(F.col("_from"), n, F.lit(seed), F.col("_f"), F.col("_r"))
+    return rep.select("_f", "_r", to.alias("_i"), "_v")
+
+
 def permutation_importance(model: PipelineModel, df: DataFrame, features: list[str], label: str = "rating",
                            repeats: int = K.PERM_REPEATS, seed: int = K.SEED, id_col: str = "venue_id") -> DataFrame:
     """Mean/std drop of R² when one feature is shuffled, per feature (desc by mean).
 
-    All (feature, repeat) shuffles are numbered in one distributed pass: rows
-    are replicated per copy with a seeded random key and globally numbered by
-    (copy, key); the position inside the copy is the permuted row index.
+    Every (feature, repeat) copy is a seeded bijection of the row numbers (``permuted_values``): a copy carries the
+    number of the row that receives a value and the value alone, and meets the rows by number. The rows are numbered
+    once; the copies are not sorted.
     """
     data = prepare_features(df, features, label)
     feat_stage = PipelineModel(stages=model.stages[:-2])
     head = feat_stage.transform(data)
     cols = [f"{c}_idx" if c in CATEGORICAL else c for c in features]
-    base = global_row_number(head.select(id_col, label, *cols), [id_col], out="_i", total_col="_N")
-    n = base.select(F.max("_N")).scalar()
-    copies = F.array(*[F.struct(F.lit(fi).alias("_f"), F.lit(r).alias("_r"))
-                       for fi in range(len(cols)) for r in range(repeats)])
-    rep = base.select("_i", *cols, F.inline(copies))
-    rep = rep.withColumn("_key", F.rand(seed)).withColumn("_g", F.col("_f") * repeats + F.col("_r"))
-    num = global_row_number(rep, ["_g", "_key", "_i"], out="_rn")
-    num = num.withColumn("_pi", F.col("_rn") - F.col("_g") * n)
-    value = F.element_at(F.array(*[F.col(c) for c in cols]), F.col("_f") + 1)
-    perm = num.select("_g", "_f", "_r", F.col("_pi").alias("_i"), value.alias("_v"))
-    j = base.join(perm, "_i")
+    base = materialize(global_row_number(head.select(id_col, label, *cols), [id_col], out="_i").withColumn("_i", F.col("_i") - 1))
+    perm = permuted_values(base, cols, base.count(), repeats, seed)
+    j = perm.join(base.hint("shuffle_hash"), "_i")
     j = j.withColumns({c: F.when(F.col("_f") == i, F.col("_v")).otherwise(F.col(c)) for i, c in enumerate(cols)})
     tail = PipelineModel(stages=model.stages[-2:])
     scored = tail.transform(j)

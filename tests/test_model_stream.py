@@ -146,7 +146,7 @@ def test_geojson_collection_multipolygon_and_fallbacks(spark):
     assert feats.count() == 3
     e = S.edges_from_rings(G.geojson_rings(feats))
     pts = spark.createDataFrame([(1, 1.0, 1.0), (2, 7.5, 0.5), (3, 6.5, 0.5)], "venue_id long, longitude double, latitude double")
-    got = {r.venue_id: r.area_within for r in S.point_in_area(pts, e, strip=0.5).collect()}
+    got = {r.venue_id: r.area_within for r in S.point_in_area(pts, e, cell=0.5).collect()}
     assert got == {1: "P", 2: "M", 3: None}
     anchors = G.geojson_points(feats).collect()
     assert [(a.longitude, a.latitude) for a in anchors] == [(1.5, 2.5)]
