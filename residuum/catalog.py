@@ -197,11 +197,11 @@ def q_ledger_union(spark, sf):
     return ledger_union(done, new)
 
 
-@register("append_rows", O.with_(O.V) + "SELECT v.* FROM v JOIN orders o ON v.venue_id = o.o_orderkey WHERE o.o_orderstatus IS NOT NULL")
+@register("append_rows", O.with_(O.V) + "SELECT * FROM v")
 def q_append_rows(spark, sf):
     o = SC.read_table(spark, sf, "orders")
-    old = FX.venues_from_orders(o.where(F.col("o_orderstatus") == "F"))
-    new = FX.venues_from_orders(o.where(F.col("o_orderstatus") != "F"))
+    first = F.col("o_orderstatus").eqNullSafe("F")        # rows without a status are in the second part
+    old, new = FX.venues_from_orders(o.where(first)), FX.venues_from_orders(o.where(~first))
     return old.unionByName(new)
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from residuum.catalog import FX_OVERRIDES, edges, register, rnd, venues
+from residuum import oracle as O
 from residuum.functions import constants as K
 from residuum.functions.geo import project_local_m
 from residuum.operators import classify as CL
@@ -34,7 +35,7 @@ def feature_table(spark, sf):
     return preprocess(venues(spark, sf), FX.anchors_fx(spark, sf), edges(spark, sf), overrides=FX_OVERRIDES)
 
 
-@register("scan_geojson")
+@register("scan_geojson", O.with_(O.V, O.AR, O.WITHIN) + "SELECT venue_id, area_within FROM within")
 def q_scan_geojson(spark, sf):
     path = G.write_geojson_seq(FX.areas_fx(spark, sf), shared_path(spark, "areas_geojson"))
     rings = G.geojson_rings(G.scan_geojson(spark, path, collection=False))
@@ -50,7 +51,8 @@ def q_scan_kml(spark, sf):
                       "altitude")
 
 
-@register("source_fallback")
+@register("source_fallback", O.with_(O.V, O.VX, O.AX) + """SELECT venue_id, round(d, 3) AS dist_to_hawker, d < 50.0::DOUBLE AS is_hawker FROM (
+  SELECT vx.venue_id, min(sqrt((vx.x - ax.x) * (vx.x - ax.x) + (vx.y - ax.y) * (vx.y - ax.y))) AS d FROM vx, ax GROUP BY vx.venue_id)""")
 def q_source_fallback(spark, sf):
     kml = G.write_kml_placemarks(FX.anchors_fx(spark, sf), shared_path(spark, "fallback_kml"))
     missing = shared_path(spark, "no_such_geojson")
@@ -101,10 +103,14 @@ def stub_classifier(prompt: str) -> str:
     return "\n".join(f"{n} | {K.CUISINE_LABELS[len(n) % len(K.CUISINE_LABELS)]}" for n in names)
 
 
-@register("batch_inference")
+_STUB = ("stub", f"""SELECT vce.*, [{', '.join(O.lit(x) for x in K.CUISINE_LABELS)}][length(name) % {len(K.CUISINE_LABELS)} + 1] AS answer FROM vce""")
+
+
+@register("batch_inference", O.with_(O.V, O.TOPCAT, O.VCE, _STUB) + """SELECT venue_id, name, CASE WHEN category_encoded = 'Other' THEN coalesce(answer, 'Other')
+  ELSE category_encoded END AS category FROM stub""")
 def q_batch_inference(spark, sf):
     v = top_category_bucket(venues(spark, sf))
-    out = CL.batch_inference(v, stub_classifier, category="category_encoded")
+    out = CL.batch_inference(v, stub_classifier, category="category_encoded", parallelism=256)
     return out.select("venue_id", "name", F.col("category_encoded").alias("category"))
 
 
@@ -117,7 +123,7 @@ def _drop_files(spark, sf):
     return src
 
 
-@register("ingest_stream")
+@register("ingest_stream", O.with_(O.V) + "SELECT * FROM v")
 def q_ingest_stream(spark, sf):
     src = _drop_files(spark, sf)
     sink, ck = shared_path(spark, "ingested"), shared_path(spark, "ingest_ckpt")
@@ -126,9 +132,34 @@ def q_ingest_stream(spark, sf):
     return ST.read_ingested(spark, sink, VENUES)
 
 
-@register("stream_dedup_best")
+MICRO_BATCHES = 6
+
+
+@register("stream_dedup_best", O.with_(O.V, O.DEDUP) + "SELECT * FROM d")
 def q_stream_dedup_best(spark, sf):
-    src = _drop_files(spark, sf)
+    """The table arrives in ``MICRO_BATCHES`` files, one per micro-batch; keys recur across them, and runs are merged."""
+    src = shared_path(spark, "arrivals")
+    v = venues(spark, sf)
+    v.repartition(MICRO_BATCHES, F.pmod(F.xxhash64("venue_id"), F.lit(MICRO_BATCHES))).write.parquet(src)
     table, ck = shared_path(spark, "best"), shared_path(spark, "best_ckpt")
-    ST.stream_dedup_best(spark, src, VENUES, table, ck)
-    return ST.read_bucketed(spark, table, VENUES)
+    ST.stream_dedup_best(spark, src, VENUES, table, ck, max_files_per_trigger=1)
+    return ST.read_best(spark, table, VENUES)
+
+
+@register("ledger_write", """SELECT c_custkey AS seed_id, CASE WHEN count(o_orderkey) > 0 THEN 'done' ELSE 'failed' END AS status,
+  count(o_orderkey) AS n_rows FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey""")
+def q_ledger_write(spark, sf):
+    """Seeds are customers, taken in three batches; their orders are the rows found, a customer without any is a failed seed."""
+    root = shared_path(spark, "crawl")
+    seeds = SC.read_table(spark, sf, "customer").select(F.col("c_custkey").alias("seed_id"))
+    found = SC.read_table(spark, sf, "orders").select(F.col("o_custkey").alias("seed_id"), "o_orderkey")
+    for k in range(3):
+        batch = ST.pending_seeds(seeds, ST.ledger(spark, root)).where(F.pmod("seed_id", F.lit(3)) <= k)
+        rows = found.join(batch, "seed_id")
+        status = F.when(F.col("n") > 0, "done").otherwise("failed")
+        ids = batch.join(rows.groupBy("seed_id").agg(F.count(F.lit(1)).alias("n")), "seed_id", "left").select("seed_id", status.alias("status"))
+        ST.commit_batch(spark, root, f"batch-{k}", rows, ids)
+        ST.commit_batch(spark, root, f"batch-{k}", rows, ids)       # a replay publishes nothing
+    rows = ST.committed_rows(spark, root, found.schema).groupBy("seed_id").agg(F.count(F.lit(1)).alias("n"))
+    return (ST.ledger(spark, root).join(rows, "seed_id", "left")
+            .select("seed_id", "status", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_rows")))

@@ -29,6 +29,7 @@ LAT_BAND_STRICT = (1.15, 1.48)
 # ---------------------------------------------------------------------------
 # FIXED VALUES — feature rules
 # ---------------------------------------------------------------------------
+DEFAULT_DENSITY = 10            # neighbours of a row in a table without that column
 CHAIN_MIN_COUNT = 2             # is_chain: count(name) > 2
 TOP_CATEGORIES = 20             # categories kept before bucketing to OTHER
 OTHER = "Other"

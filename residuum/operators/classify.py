@@ -12,16 +12,20 @@ validated and matched back with built-in expressions and joins.
 
 from __future__ import annotations
 
+import math
+import time
+import uuid
 from typing import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from residuum.session import materialize
+from residuum.session import materialize, shared_path
 from residuum.functions import constants as K
 from residuum.operators.automaton import automaton_label
 from residuum.operators.ordering import global_row_number
+from residuum.sources.scan import path_exists
 
 MAX_TERMS = 64          # terms of a lexicon that go into one generated expression
 
@@ -159,38 +163,80 @@ def apply_labels(df: DataFrame, mapping: DataFrame, category: str = "category",
 # M8 — batch inference through a caller-supplied function
 # ---------------------------------------------------------------------------
 
-def call_classifier(batches: DataFrame, fn: Callable[[str], str], parallelism: int | None = None) -> DataFrame:
+ANSWERS = "prompt_id string, response string, error boolean"
+
+
+def call_classifier(batches: DataFrame, fn: Callable[[str], str], parallelism: int | None = None,
+                    calls_per_minute: float | None = None, store: str | None = None, back_off: float = 5.0) -> DataFrame:
     """(batch_id, response, error) for every prompt; ``fn`` maps prompt text → answer text.
 
-    ``parallelism`` bounds concurrent callers (what the service allows); by default
-    as many as the session has cores.
-    A failing call marks its batch as an error; its names become ``Other``.
+    What the service allows must be said: ``parallelism`` (most calls at a time), ``calls_per_minute`` (of all callers
+    together), or both. Prompts go out in waves of ``parallelism`` (or a minute's) calls. A wave is one Spark job with
+    one call per task; the call with number k of a wave starts no earlier than k intervals after the wave, and the next
+    wave no earlier than the wave's intervals have passed, whatever executors, retries or stalls do. A failing call marks
+    its batch as an error (its names become ``Other``) and the next wave waits ``back_off`` seconds, twice as long after
+    each further wave with errors.
+
+    Answers are kept by the hash of the prompt in the folder ``store`` (default: a new one in the shared folder), one
+    write per wave: a rerun with the same store calls only what has no answer yet, and a lost task repeats its own call
+    alone. Errors are not kept.
     """
+    if not parallelism and not calls_per_minute:
+        raise ValueError("state what the service allows: parallelism or calls_per_minute")
+    spark = batches.sparkSession
+    store = store or shared_path(spark, "answers")
+    size = int(parallelism or max(1, math.floor(calls_per_minute)))
+    interval = 60.0 / calls_per_minute if calls_per_minute else 0.0
+    prompts = batches.select("batch_id", "prompt", F.sha2(F.col("prompt").cast("binary"), 256).alias("prompt_id"))
+    todo = prompts.groupBy("prompt_id").agg(F.min("batch_id").alias("first"), F.first("prompt").alias("prompt"))
+    if path_exists(spark, store):
+        todo = todo.join(spark.read.schema(ANSWERS).parquet(f"{store}/*").where("NOT error"), "prompt_id", "left_anti")
+    todo = materialize(global_row_number(todo, ["first", "prompt_id"], out="n"))
+    waves, start, misses, run = -(-todo.count() // size), 0.0, 0, uuid.uuid4().hex
+    for wave in range(waves):
+        wait = max(start + size * interval if wave else 0.0, time.time() + (back_off * 2 ** (misses - 1) if misses else 0.0))
+        time.sleep(max(0.0, wait - time.time()))
+        start = time.time()
+        mine = todo.where(F.floor((F.col("n") - 1) / size) == wave).select("prompt_id", "prompt", ((F.col("n") - 1) % size).cast("int").alias("slot"))
+        path = f"{store}/{run}-{wave:08d}"
+        (mine.repartitionByRange(size, "slot").mapInPandas(_caller(fn, start, interval), ANSWERS).write.mode("overwrite").parquet(path))
+        misses = 0 if spark.read.schema(ANSWERS).parquet(path).where("error").isEmpty() else misses + 1
+    if not path_exists(spark, store):
+        return prompts.select("batch_id", F.lit(None).cast("string").alias("response"), F.lit(False).alias("error")).limit(0)
+    # a later answer to a prompt that failed before counts
+    kept = spark.read.schema(ANSWERS).parquet(f"{store}/*").groupBy("prompt_id").agg(
+        F.max("response").alias("response"), F.min("error").alias("error"))
+    return prompts.join(kept, "prompt_id").select("batch_id", "response", "error")
+
+
+def _caller(fn: Callable[[str], str], start: float, interval: float):
     def run(it: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         for pdf in it:
-            resp, err = [], []
-            for p in pdf["prompt"]:
+            out = []
+            for row in pdf.itertuples():
+                time.sleep(max(0.0, start + row.slot * interval - time.time()))
                 try:
-                    resp.append(fn(p))
-                    err.append(False)
+                    out.append((row.prompt_id, fn(row.prompt), False))
                 except Exception:          # the whole batch falls back to Other
-                    resp.append(None)
-                    err.append(True)
-            yield pd.DataFrame({"batch_id": pdf["batch_id"], "response": resp, "error": err})
-
-    callers = parallelism or batches.sparkSession.sparkContext.defaultParallelism
-    return (batches.select("batch_id", "prompt").repartition(callers, "batch_id")
-                   .mapInPandas(run, "batch_id long, response string, error boolean"))
+                    out.append((row.prompt_id, None, True))
+            yield pd.DataFrame(out, columns=["prompt_id", "response", "error"])
+    return run
 
 
 def batch_inference(df: DataFrame, fn: Callable[[str], str], category: str = "category",
                     name: str = "name", batch_size: int = K.BATCH_SIZE, parallelism: int | None = None,
-                    labels: list[str] = K.CUISINE_LABELS, other: str = K.OTHER) -> DataFrame:
-    """Label leftover rows via an external classifier; returns ``df`` with updated categories."""
+                    labels: list[str] = K.CUISINE_LABELS, other: str = K.OTHER, calls_per_minute: float | None = None,
+                    store: str | None = None, back_off: float = 5.0) -> DataFrame:
+    """Label leftover rows via an external classifier; returns ``df`` with updated categories.
+
+    No leftovers: ``df`` as it is, without a call. See ``call_classifier`` for what the service allows and the store.
+    """
+    if leftover_names(df, category, name, other).isEmpty():
+        return df.withColumn(category, F.coalesce(F.col(category), F.lit(other)))
     members, batches = prompt_batches(leftover_names(df, category, name, other), name, batch_size,
                                       labels=labels)
     # written once: the two branches below must see the same answer, and each prompt is one call
-    answers = materialize(call_classifier(batches, fn, parallelism))
+    answers = materialize(call_classifier(batches, fn, parallelism, calls_per_minute, store, back_off))
     parsed = response_parse(answers.where(~F.col("error")))
     parsed = parsed.withColumn("category", label_validate(F.col("raw_category"), labels, other))
     matched = fuzzy_match(parsed, members)

@@ -19,9 +19,10 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from residuum.functions import columns as C
 from residuum.functions import constants as K
 from residuum.operators import classify as CL
-from residuum.operators.features import dedup_best
+from residuum.operators.features import dedup_best, is_chain
 from residuum.plans import model as M
 from residuum.plans import serve as SV
 from residuum.plans.preprocess import preprocess
@@ -49,20 +50,41 @@ def build(raw: DataFrame, anchors: DataFrame | None, edges: DataFrame | None,
     return Fitted(table, model)
 
 
+def default_columns(t: DataFrame) -> DataFrame:
+    """Model features that a table lacks: review logarithm and chain flag from its own rows, ``DEFAULT_DENSITY`` neighbours."""
+    if "log_reviews" not in t.columns:
+        t = t.withColumn("log_reviews", C.log_reviews())
+    if "is_chain" not in t.columns:
+        t = is_chain(t)
+    if "cluster_density" not in t.columns:
+        t = t.withColumn("cluster_density", F.lit(K.DEFAULT_DENSITY).cast("bigint"))
+    return t
+
+
 def refresh(table: DataFrame, lexicon: dict[str, list[str]] | None,
             classifier: Callable[[str], str] | None, features: list[str] = M.RETRAIN_FEATURES,
-            parallelism: int | None = None, table_root: str | None = None, **gbt) -> Fitted:
-    """Dedup → keyword categories → external labels for ``Other`` → refit.
+            parallelism: int | None = 1, table_root: str | None = None, calls_per_minute: float | None = None,
+            answers: str | None = None, anchors: DataFrame | None = None, edges: DataFrame | None = None,
+            rebuild: bool = False, basis: str = "raw", **gbt) -> Fitted:
+    """Dedup → keyword categories → external labels for ``Other`` → features → refit.
 
-    ``table`` is a previous build's output (it carries the features). Writes a
-    new version under ``table_root`` instead of overwriting what it read.
+    ``table`` is a previous build's output. Its features are kept (missing ones get ``default_columns``), or, with
+    ``rebuild``, computed again from ``anchors`` and ``edges``: with ``basis="raw"`` chain flag and density count the rows
+    of ``table`` before deduplication, with ``"current"`` the deduplicated rows (as the original does, by which no name is
+    a chain any more). Writes a new version under ``table_root`` instead of overwriting what it read.
     """
+    if basis not in ("raw", "current"):
+        raise ValueError("basis is raw or current")
+    if rebuild and basis == "raw":
+        table = materialize(preprocess(table, anchors, edges))
     t = dedup_best(table)
+    if rebuild and basis == "current":
+        t = preprocess(t, anchors, edges)
     if lexicon:
         t = CL.keyword_classify(t, lexicon)
     if classifier is not None:
-        t = CL.batch_inference(t, classifier, parallelism=parallelism)
-    t = materialize(t.drop("predicted_rating", "residual"))
+        t = CL.batch_inference(t, classifier, parallelism=parallelism, calls_per_minute=calls_per_minute, store=answers)
+    t = materialize(default_columns(t.drop("predicted_rating", "residual")))
     model = M.fit_gbt(t, features, **gbt)
     out = M.gbt_residuals(model, t, features)
     if table_root:

@@ -1,9 +1,9 @@
 """Feature build (the original preprocessing stage) as one Spark plan.
 
 Order of operations follows the original with two documented choices:
-``basis="raw"`` computes frequency/density features on the rows as given
-(the original recomputes them after dedup, which turns every name into a
-non-chain); ``overrides_first`` applies coordinate overrides before the
+frequency and density features are computed on the rows as given (``refresh`` says
+whether before or after dedup: after it every name is a non-chain);
+``overrides_first`` applies coordinate overrides before the
 distance features (the original applies them after, so overridden rows keep
 distances of their wrong location — pass ``overrides_first=False`` for that).
 """

@@ -69,7 +69,7 @@ def test_batch_inference_error_batch_falls_back(spark):
         if "name 020" in names:
             raise RuntimeError("service down")
         return "\n".join(f"{n} | Thai" for n in names)
-    out = {r.name: r.category for r in CL.batch_inference(df, fn).collect()}
+    out = {r.name: r.category for r in CL.batch_inference(df, fn, parallelism=4, back_off=0.1).collect()}
     assert out["name 000"] == "Thai" and out["name 044"] == "Thai"
     assert out["name 020"] == "Other" and out["name 039"] == "Other"
     assert len(out) == 45

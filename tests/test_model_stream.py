@@ -66,23 +66,56 @@ def test_ingest_stream_is_incremental_and_idempotent(spark):
     assert out.count() == v.count() and out.select("venue_id").distinct().count() == v.count()
 
 
-def test_stream_dedup_equals_batch_dedup(spark):
+def test_stream_dedup_over_many_micro_batches(spark):
     from residuum.catalog import venues
     from residuum.operators.features import dedup_best
-    src = shared_path(spark, "t_arr2")
+    from residuum.streaming import runs as R
+    src, table, ck = (shared_path(spark, n) for n in ("t_arr2", "t_best", "t_best_ck"))
     v = venues(spark, SF_SMALL)
-    v.where("venue_id % 3 = 0").write.parquet(src + "/p=0")
-    table, ck = shared_path(spark, "t_best"), shared_path(spark, "t_best_ck")
-    ST.stream_dedup_best(spark, src, VENUES, table, ck, buckets=8)
-    v.where("venue_id % 3 <> 0").write.parquet(src + "/p=1")
-    ST.stream_dedup_best(spark, src, VENUES, table, ck, buckets=8)
-    got = ST.read_bucketed(spark, table, VENUES)
+    go = lambda: ST.stream_dedup_best(spark, src, VENUES, table, ck, max_files_per_trigger=1, fan_in=3)
+    for k in range(5):
+        v.where(f"venue_id % 5 = {k}").coalesce(1).write.parquet(f"{src}/p={k}")
+        go()
     want = dedup_best(v)
-    assert got.count() == want.count()
-    assert got.exceptAll(want).count() == 0
-    # replaying the last batch from the versions before it gives the same table
-    ST.stream_dedup_best(spark, src, VENUES, table, ck, buckets=8)
-    assert ST.read_bucketed(spark, table, VENUES).exceptAll(want).count() == 0
+    got = ST.read_best(spark, table, VENUES)
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0
+    log = R.entries(spark, table)
+    batches = [e for e in log if "merge" not in e["name"]]
+    assert len(batches) == 5 and len(log) > 5
+    for k, e in enumerate(batches):                                           # a batch writes its own winners alone
+        assert e["adds"][0]["rows"] == dedup_best(v.where(f"venue_id % 5 = {k}")).count()
+    assert sum(a["rows"] for e in log for a in e["adds"]) <= 3 * v.count()
+    go()                                                                      # nothing new: nothing written
+    assert R.entries(spark, table) == log
+    assert R.vacuum(spark, table, keep=0) == sum(len(e["drops"]) for e in log) > 0
+    assert ST.read_best(spark, table, VENUES).exceptAll(want).count() == 0
+
+
+def test_rows_and_ledger_are_published_together(spark, monkeypatch):
+    from residuum.streaming import runs as R
+    root = shared_path(spark, "t_ledger")
+    seeds = spark.range(10).withColumnRenamed("id", "seed_id")
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "seed_id long, name string")
+    ids = spark.createDataFrame([(1, "done"), (2, "done"), (3, "failed")], "seed_id long, status string")
+
+    def die(*_):
+        raise RuntimeError("killed")
+    with monkeypatch.context() as m:                                          # after the rows and ids, before the log entry
+        m.setattr(R, "publish", die)
+        try:
+            ST.commit_batch(spark, root, "b0", rows, ids)
+        except RuntimeError:
+            pass
+    assert ST.committed_rows(spark, root, rows.schema).count() == 0 and ST.pending_seeds(seeds, ST.ledger(spark, root)).count() == 10
+
+    try:                                                                      # between the two writes
+        ST.commit_batch(spark, root, "b0", rows, type("D", (), {"select": lambda *_: die()})())
+    except RuntimeError:
+        pass
+    assert ST.committed_rows(spark, root, rows.schema).count() == 0 and ST.ledger(spark, root).count() == 0
+    assert ST.commit_batch(spark, root, "b0", rows, ids) and not ST.commit_batch(spark, root, "b0", rows, ids)
+    assert ST.committed_rows(spark, root, rows.schema).exceptAll(rows).count() == 0 and ST.ledger(spark, root).count() == 3
+    assert sorted(r.seed_id for r in ST.pending_seeds(seeds, ST.ledger(spark, root)).collect()) == [0, 4, 5, 6, 7, 8, 9]
 
 
 def test_sink_versions_and_missing_scan(spark):
