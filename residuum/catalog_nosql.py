@@ -43,7 +43,17 @@ def q_scan_geojson(spark, sf):
     return S.point_in_area(venues(spark, sf), e).select("venue_id", "area_within")
 
 
-@register("scan_kml")
+@register("scan_geojson_collection", f"""SELECT CAST(row_number() OVER (ORDER BY anchor_id) - 1 AS BIGINT) AS position, CAST(anchor_id AS BIGINT) AS anchor_id, longitude, latitude
+FROM ({O.ANCHORS})""")
+def q_scan_geojson_collection(spark, sf):
+    """One FeatureCollection document, read in byte ranges; positions are those of the document."""
+    path = G.write_feature_collection(FX.anchors_fx(spark, sf), shared_path(spark, "collection"), "anchor_id")
+    feats = G.scan_geojson(spark, path)
+    xy = F.from_json("coordinates", "array<double>")
+    return feats.select("position", F.col("properties")["anchor_id"].cast("bigint").alias("anchor_id"), xy[0].alias("longitude"), xy[1].alias("latitude"))
+
+
+@register("scan_kml", f"SELECT CAST(anchor_id AS BIGINT) AS anchor_id, longitude, latitude, 0.0::DOUBLE AS altitude FROM ({O.ANCHORS})")
 def q_scan_kml(spark, sf):
     path = G.write_kml_placemarks(FX.anchors_fx(spark, sf), shared_path(spark, "anchors_kml"))
     kml = G.scan_kml(spark, path)
