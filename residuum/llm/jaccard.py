@@ -44,8 +44,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from residuum.llm.graph import components
-from residuum.llm.staging import discard, id_text, stage
-from residuum.llm.textops import LOWER, SPACE_SPLIT, blocks, find_words, mix, prefix_hash, span_hash, word_hashes
+from residuum.llm.staging import discard, hold, id_text, stage
+from residuum.llm.textops import LOWER, SPACE_SPLIT, blocks, find_words, mix, prefix_hash, span_hash, word_codes
 
 SHINGLE = 5
 PERCENT = 75
@@ -63,7 +63,7 @@ def shingle_sets(batches):
     for b in blocks(batches):
         data = LOWER[b.data]
         words = find_words(data, b.off, SPACE_SPLIT)
-        total = prefix_hash(word_hashes(data, words))
+        total = prefix_hash(word_codes(data, words))
         n = len(words.start)
         at = np.arange(max(0, n - SHINGLE + 1))
         grams = span_hash(total, at, at + SHINGLE)
@@ -95,7 +95,7 @@ def _frequent(docs: DataFrame):
             .orderBy(F.desc("c"), "h").limit(HOT_LIST).toPandas())
     h = rows["h"].to_numpy(np.int64)[::-1].copy().view(np.uint64)
     by = np.argsort(h)
-    return spark.sparkContext.broadcast((h[by], by))
+    return hold(spark.sparkContext.broadcast((h[by], by)))
 
 
 def _in_order(s: np.ndarray, hot) -> tuple[np.ndarray, int]:
@@ -247,4 +247,6 @@ def _all_links(docs: DataFrame, hot, shared: DataFrame, percent: int) -> DataFra
     y = still.selectExpr("gram AS gb", "node AS b", "n AS nb", "room AS mb", "root AS rb", "low AS lb", "high AS hb")
     rest = (x.join(y, F.expr(f"ga = gb AND a < b AND ra <> rb AND {fits} AND {placed} AND (la IS NULL OR (la - hb <= {reach} AND lb - ha <= {reach}))"))
             .groupBy("a", "b", "na", "nb").count().where(F.col("count") >= COMMON).drop("count").join(star.select("a", "b"), ["a", "b"], "leftanti"))
-    return near.unionByName(_overlaps(docs, hot, stage(rest, "jaccard-rest")).where(links).select("a", "b"))
+    rest = stage(rest, "jaccard-rest")
+    discard(still, star)
+    return near.unionByName(_overlaps(docs, hot, rest).where(links).select("a", "b"))

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from residuum.llm.staging import id_text
+from residuum.llm.staging import give_back, hold, id_text
 from residuum.llm.textops import LOWER, SPACE_SPLIT, blocks, find_words, prefix_hash, span_hash, text_buffer, word_hashes
 
 MOST = 4096
@@ -229,7 +229,7 @@ def train(texts: DataFrame, docs: DataFrame, labels: DataFrame, label: str, keep
     Document frequencies are those of ``texts`` (any number, text), which may hold rows that ``docs`` has no id for.
     """
     rarity = rarities(texts)
-    sent = docs.sparkSession.sparkContext.broadcast(rarity)
+    sent = docs.sparkSession.sparkContext.broadcast(rarity)  # read by one job, which ends here
 
     def run(batches):
         for batch in batches:
@@ -247,8 +247,12 @@ def train(texts: DataFrame, docs: DataFrame, labels: DataFrame, label: str, keep
     y = rows.column("label").to_numpy()
     (term, off), (w, _), (shape, _) = (text_buffer(rows.column(c).combine_chunks()) for c in ("term", "w", "shape"))
     del rows
-    return Model(rarity, off // 4, term[:off[-1]].view(np.int32), w[:off[-1]].view(np.float32),
+    sent.destroy()
+    model = Model(rarity, off // 4, term[:off[-1]].view(np.int32), w[:off[-1]].view(np.float32),
                  shape[:2 * FEATURES * len(y)].view(np.float16).reshape(-1, FEATURES).astype(np.float32), y)
+    del term, w, shape
+    give_back()
+    return model
 
 
 def _texts(docs: DataFrame, text_col: str) -> DataFrame:
@@ -269,7 +273,7 @@ def scores(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: in
 
 def accepted(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 4, held: int = 2, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs`` that reach the threshold, with all their columns; rows without an id are scored too. No text is shuffled."""
-    model = docs.sparkSession.sparkContext.broadcast(train(_texts(docs, text_col), id_text(docs, id_col, text_col), labels, label, fold("doc_id", parts) != held))
+    model = hold(docs.sparkSession.sparkContext.broadcast(train(_texts(docs, text_col), id_text(docs, id_col, text_col), labels, label, fold("doc_id", parts) != held)))
 
     def run(batches):
         for batch in batches:

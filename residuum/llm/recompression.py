@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from residuum.llm import repeats
 from residuum.llm.staging import discard, id_text, stage
-from residuum.llm.textops import SPACE_SPLIT, blocks, find_words, mix, prefix_hash, span_hash, text_buffer, word_hashes, Block
+from residuum.llm.textops import SPACE_SPLIT, blocks, find_words, mix, prefix_hash, span_hash, text_buffer, word_codes, Block
 
 WINDOW = 20
 ROUNDS = 3
@@ -76,7 +76,7 @@ def anchored(b: Block):
     Places are word numbers of the document; the last item maps a first window to its hashes.
     """
     words = find_words(b.data, b.off, SPACE_SPLIT)
-    h = word_hashes(b.data, words)
+    h = word_codes(b.data, words)
     docs, n = len(b.ids), len(h)
     # a mark before each document and one at the end: no symbol that it takes part in lies inside a window
     marked = np.insert(h, words.first, mix(np.arange(docs + 1, dtype=np.uint64) + _U(0xA5A5A5A5A5A5)))

@@ -9,6 +9,10 @@ each get the result of that document.
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from residuum.session import shared_path
@@ -50,6 +54,32 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_held: list = []
+
+
+def hold(broadcast):
+    """``broadcast``, to be destroyed by the next :func:`release` (when all rows that use it are written)."""
+    _held.append(broadcast)
+    return broadcast
+
+
+def give_back() -> None:
+    """Return memory that the driver's Python has freed to the system: a stage should not start on top of the one before."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it trims by itself or not at all
+        pass
+
+
+def release() -> None:
+    """Destroy the broadcasts of earlier stages and give memory back. Call it when their results have been written."""
+    while _held:
+        _held.pop().destroy()
+    give_back()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
