@@ -4,6 +4,9 @@ Every stage but the last keeps or drops whole documents and returns the columns
 was given. A row without a doc_id is judged by its text where a stage can (quality,
 exact dedup) and passes where a stage names documents by id (near duplicates,
 decontamination); packing leaves it out.
+
+A stage begins by releasing what the stages before it hold in the driver: their
+rows are written by then. Do not run it beside unwritten results of the operators.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from residuum.llm import content_sort, decontaminate, jaccard, packing, quality
-from residuum.llm.staging import stage, table
+from residuum.llm.staging import release, stage, table
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -20,26 +23,31 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release()
     return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release()
     return content_sort.deduplicated(docs)
 
 
 def unlike_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates."""
+    release()
     groups = jaccard.near_duplicate_groups(docs)
     return _only(docs, groups.where("doc_id = component_id").select("doc_id"))
 
 
 def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a word in a benchmark window."""
+    release()
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
     return _only(docs, found.where("NOT contaminated").select("doc_id"))
 
 
 def packed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release()
     return packing.pack(docs)
 
 
