@@ -233,7 +233,12 @@ def nearest_leaves(points: DataFrame, leaves: DataFrame) -> DataFrame:
         children = (boxes.groupBy(F.left("node", F.lit(level)).alias("child")).agg(
             F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))
             .groupBy(F.left("child", F.lit(level - 1)).alias("node")).agg(F.collect_list(F.struct("child", "x0", "x1", "y0", "y1")).alias("kids")))
-        step = kept.join(children, "node").withColumn("least", F.least("least", *[bound(F.get("kids", F.lit(i))) for i in range(4)]))
+        if level == 1:          # every point has the root: its (at most four) children are constants, not a join on one key
+            kids = F.array(*[F.struct(*[F.lit(k[c]).alias(c) for c in ("child", "x0", "x1", "y0", "y1")]) for k in children.first()["kids"]])
+            step = kept.withColumn("kids", kids)
+        else:
+            step = kept.join(children, "node")
+        step = step.withColumn("least", F.least("least", *[bound(F.get("kids", F.lit(i))) for i in range(4)]))
         kept = (step.select("px", "py", "least", F.inline("kids")).where(gap <= F.col("least") * (1 + 1e-9))
                 .select("px", "py", F.col("child").alias("node"), "least"))
     return kept.select("px", "py", "node")
