@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from residuum.llm.graph import components
-from residuum.llm.staging import discard, hold, id_text, stage
+from residuum.llm.staging import discard, hold, id_text, one_text, stage
 from residuum.llm.textops import LOWER, SPACE_SPLIT, blocks, find_words, mix, prefix_hash, span_hash, word_codes
 
 SHINGLE = 5
@@ -168,7 +168,7 @@ def _overlaps(docs: DataFrame, hot, pairs: DataFrame) -> DataFrame:
     """``pairs(a, b, na, nb)`` with ``shared``: partial overlaps by fragment, summed for each pair."""
     named = stage(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "jaccard-named")
     ids = F.broadcast(named) if named.count() <= BROADCAST_IDS else named
-    segments = stage(_segments(docs.join(ids, "doc_id", "leftsemi").dropDuplicates(["doc_id"]), hot), "jaccard-segments")
+    segments = stage(_segments(one_text(docs.join(ids, "doc_id", "leftsemi")), hot), "jaccard-segments")
     left = segments.select(F.col("doc_id").alias("a"), "fragment", F.col("grams").alias("ga"))
     right = segments.select(F.col("doc_id").alias("b"), "fragment", F.col("grams").alias("gb"))
     part = (pairs.join(left, "a").join(right, ["b", "fragment"])

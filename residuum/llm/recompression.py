@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from residuum.llm import repeats
-from residuum.llm.staging import discard, id_text, stage
+from residuum.llm.staging import discard, id_text, one_text, stage
 from residuum.llm.textops import SPACE_SPLIT, blocks, find_words, mix, prefix_hash, span_hash, text_buffer, word_codes, Block
 
 WINDOW = 20
@@ -169,7 +169,7 @@ def _compare(batches):
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """``doc_id, spans`` over word numbers, of ``docs(doc_id, text)``; documents without repeats are left out."""
     places = repeats.repeated_places(_anchors(docs), "recompression-anchors")
-    rows = _windows(docs.join(places, "doc_id").dropDuplicates(["doc_id"])).repartition("key").sortWithinPartitions("key", "doc_id", "first")
+    rows = _windows(one_text(docs.join(places, "doc_id"))).repartition("key").sortWithinPartitions("key", "doc_id", "first")
     spans = stage(rows.mapInArrow(_compare, repeats.SPANS), "recompression-spans")
     out = stage(repeats.by_document(spans), "recompression-spans")
     discard(places, spans)

@@ -27,6 +27,15 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             .where(F.col("doc_id").isNotNull()))
 
 
+def one_text(docs: DataFrame) -> DataFrame:
+    """One row for each id of ``docs(doc_id, text, ...)``; an id with two different texts raises, as its results would be mixed up."""
+    h = F.xxhash64("text")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rows = docs.groupBy("doc_id").agg(F.first("text").alias("text"), *(F.first(c).alias(c) for c in others), F.min(h).alias("_low"), F.max(h).alias("_high"))
+    wrong = F.raise_error(F.concat(F.lit("two different texts have doc_id "), F.col("doc_id").cast("string")))
+    return rows.select("doc_id", F.when(F.col("_low") == F.col("_high"), F.col("text")).otherwise(wrong.cast("string")).alias("text"), *others)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and return the table read back.
 
