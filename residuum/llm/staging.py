@@ -3,7 +3,7 @@
 Input convention, the same for every operator here: ``docs`` may carry any other
 columns under any names; only the named id and text columns are read. A null
 text counts as empty. A row whose id is null can't be named in a result and is
-left out. The id identifies the text: rows that repeat an id with the same text
+left out (packing keeps it). The id identifies the text: rows that repeat an id with the same text
 each get the result of that document.
 """
 
@@ -20,11 +20,14 @@ from residuum.session import shared_path
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def every_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id bigint, text string)``: null texts empty, null ids kept."""
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id bigint, text string)``: null texts empty, rows without an id left out."""
-    return (docs.select(F.col(id_col).cast("bigint").alias("doc_id"),
-                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-            .where(F.col("doc_id").isNotNull()))
+    return every_text(docs, id_col, text_col).where(F.col("doc_id").isNotNull())
 
 
 def one_text(docs: DataFrame) -> DataFrame:

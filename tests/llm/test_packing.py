@@ -43,7 +43,7 @@ def test_odd_texts(spark):
     texts = [(1, None), (2, ""), (3, "  \n"), (4, "l'été, DON'T stop!! ñandú Straße ÀÉÎ œuvre 12a3 x_y <|endoftext|> é İI ΣΣ  z"),
              (5, "word " * 5000), (6, "a" * 9000), (7, "a b \x1c c ''s 's"), (8, "\U0001f600 ok\tok\x0bok"), (9, "µ ª º × ÷ ÿ ß ẞ")]
     df = spark.createDataFrame([(None, "no id", 1)] + [(*t, 2) for t in texts], "doc_id long, text string, length int")
-    check(texts, packing.pack(df).collect(), 2)
+    check([(None, "no id"), *texts], packing.pack(df).collect(), 2)
     assert packing.pack(df.where("doc_id < 0")).collect() == []
 
 
@@ -53,11 +53,50 @@ def test_repeated_rows_are_packed_one_by_one(spark):
     assert len(rows) == 3 and sorted(r.offset for r in rows) == [0, 4, 8]
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_evolution_reaches_the_optimum_that_best_fit_misses(seed):
-    lengths = sorted([6, 4, 4, 3, 3, 2, 2] * 3, reverse=True)  # cap 8: 24 units in 3 x 3 full sequences
-    out = packing.evolve(lengths, [], seed, length=8, generations=300, population=8)
+def test_rows_without_an_id_are_all_packed(spark):
+    df = spark.createDataFrame([(None, "a b c")] * 40 + [(1, None)], "doc_id long, text string")
+    rows = packing.pack(df).collect()
+    assert len(rows) == 41 and sum(r.length for r in rows) == 161
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_another_tokenizer_encodes_whole_texts(spark, name, tmp_path):
+    import json
+    import public_tokenizers
+    rules = json.load(open(public_tokenizers.path(name)))
+    if name.startswith("word"):
+        rules["normalizer"] = None
+    path = str(tmp_path / "tokenizer.json")
+    json.dump(rules, open(path, "w"))
+    tok = Tokenizer.from_file(path)
+    texts = ["Hello World DON'T", "  two  spaces", "", "l'\u00e9t\u00e9 \u00c9"]
+    rows = packing.pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()
+    for r in rows:
+        ids = [*tok.encode(texts[r.doc_id], add_special_tokens=False).ids, 0]
+        assert (r.length, r.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
+def valid(lengths, out, length):
     fill = defaultdict(int)
     for n, s in zip(lengths, out):
         fill[s] += n
-    assert max(fill.values()) <= 8 and len(fill) <= 10
+    assert len(out) == len(lengths) and max(fill.values()) <= length
+    return len(fill)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_shipped_settings_beat_best_fit(seed):
+    rnd = np.random.default_rng(seed)
+    lengths = sorted(rnd.integers(300, 1100, packing.SHARD // 4).tolist(), reverse=True)
+    plain = len(packing.best_fit([], range(len(lengths)), lengths, packing.LENGTH))
+    found = valid(lengths, packing.evolve(lengths, [], seed), packing.LENGTH)
+    assert packing.least_bins(lengths) <= found < plain
+
+
+def test_the_bound_is_never_above_the_optimum():
+    rnd = np.random.default_rng(0)
+    for _ in range(300):
+        bins = [rnd.multinomial(20, rnd.dirichlet(np.ones(rnd.integers(1, 5)))) for _ in range(rnd.integers(1, 8))]
+        lengths = [int(x) for b in bins for x in b if x]
+        assert packing.least_bins(lengths, 20) == len(bins)  # every sequence is full: that many are needed
+    assert packing.least_bins([11, 11, 11, 9], 20) == 3 and packing.least_bins([15, 15, 6], 20) == 3 and packing.least_bins([], 20) == 0
