@@ -3,7 +3,7 @@
 Every stage but the last keeps or drops whole documents and returns the columns it
 was given. A row without a doc_id is judged by its text where a stage can (quality,
 exact dedup) and passes where a stage names documents by id (near duplicates,
-decontamination); packing leaves it out.
+decontamination) and is packed.
 
 A stage begins by releasing what the stages before it hold in the driver: their
 rows are written by then. Do not run it beside unwritten results of the operators.
