@@ -33,7 +33,6 @@ from bisect import bisect_right
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -43,6 +42,7 @@ from residuum.llm.textops import blocks
 LENGTH = 2048
 SHARD = 4096
 ISLANDS = 2
+TASK_ISLANDS = 8
 MOST_TASKS = 10_000
 EPOCHS = 2
 GENERATIONS = 60
@@ -295,12 +295,13 @@ def evolve(lengths: list[int], seeds: list[list[int]], seed: int, length: int =
 
 
 def _epoch(islands: DataFrame, turn: int, length: int) -> DataFrame:
-    def run(frames):
-        for f in frames:
-            best = [evolve(list(map(int, n)), [list(map(int, s)) for s in seeds], hash((turn, int(sh), int(isl))), length)
-                    for sh, isl, n, seeds in zip(f["shard"], f["island"], f["lengths"], f["seeds"])]
-            yield pd.DataFrame({"shard": f["shard"], "island": f["island"], "best": best, "bins": [max(b) + 1 for b in best]})
-    return islands.mapInPandas(run, "shard long, island int, best array<int>, bins int")
+    def run(batches):
+        for batch in batches:
+            rows = batch.to_pylist()
+            best = [evolve(r["lengths"], r["seeds"], hash((turn, r["shard"], r["island"])), length) for r in rows]
+            yield pa.record_batch([batch.column("shard"), batch.column("island"), pa.array(best, pa.list_(pa.int32())),
+                                   pa.array([max(b) + 1 for b in best], pa.int32())], names=["shard", "island", "best", "bins"])
+    return islands.mapInArrow(run, "shard long, island int, best array<int>, bins int")
 
 
 def assign(cut: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -312,7 +313,7 @@ def assign(cut: DataFrame, length: int = LENGTH) -> DataFrame:
     groups = stage(short.groupBy(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).alias("shard"))
                    .agg(F.sort_array(F.collect_list(item)).alias("items")), "packing-shards")
     islands = groups.select("shard", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), F.col("items.length").alias("lengths"))
-    tasks = min(shards * ISLANDS, MOST_TASKS)  # by number, or their few bytes would share one task
+    tasks = min(-(-shards * ISLANDS // TASK_ISLANDS), MOST_TASKS)  # by number, or their few bytes would share one task
     elite = None
     for turn in range(EPOCHS):
         if elite is None:
