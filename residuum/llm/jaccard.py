@@ -164,11 +164,16 @@ def _segments(docs: DataFrame, hot) -> DataFrame:
     return docs.mapInArrow(lambda batches: _batched(rows(batches), make), "doc_id bigint, fragment int, grams array<bigint>")
 
 
-def _overlaps(docs: DataFrame, hot, pairs: DataFrame) -> DataFrame:
-    """``pairs(a, b, na, nb)`` with ``shared``: partial overlaps by fragment, summed for each pair."""
+def _overlaps(docs: DataFrame, hot, pairs: DataFrame, again: DataFrame) -> DataFrame:
+    """``pairs(a, b, na, nb)`` with ``shared``: partial overlaps by fragment, summed for each pair.
+
+    Texts are cut where they are read; only rows of the ids ``again``, which several rows carry, are shuffled first, one left of each.
+    """
     named = stage(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "jaccard-named")
     ids = F.broadcast(named) if named.count() <= BROADCAST_IDS else named
-    segments = stage(_segments(one_text(docs.join(ids, "doc_id", "leftsemi")), hot), "jaccard-segments")
+    wanted = docs.join(ids, "doc_id", "leftsemi")
+    texts = wanted.join(again, "doc_id", "leftanti").unionByName(one_text(wanted.join(again, "doc_id", "leftsemi")))
+    segments = stage(_segments(texts, hot), "jaccard-segments")
     left = segments.select(F.col("doc_id").alias("a"), "fragment", F.col("grams").alias("ga"))
     right = segments.select(F.col("doc_id").alias("b"), "fragment", F.col("grams").alias("gb"))
     part = (pairs.join(left, "a").join(right, ["b", "fragment"])
@@ -187,12 +192,13 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     wide = stage(_prefixes(docs, hot, percent), "jaccard-prefixes")
     key = ["n", "d1", "d2"]
     sets = stage(wide.drop("prefix"), "jaccard-sets")
+    again = stage(sets.groupBy("doc_id").count().where("count > 1").select("doc_id"), "jaccard-repeated")
     nodes = stage(wide.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("node"), F.first("prefix").alias("prefix")), "jaccard-nodes")
     discard(wide)
     shared = _shared_prefixes(nodes, percent)
     narrow = stage(nodes.drop("prefix"), "jaccard-nodes")
     discard(nodes)
-    links = _all_links(docs, hot, shared, percent)
+    links = _all_links(docs, hot, shared, percent, again)
     root = components(links)
     named = root.join(root.groupBy("root").agg(F.min("node").alias("component_id")), "root").select("node", "component_id")
     by_set = narrow.select(*key, "node").join(named, "node", "left").select(*key, F.coalesce("component_id", "node").alias("component_id"))
@@ -215,7 +221,7 @@ def _shared_prefixes(nodes: DataFrame, percent: int) -> DataFrame:
     return out
 
 
-def _all_links(docs: DataFrame, hot, shared: DataFrame, percent: int) -> DataFrame:
+def _all_links(docs: DataFrame, hot, shared: DataFrame, percent: int, again: DataFrame) -> DataFrame:
     """Links that give the groups of all links."""
     fits = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
     placed = f"{percent} * (na + nb) <= {100 + percent} * least(ma, mb)"
@@ -229,7 +235,7 @@ def _all_links(docs: DataFrame, hot, shared: DataFrame, percent: int) -> DataFra
                  .select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"),
                          F.when(first, F.col("n")).otherwise(F.col("hub_n")).alias("na"), F.when(first, F.col("hub_n")).otherwise(F.col("n")).alias("nb"))
                  .where(fits).distinct(), "jaccard-star")
-    measured = _overlaps(docs, hot, star)
+    measured = _overlaps(docs, hot, star, again)
     near = measured.where(links).select("a", "b")
     far = measured.select("a", "b", (1 - F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("d"))
     far = far.selectExpr("a AS node", "b AS hub", "d").unionByName(far.selectExpr("b AS node", "a AS hub", "d"))
@@ -249,4 +255,4 @@ def _all_links(docs: DataFrame, hot, shared: DataFrame, percent: int) -> DataFra
             .groupBy("a", "b", "na", "nb").count().where(F.col("count") >= COMMON).drop("count").join(star.select("a", "b"), ["a", "b"], "leftanti"))
     rest = stage(rest, "jaccard-rest")
     discard(still, star)
-    return near.unionByName(_overlaps(docs, hot, rest).where(links).select("a", "b"))
+    return near.unionByName(_overlaps(docs, hot, rest, again).where(links).select("a", "b"))
