@@ -1,7 +1,7 @@
 """Toxicity by a character n-gram linear classifier with naive Bayes scaled features.
 
-Features are the character n-grams (bytes after lower-casing A-Z, ``ORDERS`` long)
-that occur in a text, hashed to ``BUCKETS``; each present feature has the value of
+Features are the character n-grams (code points after lower-casing A-Z, in any
+script, ``ORDERS`` long) that occur in a text, hashed to ``BUCKETS``; each present feature has the value of
 its smoothed log-count ratio between the labels, and 0 if its shares under the two
 labels are not ``APART`` standard errors apart (else the noise of a long text
 drowns what it says). A logistic regression over these values is fitted by
@@ -11,7 +11,9 @@ Training rows: at most ``MOST`` labelled documents of each label outside the
 held-out fold, the first in an order by hash; whole texts. The intercept is
 shifted by what the two limits change in the labels' odds.
 
-Cases: null and empty texts have no features and score by the intercept; null
+Cases: null and empty texts, and those shorter than an n-gram, have no features
+and score by the intercept; texts of any length are read whole; repeated rows score
+alike; an empty table gives no rows; other columns, under any names, are not read; null
 labels and labels of unknown documents are left out; of repeated labels the
 largest counts; with fewer than two labels the score is 0 or 1 as the only label
 says, and 0.5 without any.
@@ -23,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from residuum.llm.quality import fold, training_rows
+from residuum.llm.quality import _characters, fold, training_rows
 from residuum.llm.staging import id_text
 from residuum.llm.textops import LOWER, blocks
 
@@ -38,18 +40,18 @@ _MUL = np.uint32(0x9E3779B1)
 
 def present(b):
     """For each document of a block, the sorted buckets of the n-grams that occur in it."""
-    data = LOWER[b.data].astype(np.uint32)
-    n = len(data)
+    data, off = _characters(LOWER[b.data], b.off)
+    data = data.astype(np.uint32)
     grams = []
     for size in ORDERS:
-        h = np.zeros(max(0, n - size + 1), np.uint32)
+        h = np.zeros(max(0, len(data) - size + 1), np.uint32)
         for k in range(size):
             h = (h ^ data[k:k + len(h)]) * _MUL
             h ^= h >> np.uint32(15)
         grams.append(h & np.uint32(BUCKETS - 1))
     mark = np.zeros(BUCKETS, dtype=bool)
     for i in range(len(b.ids)):
-        low, high = int(b.off[i]), int(b.off[i + 1])
+        low, high = int(off[i]), int(off[i + 1])
         parts = [g[low:max(low, high - size + 1)] for g, size in zip(grams, ORDERS)]
         if high - low > 4 * BUCKETS // 100:
             for p in parts:
