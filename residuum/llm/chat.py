@@ -7,24 +7,34 @@ a turn, or one after an empty line or with a marker): openings and continuations
 have transitions of their own. All probabilities are counts over the labelled
 lines, added to ``PRIOR`` counts that say a marker mostly tells the truth.
 
-Viterbi. A transcript is cut into chunks of ``CHUNK`` turns. For each chunk the
-best score from every role before it to every role at its end is a small matrix;
-these are combined in order, which gives the roles at the borders, and then each
-chunk is decoded between its borders. No task holds more than the lines of a
-chunk or the border matrices of a transcript.
+Transcripts. The texts of a conversation, in order and with an empty line between
+them, are one transcript; where its turns begin, and whose they are, is not read but
+recovered: a block opens after an empty line or at a marker, and a turn begins where
+the decoded role changes, or at a marker.
+
+Viterbi. Lines are numbered in the order of their transcripts and cut into chunks of
+``CHUNK`` lines, whatever turns they belong to. For each chunk the best score from
+every role before it to every role at its end is a small matrix; these are combined
+in order, which gives the roles at the borders, and then each chunk is decoded
+between its borders. No task holds more than the lines of a chunk, the border
+matrices of a transcript (one for ``CHUNK`` lines) or the text of one turn.
 
 Cases: null text is one empty line; null turns come first; rows without a
-conversation id are left out; repeated rows are decoded one after another and
-share the first one's role; an unknown or null given role doesn't train.
+conversation id are left out; repeated rows of a conversation follow one another
+(with given turns they share the first one's role), those of raw transcripts count
+once; a transcript of empty lines has no turns; an unknown or null given role
+doesn't train; a text of any length is cut like many short ones; an empty table
+gives no rows; other columns, under any names, are not read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from residuum.llm.staging import stage
+from residuum.llm.staging import shuffle_partitions, stage
 
 ROLES = ("system", "user", "assistant")
 MARKERS = {"system": "system", "instructions": "system", "user": "user", "human": "user", "customer": "user", "q": "user",
@@ -33,7 +43,7 @@ MARKERS = {"system": "system", "instructions": "system", "user": "user", "human"
 MARKER = r"(?i)^[\s#>*_\[(<|-]*(" + "|".join(MARKERS) + r")[\s*_\])>|-]*[:>\])|]+\s*"
 LENGTHS = (1, 30, 60, 100, 150, 220, 320, 480, 700, 1000)
 PRIOR = 50.0
-CHUNK = 64
+CHUNK = 1 << 12
 
 
 def _observed(line: Column) -> list[Column]:
@@ -49,6 +59,50 @@ def lines_of_turns(turns: DataFrame) -> DataFrame:
     return lines.select("conv", "turn", "tie", "line", "role", (F.col("line") == 0).cast("int").alias("opens"), *_observed(F.col("t")))
 
 
+def lines_of_transcripts(pieces: DataFrame) -> DataFrame:
+    """Observations and texts ``t`` of the lines of ``pieces(conv, turn, tie, text, role)``; an empty line stands between pieces. Empty lines are left out."""
+    cut = pieces.select("conv", "turn", "tie", "role", F.split("text", "\n").alias("ts")).withColumn("bs", F.concat(F.array(F.lit("")), F.slice("ts", 1, F.size("ts") - 1)))
+    zipped = cut.select("conv", "turn", "tie", "role", F.arrays_zip("ts", "bs").alias("z"))
+    lines = zipped.select("conv", "turn", "tie", "role", F.posexplode("z").alias("line", "x")).select("conv", "turn", "tie", "role", "line", F.col("x.ts").alias("t"), F.col("x.bs").alias("before"))
+    seen = lines.where("trim(t) <> ''").select("conv", "turn", "tie", "line", "role", "t", "before", *_observed(F.col("t")))
+    return seen.withColumn("opens", ((F.trim("before") == "") | (F.col("mark") > 0)).cast("int")).drop("before")
+
+
+def numbered(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``row``, rising in the order of conversation, turn and line, and ``chunk``: neighbours of one conversation, at most ``CHUNK``."""
+    order = ("conv", "turn", "tie", "line")
+    size = CHUNK
+
+    def run(batches):
+        n = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            row = np.arange(n, n + batch.num_rows)
+            n += batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(row), pa.array(row // size)], names=[*batch.schema.names, "row", "chunk"])
+    schema = T.StructType([*lines.schema, T.StructField("row", T.LongType()), T.StructField("chunk", T.LongType())])
+    return stage(lines.repartitionByRange(shuffle_partitions(lines.sparkSession), *order).sortWithinPartitions(*order).mapInArrow(run, schema), "chat-lines")
+
+
+def _before(lines: DataFrame, value: str) -> DataFrame:
+    """``lines`` with ``before``: a struct of ``value`` on the line before in its conversation, null on the first.
+
+    No window holds more than the lines of a chunk or the chunks of a conversation.
+    """
+    ends = lines.groupBy("conv", "chunk").agg(F.max_by(F.struct(value), "row").alias("end"))
+    ends = ends.select("conv", "chunk", F.lag("end").over(Window.partitionBy("conv").orderBy("chunk")).alias("end"))
+    inside = Window.partitionBy("conv", "chunk").orderBy("row")
+    return lines.join(ends, ["conv", "chunk"]).withColumn("before", F.coalesce(F.lag(F.struct(value)).over(inside), "end")).drop("end")
+
+
+def _running(lines: DataFrame, value: str) -> DataFrame:
+    """``lines`` with ``total``: the sum of ``value`` over a conversation's lines up to this one; windows as in :func:`_before`."""
+    sums = lines.groupBy("conv", "chunk").agg(F.sum(value).alias("s"))
+    ahead = Window.partitionBy("conv").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("conv", "chunk", F.coalesce(F.sum("s").over(ahead), F.lit(0)).alias("ahead"))
+    inside = Window.partitionBy("conv", "chunk").orderBy("row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return lines.join(sums, ["conv", "chunk"]).withColumn("total", F.col("ahead") + F.sum(value).over(inside)).drop("ahead")
+
+
 class Model:
     """Log probabilities: ``begin[role]``, ``go[opens][role, next]``, ``seen[feature][role, value]``."""
 
@@ -76,12 +130,12 @@ class Model:
 
 def train(lines: DataFrame) -> Model:
     """Counts over labelled lines: as many rows as there are roles and feature values, whatever the input."""
+    if "row" not in lines.columns:
+        lines = numbered(lines)
     role = F.expr(f"CASE {' '.join(f'WHEN lower(role) = {r!r} THEN {i}' for i, r in enumerate(ROLES))} END").alias("r")
-    known = lines.select("*", role)
-    order = Window.partitionBy("conv").orderBy("turn", "tie", "line")
-    first = F.row_number().over(order) == 1
-    steps = (known.select("r", "opens", first.alias("first"), F.lag("r").over(order).alias("before")).where("r IS NOT NULL AND (first OR before IS NOT NULL)")
-             .groupBy("before", "r", "opens").count())
+    known = lines.select("conv", "chunk", "row", role, "opens", "mark", "size", "asks")
+    steps = (_before(known, "r").select(F.col("before.r").alias("from"), "r", "opens", F.col("before").isNull().alias("first"))
+             .where("r IS NOT NULL AND (first OR from IS NOT NULL)").groupBy("from", "r", "opens").count())
     emitted = known.where("r IS NOT NULL").groupBy("r", "mark", "size", "asks").count()
     return Model([tuple(x) for x in steps.collect()], [tuple(x) for x in emitted.collect()])
 
@@ -113,22 +167,22 @@ def _walk(score: np.ndarray, go: np.ndarray, emit: np.ndarray, opens: np.ndarray
 
 
 def decode(lines: DataFrame, model: Model) -> DataFrame:
-    """``conv, turn, tie, line, role`` with the recovered role, of the observations ``lines``."""
+    """``row, role`` with the recovered role of each line of ``lines``, as :func:`numbered` gives them."""
     k = len(ROLES)
-    rows = stage(lines.select("conv", F.floor(F.col("turn") / CHUNK).alias("chunk"), "turn", "tie", "line", "opens", "mark", "size", "asks")
-                 .select(*[F.col(c).cast("bigint").alias(c) for c in ("conv", "chunk", "turn", "tie", "line", "opens", "mark", "size", "asks")]), "chat-lines")
-    go = np.concatenate([model.go])
+    seen = ("opens", "mark", "size", "asks")
+    rows = lines.select("conv", "chunk", "row", *[F.col(c).cast("bigint").alias(c) for c in seen])
+    go = model.go
 
     def matrices(batches):
         for g in _groups(batches, 2):
-            emit = model.emission(g[:, 6:9])
-            m = np.stack([_walk(np.where(np.arange(k) == r, 0.0, -np.inf), go, emit, g[:, 5])[0] for r in range(k)])
-            own = _walk(np.zeros(k), np.stack([np.tile(model.begin, (k, 1))] * 2), emit[:1], g[:1, 5])[0]
+            emit = model.emission(g[:, 4:7])
+            m = np.stack([_walk(np.where(np.arange(k) == r, 0.0, -np.inf), go, emit, g[:, 3])[0] for r in range(k)])
+            own = _walk(np.zeros(k), np.stack([np.tile(model.begin, (k, 1))] * 2), emit[:1], g[:1, 3])[0]
             if len(g) > 1:
-                own = _walk(own, go, emit[1:], g[1:, 5])[0]
+                own = _walk(own, go, emit[1:], g[1:, 3])[0]
             yield pa.record_batch([pa.array([int(g[0, 0])]), pa.array([int(g[0, 1])]), pa.array([np.concatenate([own, m.ravel()]).tolist()], pa.list_(pa.float64()))],
                                   names=["conv", "chunk", "m"])
-    dealt = rows.repartition("conv", "chunk").sortWithinPartitions("conv", "chunk", "turn", "tie", "line")
+    dealt = rows.repartition("conv", "chunk").sortWithinPartitions("conv", "chunk", "row")
     border = stage(dealt.mapInArrow(matrices, "conv bigint, chunk bigint, m array<double>"), "chat-borders")
 
     def borders(batches):
@@ -159,22 +213,20 @@ def decode(lines: DataFrame, model: Model) -> DataFrame:
 
     def roles(batches):
         for g in _groups(batches, 2):
-            emit = model.emission(g[:, 6:9])
-            enter, leave = int(g[0, 9]), int(g[0, 10])
+            emit = model.emission(g[:, 4:7])
+            enter, leave = int(g[0, 7]), int(g[0, 8])
             if enter < 0:
                 score, back = model.begin + emit[0], np.zeros((1, k), np.int64)
                 if len(g) > 1:
-                    back = np.concatenate([back, _walk(score, go, emit[1:], g[1:, 5])[1]])
+                    back = np.concatenate([back, _walk(score, go, emit[1:], g[1:, 3])[1]])
             else:
-                back = _walk(np.where(np.arange(k) == enter, 0.0, -np.inf), go, emit, g[:, 5])[1]
+                back = _walk(np.where(np.arange(k) == enter, 0.0, -np.inf), go, emit, g[:, 3])[1]
             path = [leave]
             for b in back[:0:-1]:
                 path.append(int(b[path[-1]]))
-            yield pa.record_batch([pa.array(g[:, 0]), pa.array(g[:, 2]), pa.array(g[:, 3]), pa.array(g[:, 4]), pa.array([ROLES[p] for p in reversed(path)])],
-                                  names=["conv", "turn", "tie", "line", "role"])
-    return (rows.join(ends, ["conv", "chunk"]).select("conv", "chunk", "turn", "tie", "line", "opens", "mark", "size", "asks", "enter", "leave")
-            .repartition("conv", "chunk").sortWithinPartitions("conv", "chunk", "turn", "tie", "line")
-            .mapInArrow(roles, "conv bigint, turn bigint, tie bigint, line bigint, role string"))
+            yield pa.record_batch([pa.array(g[:, 2]), pa.array([ROLES[p] for p in reversed(path)])], names=["row", "role"])
+    return (rows.join(ends, ["conv", "chunk"]).select("conv", "chunk", "row", *seen, "enter", "leave")
+            .repartition("conv", "chunk").sortWithinPartitions("conv", "chunk", "row").mapInArrow(roles, "row bigint, role string"))
 
 
 def rendered(role: Column, text: Column) -> Column:
@@ -182,34 +234,55 @@ def rendered(role: Column, text: Column) -> Column:
     return F.concat(F.lit("<|"), role, F.lit("|>\n"), F.trim(F.regexp_replace(text, MARKER, "")), F.lit("\n<|end|>\n"))
 
 
+def _turns(conversations: DataFrame, keep: Column | None, conv_col: str, turn_col: str, text_col: str, role_col: str) -> DataFrame:
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return conversations.select(F.col(conv_col).cast("bigint").alias("conv"), F.coalesce(F.col(turn_col).cast("bigint"), F.lit(-1)).alias("turn"),
+                                F.xxhash64(text).alias("tie"), text.alias("text"), F.col(role_col).cast("string").alias("role"),
+                                (F.lit(True) if keep is None else keep).alias("keep")).where("conv IS NOT NULL")
+
+
 def format_turns(conversations: DataFrame, keep: Column | None = None, conv_col: str = "conv_id", turn_col: str = "turn",
                  text_col: str = "text", role_col: str = "role") -> DataFrame:
-    """One row for each row with a conversation id: ``conv_id, turn, given_role, role, rendered``.
+    """Turns with given borders: one row for each row with a conversation id, ``conv_id, turn, given_role, role, rendered``.
 
     The given roles only train (on the rows where ``keep`` holds); they are never an input of decoding.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    turns = conversations.select(F.col(conv_col).cast("bigint").alias("conv"), F.coalesce(F.col(turn_col).cast("bigint"), F.lit(-1)).alias("turn"),
-                                 F.xxhash64(text).alias("tie"), text.alias("text"), F.col(role_col).cast("string").alias("role"),
-                                 (F.lit(True) if keep is None else keep).alias("keep")).where("conv IS NOT NULL")
-    lines = lines_of_turns(turns)
+    turns = _turns(conversations, keep, conv_col, turn_col, text_col, role_col)
+    lines = numbered(lines_of_turns(turns))
     model = train(lines_of_turns(turns.where("keep")))
-    found = (decode(lines, model).where("line = 0").groupBy("conv", "turn", "tie").agg(F.min("role").alias("found")))
+    found = (decode(lines, model).join(lines.where("line = 0").select("row", "conv", "turn", "tie"), "row").groupBy("conv", "turn", "tie").agg(F.min("role").alias("found")))
     return (turns.join(found, ["conv", "turn", "tie"])
             .select(F.col("conv").alias("conv_id"), "turn", F.col("role").alias("given_role"), F.col("found").alias("role"), rendered(F.col("found"), F.col("text")).alias("rendered")))
 
 
+def _parsed(lines: DataFrame, model: Model) -> DataFrame:
+    """``conv, number, role, rendered, given_turn, given_role, n_given``: the recovered turns of numbered lines, and what its first line was given as."""
+    known = lines.select("conv", "chunk", "row", "turn", "line", "mark", F.col("role").alias("given_role"), "t").join(decode(lines, model), "row")
+    begins = F.col("before").isNull() | (F.col("before.role") != F.col("role")) | (F.col("mark") > 0)
+    cut = _running(_before(known, "role").withColumn("begins", begins.cast("int")).drop("before"), "begins")
+    first = lambda c: F.min_by(F.struct(c), "row")[c]  # noqa: E731  (keeps a null)
+    return (cut.groupBy("conv", "total").agg(F.first("role").alias("role"), F.sort_array(F.collect_list(F.struct("row", "t"))).alias("lines"), first("turn").alias("given_turn"),
+                                             first("given_role").alias("given_role"), F.count_distinct("turn").alias("n_given"))
+            .select("conv", (F.col("total") - 1).alias("number"), "role", rendered(F.col("role"), F.array_join(F.col("lines.t"), "\n")).alias("rendered"),
+                    "given_turn", "given_role", "n_given"))
+
+
+def parse_conversations(conversations: DataFrame, keep: Column | None = None, conv_col: str = "conv_id", turn_col: str = "turn",
+                        text_col: str = "text", role_col: str = "role") -> DataFrame:
+    """Each conversation as one transcript, parsed: ``conv_id, number`` (from 0)``, role, rendered`` of each recovered turn, and to compare
+    ``given_turn, given_role`` of its first line and ``n_given``, the number of given turns it has lines of.
+
+    Given roles and turn borders train, on the rows where ``keep`` holds; decoding reads only the order of the texts.
+    """
+    turns = _turns(conversations, keep, conv_col, turn_col, text_col, role_col)
+    lines = numbered(lines_of_transcripts(turns))
+    model = train(numbered(lines_of_transcripts(turns.where("keep")).drop("t")))
+    return _parsed(lines, model).withColumnRenamed("conv", "conv_id")
+
+
 def parse_transcripts(transcripts: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Turns of raw transcripts: ``id, turn, role, rendered``. Blocks open after an empty line or at a marker; a block is a
-    turn, and blocks of one role that follow each other without a marker are one."""
-    lines = (transcripts.select(F.col(id_col).cast("bigint").alias("conv"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("at", "t"))
-             .where("conv IS NOT NULL").distinct())
-    order = Window.partitionBy("conv").orderBy("at")
-    seen = (lines.select("conv", "at", "t", *_observed(F.col("t")), F.lag("t").over(order).alias("before"))
-            .withColumn("opens", (F.col("before").isNull() | (F.trim("before") == "") | (F.col("mark") > 0)).cast("int")).where("trim(t) <> ''"))
-    roles = decode(seen.select("conv", F.col("at").alias("turn"), F.lit(0).alias("tie"), F.lit(0).alias("line"), "opens", "mark", "size", "asks"), model)
-    both = seen.join(roles.select("conv", F.col("turn").alias("at"), "role"), ["conv", "at"])
-    starts = ((F.lag("role").over(order).isNull()) | (F.lag("role").over(order) != F.col("role")) | (F.col("mark") > 0)).cast("int")
-    turned = both.withColumn("starts", starts).withColumn("turn", F.sum("starts").over(order) - 1)
-    return (turned.groupBy("conv", "turn", "role").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "t"))), lambda x: x["t"]), "\n").alias("t"))
-            .select(F.col("conv").alias("id"), "turn", "role", rendered(F.col("role"), F.col("t")).alias("rendered")))
+    """Turns of raw transcripts: ``id, turn, role, rendered``."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    pieces = transcripts.select(F.col(id_col).cast("bigint").alias("conv"), F.lit(0).alias("turn"), F.xxhash64(text).alias("tie"), text.alias("text"),
+                                F.lit(None).cast("string").alias("role")).where("conv IS NOT NULL").distinct()
+    return _parsed(numbered(lines_of_transcripts(pieces)), model).select(F.col("conv").alias("id"), F.col("number").alias("turn"), "role", "rendered")

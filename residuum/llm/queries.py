@@ -122,9 +122,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_chat_format")
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Roles train on conversations whose crc32 modulo ``CHAT_PARTS`` is not 0; the others are held out."""
+    """Every conversation as one transcript, parsed into turns. The model trains on conversations whose crc32 modulo ``CHAT_PARTS`` is not 0; the others are held out."""
     held = quality.fold("conv_id", CHAT_PARTS) == 0
-    out = chat.format_turns(table(spark, sf_dir, "conversations"), keep=~held)
+    out = chat.parse_conversations(table(spark, sf_dir, "conversations"), keep=~held)
     return out.withColumn("held_out", held)
 
 
