@@ -3,7 +3,10 @@
 Every stage but the last keeps or drops whole documents and returns the columns it
 was given. A row without a doc_id is judged by its text where a stage can (quality,
 exact dedup) and passes where a stage names documents by id (near duplicates,
-decontamination) and is packed.
+decontamination) and is packed. Null and empty texts are judged like others: equal
+to each other, unlike anything else, clean, and packed as the end id alone. Texts
+of any length are read whole, other columns may have any names, and an empty table
+goes through as one.
 
 A stage begins by releasing what the stages before it hold in the driver: their
 rows are written by then. Do not run it beside unwritten results of the operators.
