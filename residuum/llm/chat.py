@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from residuum.llm.staging import shuffle_partitions, stage
+from residuum.llm.staging import discard, shuffle_partitions, stage
 
 ROLES = ("system", "user", "assistant")
 MARKERS = {"system": "system", "instructions": "system", "user": "user", "human": "user", "customer": "user", "q": "user",
@@ -69,18 +69,27 @@ def lines_of_transcripts(pieces: DataFrame) -> DataFrame:
 
 
 def numbered(lines: DataFrame) -> DataFrame:
-    """``lines`` with ``row``, rising in the order of conversation, turn and line, and ``chunk``: neighbours of one conversation, at most ``CHUNK``."""
+    """``lines`` with ``row``, rising in the order of conversation, turn and line, and ``chunk``: a line's number in its conversation div ``CHUNK``.
+
+    Chunks don't depend on how Spark deals the rows, so neither does the choice between equally likely roles.
+    """
     order = ("conv", "turn", "tie", "line")
-    size = CHUNK
 
     def run(batches):
-        n = TaskContext.get().partitionId() << 40
+        part = TaskContext.get().partitionId()
+        n = part << 40
         for batch in batches:
             row = np.arange(n, n + batch.num_rows)
             n += batch.num_rows
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(row), pa.array(row // size)], names=[*batch.schema.names, "row", "chunk"])
-    schema = T.StructType([*lines.schema, T.StructField("row", T.LongType()), T.StructField("chunk", T.LongType())])
-    return stage(lines.repartitionByRange(shuffle_partitions(lines.sparkSession), *order).sortWithinPartitions(*order).mapInArrow(run, schema), "chat-lines")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(row), pa.array(np.full(len(row), part))], names=[*batch.schema.names, "row", "part"])
+    schema = T.StructType([*lines.schema, T.StructField("row", T.LongType()), T.StructField("part", T.LongType())])
+    dealt = stage(lines.repartitionByRange(shuffle_partitions(lines.sparkSession), *order).sortWithinPartitions(*order).mapInArrow(run, schema), "chat-dealt")
+    ahead = Window.partitionBy("conv").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (dealt.groupBy("conv", "part").agg(F.min("row").alias("start"), F.count(F.lit(1)).alias("n"))
+              .select("conv", "part", (F.col("start") - F.coalesce(F.sum("n").over(ahead), F.lit(0))).alias("start")))
+    out = stage(dealt.join(starts, ["conv", "part"]).withColumn("chunk", F.expr(f"(row - start) div {CHUNK}")).drop("part", "start"), "chat-lines")
+    discard(dealt)
+    return out
 
 
 def _before(lines: DataFrame, value: str) -> DataFrame:

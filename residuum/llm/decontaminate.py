@@ -16,7 +16,9 @@ words, one pass for each length that occurs (at most ``WINDOW - 1``).
 
 Cases: null or empty text has no words and is clean; an item without words has
 no window; repeated items count one by one; a repeated document row gets the
-result of its document.
+result of its document; without items every document is clean, without documents
+there are no rows; texts of any length are read whole; other columns, under any
+names, are not read.
 """
 
 from __future__ import annotations

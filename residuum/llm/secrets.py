@@ -15,7 +15,9 @@ Positions are code points. A text is split at the matches; the lengths of pieces
 and matches, summed in order, are the positions, so no row-at-a-time code runs.
 
 Cases: null text is the empty blob; rows without an id are left out; a blob that
-a third of all rows share is scanned once; an id may have any number of versions.
+a third of all rows share is scanned once; an id may have any number of versions;
+a text of any length is scanned whole; an empty table gives no rows and leaves the
+ledger as it is; other columns, under any names, are not read.
 """
 
 from __future__ import annotations
