@@ -164,6 +164,7 @@ def apply_labels(df: DataFrame, mapping: DataFrame, category: str = "category",
 # ---------------------------------------------------------------------------
 
 ANSWERS = "prompt_id string, response string, error boolean"
+WAVE_SECONDS = 30       # a wave of calls that took less may be followed by one twice as large
 
 
 def call_classifier(batches: DataFrame, fn: Callable[[str], str], parallelism: int | None = None,
@@ -171,15 +172,18 @@ def call_classifier(batches: DataFrame, fn: Callable[[str], str], parallelism: i
     """(batch_id, response, error) for every prompt; ``fn`` maps prompt text → answer text.
 
     What the service allows must be said: ``parallelism`` (most calls at a time), ``calls_per_minute`` (of all callers
-    together), or both. Prompts go out in waves of ``parallelism`` (or a minute's) calls. A wave is one Spark job with
-    one call per task; the call with number k of a wave starts no earlier than k intervals after the wave, and the next
-    wave no earlier than the wave's intervals have passed, whatever executors, retries or stalls do. A failing call marks
-    its batch as an error (its names become ``Other``) and the next wave waits ``back_off`` seconds, twice as long after
-    each further wave with errors.
+    together), or both. Prompts go out in waves. A wave is one Spark job of up to ``parallelism`` (or a minute's) tasks with
+    one call each. With ``parallelism`` alone a task makes twice as many calls, one after another, in each further wave while
+    waves without errors end within ``WAVE_SECONDS``: the waves then grow with the time the calls take, not with the prompts.
+    With a rate, the call with number k of a wave starts no earlier than k intervals after the wave, and the next wave no
+    earlier than the wave's intervals have passed (after a wave that overran, counted anew as far as it did), whatever
+    executors, retries or stalls do. A failing call marks its batch as an error
+    (its names become ``Other``); the next wave is one call per task again and waits ``back_off`` seconds, twice as long
+    after each further wave with errors.
 
     Answers are kept by the hash of the prompt in the folder ``store`` (default: a new one in the shared folder), one
-    write per wave: a rerun with the same store calls only what has no answer yet, and a lost task repeats its own call
-    alone. Errors are not kept.
+    write per wave: a rerun with the same store calls only what has no answer yet, and a lost task repeats its own calls
+    of the wave alone. Errors are not kept.
     """
     if not parallelism and not calls_per_minute:
         raise ValueError("state what the service allows: parallelism or calls_per_minute")
@@ -191,16 +195,23 @@ def call_classifier(batches: DataFrame, fn: Callable[[str], str], parallelism: i
     todo = prompts.groupBy("prompt_id").agg(F.min("batch_id").alias("first"), F.first("prompt").alias("prompt"))
     if path_exists(spark, store):
         todo = todo.join(spark.read.schema(ANSWERS).parquet(f"{store}/*").where("NOT error"), "prompt_id", "left_anti")
-    todo = materialize(global_row_number(todo, ["first", "prompt_id"], out="n"))
-    waves, start, misses, run = -(-todo.count() // size), 0.0, 0, uuid.uuid4().hex
-    for wave in range(waves):
-        wait = max(start + size * interval if wave else 0.0, time.time() + (back_off * 2 ** (misses - 1) if misses else 0.0))
-        time.sleep(max(0.0, wait - time.time()))
-        start = time.time()
-        mine = todo.where(F.floor((F.col("n") - 1) / size) == wave).select("prompt_id", "prompt", ((F.col("n") - 1) % size).cast("int").alias("slot"))
+    pending = shared_path(spark, "prompts")
+    global_row_number(todo, ["first", "prompt_id"], out="n").write.parquet(pending)     # in the order of n: a wave reads its own part
+    todo = spark.read.parquet(pending)
+    left, done, rounds, start, wave, misses, run = todo.count(), 0, 1, 0.0, 0, 0, uuid.uuid4().hex
+    while done < left:
+        wait = time.time() + (back_off * 2 ** (misses - 1) if misses else 0.0)
+        time.sleep(max(0.0, max(start, wait) - time.time()))
+        begun, calls = time.time(), min(size * rounds, left - done)
+        k = F.col("n") - 1 - done
+        mine = todo.where((F.col("n") > done) & (F.col("n") <= done + calls)).select("prompt_id", "prompt", k.cast("int").alias("slot"))
         path = f"{store}/{run}-{wave:08d}"
-        (mine.repartitionByRange(size, "slot").mapInPandas(_caller(fn, start, interval), ANSWERS).write.mode("overwrite").parquet(path))
+        (mine.repartitionById(min(size, calls), F.col("slot") % size).sortWithinPartitions("slot")
+         .mapInPandas(_caller(fn, begun, interval), ANSWERS).write.mode("overwrite").parquet(path))
         misses = 0 if spark.read.schema(ANSWERS).parquet(path).where("error").isEmpty() else misses + 1
+        rounds = 1 if misses or interval else rounds * 2 if time.time() - begun < WAVE_SECONDS else rounds
+        over = max(0.0, time.time() - begun - calls * interval) if interval else 0.0        # overdue calls may have started together
+        done, wave, start = done + calls, wave + 1, begun + calls * interval + over + min(over, calls * interval)
     if not path_exists(spark, store):
         return prompts.select("batch_id", F.lit(None).cast("string").alias("response"), F.lit(False).alias("error")).limit(0)
     # a later answer to a prompt that failed before counts

@@ -48,6 +48,22 @@ def test_answers_are_kept_by_prompt(spark):
     assert CL.call_classifier(same, fn, parallelism=2, store=store).count() == 2 and len(calls()) == 8
 
 
+def test_waves_grow_while_calls_are_quick(spark):
+    folder, store = shared_path(spark, "t_waves"), shared_path(spark, "t_wave_store")
+    os.makedirs(folder)
+
+    def fn(prompt):
+        open(f"{folder}/busy-{prompt}", "w").close()
+        time.sleep(0.02)
+        open(f"{folder}/{sum(f.startswith('busy') for f in os.listdir(folder))}-{prompt}", "w").close()
+        os.remove(f"{folder}/busy-{prompt}")
+        return prompt.upper()
+    out = CL.call_classifier(_prompts(spark, 60), fn, parallelism=4, store=store)
+    assert {r.batch_id: r.response for r in out.collect()} == {i: f"P{i}" for i in range(60)}
+    assert len(os.listdir(folder)) == 60 and max(int(f.split("-")[0]) for f in os.listdir(folder)) <= 4   # calls at a time
+    assert len(os.listdir(store)) == 4                                          # waves of 4, 8, 16 and 32 calls
+
+
 def test_errors_are_called_again_and_back_off(spark):
     def fail_once(prompt, folder):
         if prompt == "p2" and not os.path.exists(f"{folder}/failed"):
