@@ -95,7 +95,8 @@ def q_model_roundtrip(spark, sf):
 
 @register("cv_gbt")
 def q_cv_gbt(spark, sf):
-    ft = materialize(kfold_contiguous(feature_table(spark, sf), ["venue_id"]))
+    ft = feature_table(spark, sf).select("venue_id", "rating", *M.RETRAIN_FEATURES)
+    ft = materialize(kfold_contiguous(ft, ["venue_id"]))
     return M.cv_gbt(ft, M.RETRAIN_FEATURES, max_iter=CV_ITERATIONS)
 
 
@@ -143,16 +144,18 @@ def q_ingest_stream(spark, sf):
 
 
 MICRO_BATCHES = 6
+ROWS_PER_FILE = 500_000
 
 
 @register("stream_dedup_best", O.with_(O.V, O.DEDUP) + "SELECT * FROM d")
 def q_stream_dedup_best(spark, sf):
-    """The table arrives in ``MICRO_BATCHES`` files, one per micro-batch; keys recur across them, and runs are merged."""
+    """The table arrives in ``MICRO_BATCHES`` batches of files of a bounded size; keys recur across them, and runs are merged."""
     src = shared_path(spark, "arrivals")
     v = venues(spark, sf)
-    v.repartition(MICRO_BATCHES, F.pmod(F.xxhash64("venue_id"), F.lit(MICRO_BATCHES))).write.parquet(src)
+    files = max(1, -(-v.count() // (MICRO_BATCHES * ROWS_PER_FILE)))
+    v.repartition(MICRO_BATCHES * files, "venue_id").write.parquet(src)
     table, ck = shared_path(spark, "best"), shared_path(spark, "best_ckpt")
-    ST.stream_dedup_best(spark, src, VENUES, table, ck, max_files_per_trigger=1)
+    ST.stream_dedup_best(spark, src, VENUES, table, ck, max_files_per_trigger=files)
     return ST.read_best(spark, table, VENUES)
 
 

@@ -193,3 +193,42 @@ def test_gbt_handles_many_categories(spark):
     df = _train_frame(spark).withColumn("planning_area", F.concat(F.lit("A"), (F.col("venue_id") % 300).cast("string")))
     model = M.fit_gbt(df, M.RETRAIN_FEATURES, max_iter=2, max_depth=2)
     assert M.gbt_residuals(model, df, M.RETRAIN_FEATURES).count() > 0
+
+
+def test_fits_and_checkpoints_take_few_partitions(spark, monkeypatch):
+    from residuum.session import TASKS_PER_CORE, materialize
+    most = TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    wide = spark.range(0, 4000, 1, 90)
+    kept = materialize(wide)
+    assert kept.rdd.getNumPartitions() <= most and kept.count() == 4000
+    fitted, pipeline = [], M.gbt_pipeline
+
+    def noted(*args, **kw):
+        p = pipeline(*args, **kw)
+        fit = p.fit
+        p.fit = lambda data, *a: (fitted.append((data.rdd.getNumPartitions(), data.count())), fit(data, *a))[1]
+        return p
+    monkeypatch.setattr(M, "gbt_pipeline", noted)
+    df = wide.select("id", F.lit(1.0).alias("rating"), (F.col("id") % 3).alias("log_reviews"))
+    M.fit_gbt(df, ["log_reviews"], max_iter=1, max_depth=1)
+    assert fitted == [(most, 4000)]
+
+
+def test_batches_of_the_stream_arrive_in_files_of_bounded_size(spark, monkeypatch, tmp_path):
+    from residuum import catalog_nosql as C
+    from residuum.streaming import runs as R
+    spark.range(4000).select(F.col("id").alias("o_orderkey"), (F.col("id") % 900).alias("o_custkey"), F.lit("1-URGENT").alias("o_orderpriority")) \
+        .write.parquet(f"{tmp_path}/orders.parquet")
+    places = {}
+
+    def noted(session, *parts, **kw):
+        return places.setdefault(parts, shared_path(session, *parts, **kw))
+    monkeypatch.setattr(C, "shared_path", noted)
+    monkeypatch.setattr(C, "ROWS_PER_FILE", 200)
+    got = C.q_stream_dedup_best(spark, str(tmp_path))
+    sizes = spark.read.parquet(places[("arrivals",)]).groupBy(F.input_file_name()).count().collect()
+    assert sum(r["count"] for r in sizes) == 4000 and max(r["count"] for r in sizes) <= 400
+    assert len([e for e in R.entries(spark, places[("best",)]) if "merge" not in e["name"]]) == C.MICRO_BATCHES
+    from residuum.operators.features import dedup_best
+    want = dedup_best(C.venues(spark, str(tmp_path)))
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0
