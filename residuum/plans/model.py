@@ -144,6 +144,21 @@ def ordinal_encode(df: DataFrame, column: str, out: str | None = None) -> DataFr
     return m.transform(df).withColumn(out, F.when(code < len(m.labels), code).otherwise(F.lit(-1).cast("bigint")))
 
 
+ROWS_PER_TASK = 500_000
+TASKS_PER_CORE = 2
+
+
+def _for_fitting(data: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` of ``data`` in no more partitions than a fit can use: ``TASKS_PER_CORE`` for each core, more where rows ask for it.
+
+    A fit of boosted trees passes over the rows several times for each tree, and each pass starts two tasks for each
+    partition. Fewer partitions are left as they are.
+    """
+    data = data.select(*columns)
+    most = max(TASKS_PER_CORE * data.sparkSession.sparkContext.defaultParallelism, -(-data.count() // ROWS_PER_TASK))
+    return data.coalesce(most)
+
+
 def _max_bins(data: DataFrame, features: list[str], floor: int = 32) -> int:
     """Bins enough for the largest categorical feature (its categories + the 'unseen' slot)."""
     cats = [f for f in features if f in CATEGORICAL]
@@ -156,7 +171,7 @@ def _max_bins(data: DataFrame, features: list[str], floor: int = 32) -> int:
 def fit_gbt(df: DataFrame, features: list[str], label: str = "rating", **kw) -> PipelineModel:
     data = prepare_features(df, features, label)
     kw.setdefault("max_bins", _max_bins(data, features))
-    return gbt_pipeline(features, label, **kw).fit(data)
+    return gbt_pipeline(features, label, **kw).fit(_for_fitting(data, [label, *features]))
 
 
 def gbt_residuals(model: PipelineModel, df: DataFrame, features: list[str], label: str = "rating",
@@ -175,7 +190,7 @@ def cv_gbt(df: DataFrame, features: list[str], fold: str = "fold", label: str =
     cv = CrossValidator(estimator=gbt_pipeline(features, label, **kw),
                         estimatorParamMaps=ParamGridBuilder().build(), evaluator=ev,
                         foldCol=fold, numFolds=int(data.agg(F.max(fold)).first()[0]) + 1)
-    m = cv.fit(data)
+    m = cv.fit(_for_fitting(data, [label, *features, fold]))
     spark = df.sparkSession
     return spark.createDataFrame([(float(m.avgMetrics[0]), 2.0 * float(m.stdMetrics[0]))],
                                  "rmse_mean double, rmse_2std double")
