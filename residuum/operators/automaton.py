@@ -6,6 +6,11 @@ each state and a column for each character of the lexicon; a text is walked once
 character by character, by the built-in ``aggregate``, whatever the number of words.
 The table's size is known before the plan is made and checked. No join, no shuffle,
 no Python on the executors.
+
+A step of the walk costs as much as a plain search compares in thousands of
+characters, so up to ``MAX_SEARCHED`` words are searched one by one (``contained``),
+in the distinct runs of the lexicon's characters in the text: a word lies within
+one of them.
 """
 
 from __future__ import annotations
@@ -16,6 +21,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MAX_CELLS = 8_000_000
+MAX_SEARCHED = 2048     # words; beyond that a text is walked
 
 
 def _ints(values: list[int]) -> Column:
@@ -23,6 +29,20 @@ def _ints(values: list[int]) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>") if values else F.array().cast("array<int>")
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated one time."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def contained(words: list[str], text: Column) -> Column:
+    """Numbers of the ``words`` (distinct, none empty) that ``text`` contains, in their order."""
+    letters = set("".join(words))
+    between = next(c for c in map(chr, range(10, 0x110000)) if c not in letters)
+    runs = F.split(text, "[^" + "".join(f"\\x{{{ord(c):x}}}" for c in sorted(letters)) + "]+")
+    numbers, all_words = _ints(list(range(len(words)))), F.array(*[F.lit(w) for w in words])
+    return _once(F.array_join(F.array_distinct(runs), between), lambda t: F.filter(numbers, lambda i: t.contains(F.get(all_words, i))))
+
+
 class Automaton:
     """``moves[state * width + class]`` is the next state; ``found[state]`` the words that end there; class 0 is any other character."""
 
@@ -77,19 +97,20 @@ class Automaton:
 def automaton_label(text: Column, lexicon: dict[str, list[str]], other: str, max_cells: int = MAX_CELLS) -> Column:
     """The label of ``keyword_label`` (highest Σ length of contained words, ties to the label listed first, else ``other``)."""
     low = F.lower(text)
-    machine = Automaton([w for words in lexicon.values() for w in words], max_cells)
-    number = {w: i for i, w in enumerate(machine.words)}
+    every = list(dict.fromkeys(w for words in lexicon.values() for w in words if w))
+    machine = Automaton(every, max_cells)
+    number = {w: i for i, w in enumerate(every)}
     labels = list(lexicon)
-    weight = [0] * (len(machine.words) * len(labels))
+    weight = [0] * (len(every) * len(labels))
     for j, label in enumerate(labels):
         for w in lexicon[label]:
             if w:                                          # the empty word is in every text, and weighs nothing
                 weight[number[w] * len(labels) + j] += len(w)
-    if not machine.words:
+    if not every:
         return F.lit(other)
     weights, names = _ints(weight), F.array(*[F.lit(x) for x in labels])
-    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))  # noqa: E731  (evaluates ``value`` one time)
     scores = lambda found: F.array_max(F.transform(_ints(list(range(len(labels)))), lambda j: F.struct(
         F.aggregate(found, F.lit(0), lambda s, w: s + F.get(weights, w * len(labels) + j)).alias("s"), (-j).alias("o"))))
-    label = once(once(machine.hits(low), scores), lambda best: F.when(best["s"] > 0, F.get(names, -best["o"])))
+    hits = contained(every, low) if len(every) <= MAX_SEARCHED else machine.hits(low)
+    label = _once(_once(hits, scores), lambda best: F.when(best["s"] > 0, F.get(names, -best["o"])))
     return F.coalesce(label, F.lit(other))

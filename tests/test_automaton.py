@@ -31,6 +31,22 @@ def test_automaton_equals_containment(spark):
     assert hits == {i: {w for w in machine.words if w in t.lower()} for i, t in enumerate(texts) if t is not None}
 
 
+def test_words_are_searched_in_the_runs_of_their_characters(spark, monkeypatch):
+    from residuum.operators import automaton as A
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("ab]^-\\\\\n😀é ") for _ in range(rng.randint(1, n)))
+    lexicon = {f"L{i}": [word(5) for _ in range(30)] for i in range(8)}
+    texts = [None, "", "\n", "aXaYa"] + [word(40) + "#" + word(40) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    want = {i: plain(t, lexicon) for i, t in enumerate(texts)}
+    walks = []
+    monkeypatch.setattr(A.Automaton, "hits", lambda self, text, hits=A.Automaton.hits: (walks.append(1), hits(self, text))[1])
+    labels = lambda: {r.i: r.l for r in df.select("i", automaton_label(F.col("t"), lexicon, "Other").alias("l")).collect()}
+    assert labels() == want and not walks                   # a search costs less than a walk
+    monkeypatch.setattr(A, "MAX_SEARCHED", 100)
+    assert labels() == want and walks
+
+
 def test_both_ways_agree_on_a_short_lexicon(spark):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text")
     lexicon = {"a": ["the", "tion", "he"], "b": ["und", "re"], "c": ["there", ""], "d": ["zq"]}
