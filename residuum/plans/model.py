@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from residuum.functions import constants as K
 from residuum.operators.ordering import global_row_number, shuffled_index
-from residuum.session import materialize
+from residuum.session import materialize, useful_partitions
 
 TRAIN_FEATURES = ["log_reviews", "price_level_num", "is_chain", "cluster_density",
                   "category_encoded", "planning_area"]
@@ -145,18 +145,16 @@ def ordinal_encode(df: DataFrame, column: str, out: str | None = None) -> DataFr
 
 
 ROWS_PER_TASK = 500_000
-TASKS_PER_CORE = 2
 
 
 def _for_fitting(data: DataFrame, columns: list[str]) -> DataFrame:
-    """``columns`` of ``data`` in no more partitions than a fit can use: ``TASKS_PER_CORE`` for each core, more where rows ask for it.
+    """``columns`` of ``data`` in no more partitions than a fit can use (``useful_partitions``).
 
     A fit of boosted trees passes over the rows several times for each tree, and each pass starts two tasks for each
     partition. Fewer partitions are left as they are.
     """
     data = data.select(*columns)
-    most = max(TASKS_PER_CORE * data.sparkSession.sparkContext.defaultParallelism, -(-data.count() // ROWS_PER_TASK))
-    return data.coalesce(most)
+    return data.coalesce(useful_partitions(data.sparkSession, data.count(), ROWS_PER_TASK))
 
 
 def _max_bins(data: DataFrame, features: list[str], floor: int = 32) -> int:

@@ -70,6 +70,12 @@ def shared_path(spark: SparkSession, *parts: str, unique: bool = True) -> str:
 
 ROWS_PER_TASK = 100_000
 TASKS_PER_CORE = 2
+FEW_PARTITIONS = 32     # as many are always left as they are
+
+
+def useful_partitions(spark: SparkSession, rows: int, rows_per_task: int = ROWS_PER_TASK) -> int:
+    """Most partitions that ``rows`` rows need: ``TASKS_PER_CORE`` for each core, more with ``rows_per_task``."""
+    return max(FEW_PARTITIONS, TASKS_PER_CORE * spark.sparkContext.defaultParallelism, -(-rows // rows_per_task))
 
 
 def materialize(df):
@@ -84,13 +90,11 @@ def materialize(df):
 
     Adaptive execution merges small partitions neither when it fills the cache nor
     when it reads a checkpoint, so the rows are written in as many partitions as
-    they ask for: ``TASKS_PER_CORE`` for each core, more with ``ROWS_PER_TASK``, and
-    no more than there are.
+    they ask for (``useful_partitions``), and no more than there are.
     """
     from pyspark import StorageLevel
     ensure_checkpoint_dir(df.sparkSession)
     cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    most = max(TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism, -(-cached.count() // ROWS_PER_TASK))
-    out = cached.coalesce(most).checkpoint(eager=True)
+    out = cached.coalesce(useful_partitions(df.sparkSession, cached.count())).checkpoint(eager=True)
     cached.unpersist()
     return out

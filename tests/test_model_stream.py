@@ -196,8 +196,9 @@ def test_gbt_handles_many_categories(spark):
 
 
 def test_fits_and_checkpoints_take_few_partitions(spark, monkeypatch):
-    from residuum.session import TASKS_PER_CORE, materialize
-    most = TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    from residuum.session import materialize, useful_partitions
+    most = useful_partitions(spark, 4000)
+    assert most < 90
     wide = spark.range(0, 4000, 1, 90)
     kept = materialize(wide)
     assert kept.rdd.getNumPartitions() <= most and kept.count() == 4000
