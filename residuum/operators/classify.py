@@ -163,7 +163,7 @@ def apply_labels(df: DataFrame, mapping: DataFrame, category: str = "category",
 # M8 — batch inference through a caller-supplied function
 # ---------------------------------------------------------------------------
 
-ANSWERS = "prompt_id string, response string, error boolean"
+ANSWERS = "prompt_id string, response string, error boolean, at double"
 WAVE_SECONDS = 30       # a wave of calls that took less may be followed by one twice as large
 
 
@@ -176,8 +176,8 @@ def call_classifier(batches: DataFrame, fn: Callable[[str], str], parallelism: i
     one call each. With ``parallelism`` alone a task makes twice as many calls, one after another, in each further wave while
     waves without errors end within ``WAVE_SECONDS``: the waves then grow with the time the calls take, not with the prompts.
     With a rate, the call with number k of a wave starts no earlier than k intervals after the wave, and the next wave no
-    earlier than the wave's intervals have passed (after a wave that overran, counted anew as far as it did), whatever
-    executors, retries or stalls do. A failing call marks its batch as an error
+    earlier than the wave's intervals have passed, counted from when its calls were made, whatever executors, retries or
+    stalls do. A failing call marks its batch as an error
     (its names become ``Other``); the next wave is one call per task again and waits ``back_off`` seconds, twice as long
     after each further wave with errors.
 
@@ -210,8 +210,10 @@ def call_classifier(batches: DataFrame, fn: Callable[[str], str], parallelism: i
          .mapInPandas(_caller(fn, begun, interval), ANSWERS).write.mode("overwrite").parquet(path))
         misses = 0 if spark.read.schema(ANSWERS).parquet(path).where("error").isEmpty() else misses + 1
         rounds = 1 if misses or interval else rounds * 2 if time.time() - begun < WAVE_SECONDS else rounds
-        over = max(0.0, time.time() - begun - calls * interval) if interval else 0.0        # overdue calls may have started together
-        done, wave, start = done + calls, wave + 1, begun + calls * interval + over + min(over, calls * interval)
+        done, wave, start = done + calls, wave + 1, begun + calls * interval
+        if interval:            # calls that came late, and then together, count from when they were made
+            made = sorted(r.at for r in spark.read.schema(ANSWERS).parquet(path).select("at").collect())
+            start = max([start, *(t + (calls - i) * interval for i, t in enumerate(made))])
     if not path_exists(spark, store):
         return prompts.select("batch_id", F.lit(None).cast("string").alias("response"), F.lit(False).alias("error")).limit(0)
     # a later answer to a prompt that failed before counts
@@ -226,11 +228,12 @@ def _caller(fn: Callable[[str], str], start: float, interval: float):
             out = []
             for row in pdf.itertuples():
                 time.sleep(max(0.0, start + row.slot * interval - time.time()))
+                at = time.time()
                 try:
-                    out.append((row.prompt_id, fn(row.prompt), False))
+                    out.append((row.prompt_id, fn(row.prompt), False, at))
                 except Exception:          # the whole batch falls back to Other
-                    out.append((row.prompt_id, None, True))
-            yield pd.DataFrame(out, columns=["prompt_id", "response", "error"])
+                    out.append((row.prompt_id, None, True, at))
+            yield pd.DataFrame(out, columns=["prompt_id", "response", "error", "at"])
     return run
 
 
