@@ -1,5 +1,6 @@
 """Model operators (rows-only) and streaming ingest."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from residuum.plans import model as M
@@ -137,6 +138,24 @@ def test_cv_gbt_reports_mean_and_spread(spark):
     assert per.count() == 5
 
 
+def test_cv_gbt_fits_one_model_for_each_fold_and_none_of_all_rows(spark, monkeypatch):
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+    from residuum.operators.ordering import kfold_contiguous
+    df = M.prepare_features(kfold_contiguous(_train_frame(spark), ["venue_id"]), M.RETRAIN_FEATURES).cache()
+    sizes = {r.fold: r["count"] for r in df.groupBy("fold").count().collect()}
+    pipeline = M.gbt_pipeline(M.RETRAIN_FEATURES, max_iter=2, max_depth=2, max_bins=M._max_bins(df, M.RETRAIN_FEATURES))
+    ev = RegressionEvaluator(labelCol="rating", predictionCol="prediction", metricName="rmse")
+    want = CrossValidator(estimator=pipeline, estimatorParamMaps=ParamGridBuilder().build(), evaluator=ev, foldCol="fold", numFolds=5).fit(df)
+    fitted, fit = [], M.Pipeline._fit
+    monkeypatch.setattr(M.Pipeline, "_fit", lambda self, data: fitted.append(data.count()) or fit(self, data))
+    got = M.cv_gbt(df, M.RETRAIN_FEATURES, max_iter=2, max_depth=2).first()
+    assert sorted(fitted) == sorted(sum(sizes.values()) - n for n in sizes.values())
+    assert abs(got.rmse_mean - want.avgMetrics[0]) < 1e-9 and abs(got.rmse_2std - 2 * want.stdMetrics[0]) < 1e-9
+    with pytest.raises(ValueError):
+        M.cv_gbt(df.where("fold <> 2"), M.RETRAIN_FEATURES, max_iter=2, max_depth=2)
+
+
 def test_jobs_build_refresh_serve(spark):
     from residuum.catalog import venues
     from residuum.plans import jobs as P
