@@ -21,7 +21,8 @@ them, so a shared shingle counts only where ``room`` (the shingles after it, and
 
 Counting. The order is cut into ``FRAGMENTS`` ranges. A candidate's set is stored
 as one segment for each range; the overlap of a pair is counted for each fragment
-on its own and summed over the fragments.
+on its own and summed over the fragments. The fragments are joined in ``ROUNDS``, so
+that only a part of the shuffled segments is on disk at a time.
 
 Large groups. In a posting list of more than ``SMALL_LIST`` rows each row is first
 measured against one member, the hub (a star, not all pairs), and what links is
@@ -39,6 +40,8 @@ share their document's group.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
@@ -51,6 +54,7 @@ SHINGLE = 5
 PERCENT = 75
 COMMON = 3
 FRAGMENTS = 8
+ROUNDS = 2
 SMALL_LIST = 32
 HOT_LIST = 1 << 16
 HOT_COUNT = 100
@@ -174,12 +178,16 @@ def _overlaps(docs: DataFrame, hot, pairs: DataFrame, again: DataFrame) -> DataF
     wanted = docs.join(ids, "doc_id", "leftsemi")
     texts = wanted.join(again, "doc_id", "leftanti").unionByName(one_text(wanted.join(again, "doc_id", "leftsemi")))
     segments = stage(_segments(texts, hot), "jaccard-segments")
-    left = segments.select(F.col("doc_id").alias("a"), "fragment", F.col("grams").alias("ga"))
-    right = segments.select(F.col("doc_id").alias("b"), "fragment", F.col("grams").alias("gb"))
-    part = (pairs.join(left, "a").join(right, ["b", "fragment"])
-            .select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).cast("bigint").alias("shared")))
-    out = stage(part.groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared")), "jaccard-overlaps")
+    key, parts = ["a", "b", "na", "nb"], []
+    for k in range(ROUNDS):
+        some = segments.where(F.col("fragment") % ROUNDS == k)
+        left = some.select(F.col("doc_id").alias("a"), "fragment", F.col("grams").alias("ga"))
+        right = some.select(F.col("doc_id").alias("b"), "fragment", F.col("grams").alias("gb"))
+        part = pairs.join(left, "a").join(right, ["b", "fragment"]).select(*key, F.size(F.array_intersect("ga", "gb")).cast("bigint").alias("shared"))
+        parts.append(stage(part.groupBy(*key).agg(F.sum("shared").alias("shared")), "jaccard-overlaps"))
     discard(segments, named)
+    out = stage(reduce(DataFrame.unionByName, parts).groupBy(*key).agg(F.sum("shared").alias("shared")), "jaccard-overlaps")
+    discard(*parts)
     return out
 
 
@@ -222,7 +230,7 @@ def _shared_prefixes(nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def _all_links(docs: DataFrame, hot, shared: DataFrame, percent: int, again: DataFrame) -> DataFrame:
-    """Links that give the groups of all links."""
+    """Links that give the groups of all links. ``shared`` is deleted when it has been read."""
     fits = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
     placed = f"{percent} * (na + nb) <= {100 + percent} * least(ma, mb)"
     links = f"100 * shared >= {percent} * (na + nb - shared)"
@@ -230,6 +238,7 @@ def _all_links(docs: DataFrame, hot, shared: DataFrame, percent: int, again: Dat
     rank = F.struct((-F.col("weight")).alias("rank"), F.col("node").alias("hub"), F.col("n").alias("hub_n"))
     hubs = shared.groupBy("gram").agg(F.min(rank).alias("h"), F.count(F.lit(1)).alias("df")).where(F.col("df") > SMALL_LIST).select("gram", "h.hub", "h.hub_n")
     lists = stage(shared.drop("weight").join(hubs, "gram", "left"), "jaccard-lists")
+    discard(shared)
     first = F.col("node") < F.col("hub")
     star = stage(lists.where("hub IS NOT NULL AND hub <> node")
                  .select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"),

@@ -1,6 +1,7 @@
 """Operators against brute force on odd inputs: nulls, empty and long texts, ties, repeated rows, clashing column names."""
 
 import hashlib
+import os
 import random
 import re
 from collections import defaultdict
@@ -266,3 +267,19 @@ def test_chat_held_out_and_transcripts(spark):
     raw = spark.createDataFrame([(1, "User: hi\nhow?\n\nAssistant: fine\n\nHuman: ok"), (2, None)], "doc_id long, text string")
     got = [(r.id, r.role, r.rendered) for r in chat.parse_transcripts(raw, chat.Model()).orderBy("id", "turn").collect()]
     assert got == [(1, "user", "<|user|>\nhi\nhow?\n<|end|>\n"), (1, "assistant", "<|assistant|>\nfine\n<|end|>\n"), (1, "user", "<|user|>\nok\n<|end|>\n")]
+
+
+def test_postings_are_deleted_before_sets_are_cut(spark, monkeypatch):
+    words = [f"w{k}" for k in range(60)]
+    texts = [(d, " ".join(words[:50] + [f"x{d}"] + words[50:])) for d in range(40)] + [(90, "other words " * 4), (91, None)]
+    seen, postings, write = [], [], jaccard.stage
+
+    def record(df, name):
+        seen.append((name, sum(os.path.exists(p) for p in postings)))
+        out = write(df, name)
+        postings.extend([out._stage_path] if name == "jaccard-postings" else [])
+        return out
+    monkeypatch.setattr(jaccard, "stage", record)
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicate_groups(frame(spark, texts)).collect()}
+    assert got == {d: 0 if d < 40 else d for d, _ in texts}
+    assert {n for name, n in seen if name in ("jaccard-segments", "jaccard-overlaps")} == {0}
