@@ -27,9 +27,11 @@ repeated labels the largest counts; without any label the score is 0.5.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from residuum.llm.staging import give_back, hold, id_text
 from residuum.llm.textops import LOWER, SPACE_SPLIT, blocks, find_words, prefix_hash, span_hash, text_buffer, word_hashes
@@ -272,13 +274,16 @@ def scores(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: in
 
 
 def accepted(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 4, held: int = 2, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """The rows of ``docs`` that reach the threshold, with all their columns; rows without an id are scored too. No text is shuffled."""
+    """The rows of ``docs`` that reach the threshold, with all their columns; rows without an id are scored too.
+
+    No text is shuffled; the texts alone go to the Python workers, and no row comes back.
+    """
     model = hold(docs.sparkSession.sparkContext.broadcast(train(_texts(docs, text_col), id_text(docs, id_col, text_col), labels, label, fold("doc_id", parts) != held)))
 
-    def run(batches):
-        for batch in batches:
-            score = [model.value.score(b) for b in blocks([batch])]
-            good = np.concatenate(score) >= threshold if score else np.empty(0, bool)
-            yield pa.record_batch([batch.column(2).filter(pa.array(good))], names=["row"])
-    rows = docs.select(F.lit(0).cast("bigint").alias("at"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return rows.mapInArrow(run, T.StructType([T.StructField("row", docs.schema)])).select("row.*")
+    def good(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for t in texts:
+            score = [model.value.score(b) for b in blocks([pa.record_batch([pa.array(np.zeros(len(t), np.int64)), t], names=["at", "t"])])]
+            yield pa.array(np.concatenate(score) >= threshold if score else np.empty(0, bool))
+            del t, score
+        give_back()
+    return docs.where(F.arrow_udf(good, "boolean")(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))

@@ -269,6 +269,16 @@ def test_chat_held_out_and_transcripts(spark):
     assert got == [(1, "user", "<|user|>\nhi\nhow?\n<|end|>\n"), (1, "assistant", "<|assistant|>\nfine\n<|end|>\n"), (1, "user", "<|user|>\nok\n<|end|>\n")]
 
 
+def test_only_texts_go_to_the_workers_that_accept_documents(spark):
+    docs = frame(spark, [(d, f"some words {d} of a text") for d in range(40)] + [(90, None), (91, "")])
+    labels = spark.createDataFrame([(d, float(d % 2)) for d in range(40)], "doc_id long, quality double")
+    kept = quality.accepted(docs, labels, threshold=0.4)
+    assert "MapInArrow" not in kept._jdf.queryExecution().executedPlan().toString()
+    want = quality.scores(docs, labels, threshold=0.4).where("predicted = 1").select("doc_id")
+    assert kept.columns == docs.columns and want.count() > 0
+    assert sorted(r.doc_id for r in kept.where("doc_id IS NOT NULL").collect()) == sorted(r.doc_id for r in want.collect())
+
+
 def test_postings_are_deleted_before_sets_are_cut(spark, monkeypatch):
     words = [f"w{k}" for k in range(60)]
     texts = [(d, " ".join(words[:50] + [f"x{d}"] + words[50:])) for d in range(40)] + [(90, "other words " * 4), (91, None)]
