@@ -47,6 +47,13 @@ def global_row_number(df: DataFrame, order_cols: list, out: str = "rn",
     return res.select(*df.columns, *keep)
 
 
+def shuffle_grid(n: int) -> tuple[int, int]:
+    """Rows and columns of the grid of ``shuffled_index``."""
+    root = math.isqrt(n - 1) + 1
+    a = min(range(root, 2 * root + 1), key=lambda k: (k * -(-n // k) - n, k))
+    return a, -(-n // a)
+
+
 def shuffled_index(i: Column, n: int, *seeds: Column, rounds: int = 4) -> Column:
     """A seeded bijection of [0, n): where index ``i`` goes, computed for each row alone, without a sort.
 
@@ -56,9 +63,7 @@ def shuffled_index(i: Column, n: int, *seeds: Column, rounds: int = 4) -> Column
     """
     if n < 1:
         return i
-    root = math.isqrt(n - 1) + 1
-    a = min(range(root, 2 * root + 1), key=lambda k: (k * -(-n // k) - n, k))
-    b = -(-n // a)
+    a, b = shuffle_grid(n)
     grid_a, grid_b = F.lit(a).cast("bigint"), F.lit(b).cast("bigint")
 
     def once(x: Column) -> Column:

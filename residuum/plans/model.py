@@ -10,8 +10,8 @@ Two regressors:
   with categorical features indexed by ``StringIndexer`` (alphabetical codes).
 
 Folds are contiguous in an explicit order (``kfold_contiguous``); permutation
-importance permutes by seeded bijections of the row numbers and scores every
-(feature, repeat) copy in a single ``transform``.
+importance permutes by seeded bijections of the row numbers and scores all
+(feature, repeat) copies in one pass over packed rows (``trees``).
 """
 
 from __future__ import annotations
@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from residuum.functions import constants as K
-from residuum.operators.ordering import global_row_number, shuffled_index
+from residuum.operators.ordering import global_row_number, shuffle_grid, shuffled_index
+from residuum.plans.trees import masks_of, packed_copies, squared_errors
 from residuum.session import materialize, useful_partitions
 
 TRAIN_FEATURES = ["log_reviews", "price_level_num", "is_chain", "cluster_density",
@@ -224,7 +225,10 @@ def load_model(path: str) -> PipelineModel:
 
 
 def permuted_values(base: DataFrame, cols: list[str], n: int, repeats: int, seed: int = K.SEED) -> DataFrame:
-    """(_f, _r, _i, _v): for each of ``cols`` and repeat, the value that row ``_i`` (numbered 0 to n-1) gets from another row."""
+    """(_f, _r, _i, _v): for each of ``cols`` and repeat, the value that row ``_i`` (numbered 0 to n-1) gets from another row.
+
+    One row for each copied value; ``permutation_importance`` has the same copies packed (``packed_copies``).
+    """
     copies = F.array(*[F.struct(F.lit(fi).alias("_f"), F.lit(r).alias("_r"), F.col(c).cast("double").alias("_v"))
                        for fi, c in enumerate(cols) for r in range(repeats)])
     rep = base.select(F.col("_i").alias("_from"), F.inline(copies))
@@ -236,26 +240,23 @@ def permutation_importance(model: PipelineModel, df: DataFrame, features: list[s
                            repeats: int = K.PERM_REPEATS, seed: int = K.SEED, id_col: str = "venue_id") -> DataFrame:
     """Mean/std drop of R² when one feature is shuffled, per feature (desc by mean).
 
-    Every (feature, repeat) copy is a seeded bijection of the row numbers (``permuted_values``): a copy carries the
-    number of the row that receives a value and the value alone, and meets the rows by number. The rows are numbered
-    once; the copies are not sorted.
+    Every (feature, repeat) copy is a seeded bijection of the row numbers (``shuffled_index``). The rows are numbered once
+    and not copied: codes of the permuted values are packed by the chunk of numbers that receives them, and each chunk is
+    scored with the masks of the model's trees, the splits on the other features looked up once for all repeats.
     """
     data = prepare_features(df, features, label)
     feat_stage = PipelineModel(stages=model.stages[:-2])
     head = feat_stage.transform(data)
-    cols = [f"{c}_idx" if c in CATEGORICAL else c for c in features]
-    base = materialize(global_row_number(head.select(id_col, label, *cols), [id_col], out="_i").withColumn("_i", F.col("_i") - 1))
-    perm = permuted_values(base, cols, base.count(), repeats, seed)
-    j = perm.join(base.hint("shuffle_hash"), "_i")
-    j = j.withColumns({c: F.when(F.col("_f") == i, F.col("_v")).otherwise(F.col(c)) for i, c in enumerate(cols)})
-    tail = PipelineModel(stages=model.stages[-2:])
-    scored = tail.transform(j)
-    err = F.col(label) - F.col("prediction")
-    base_sc = tail.transform(base)
+    masks, columns = masks_of(model)
+    base = materialize(global_row_number(head.select(id_col, label, *columns), [id_col], out="_i").withColumn("_i", F.col("_i") - 1))
+    order = [columns.index(f"{c}_idx" if c in CATEGORICAL else c) for c in features]
+    n = base.count()
+    copies = packed_copies(base, label, columns, masks, n, shuffle_grid(n) if n else (1, 1), seed, order, repeats)
+    errors = materialize(squared_errors(copies, masks, n, order, repeats).groupBy("_f", "_r").agg(F.sum("_e").alias("_e")))
     mean_y = base.select(F.avg(label)).scalar()
     ss_tot = base.select(F.sum((F.col(label) - mean_y) ** 2)).scalar()
-    base_r2 = 1.0 - base_sc.select(F.sum((F.col(label) - F.col("prediction")) ** 2)).scalar() / ss_tot
-    per = scored.groupBy("_f", "_r").agg((F.lit(base_r2) - (1.0 - F.sum(err * err) / ss_tot)).alias("drop"))
+    base_r2 = 1.0 - errors.where("_f < 0").select("_e").scalar() / ss_tot
+    per = errors.where("_f >= 0").select("_f", "_r", (F.lit(base_r2) - (1.0 - F.col("_e") / ss_tot)).alias("drop"))
     names = F.element_at(F.array(*[F.lit(f) for f in features]), F.col("_f") + 1)
     return (per.groupBy("_f").agg(F.avg("drop").alias("importance_mean"), F.stddev_pop("drop").alias("importance_std"))
                .select(names.alias("feature"), "importance_mean", "importance_std")
