@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 
 from residuum.functions import constants as K
 from residuum.operators.ordering import global_row_number, shuffle_grid, shuffled_index
-from residuum.plans.trees import masks_of, packed_copies, squared_errors
-from residuum.session import materialize, useful_partitions
+from residuum.plans.boosting import fit_boosted
+from residuum.plans.trees import masks_of, packed_copies, predicted, squared_errors
+from residuum.session import TASKS_PER_CORE, materialize, useful_partitions
 
 TRAIN_FEATURES = ["log_reviews", "price_level_num", "is_chain", "cluster_density",
                   "category_encoded", "planning_area"]
@@ -148,6 +149,8 @@ def ordinal_encode(df: DataFrame, column: str, out: str | None = None) -> DataFr
 
 
 ROWS_PER_TASK = 500_000
+ROWS_PACKED_PER_TASK = 2_000_000
+FEWEST_ROWS_PER_TASK = 100_000          # a pass over them takes about as long as starting its task
 
 
 def _for_fitting(data: DataFrame, columns: list[str]) -> DataFrame:
@@ -170,15 +173,25 @@ def _max_bins(data: DataFrame, features: list[str], floor: int = 32) -> int:
 
 
 def fit_gbt(df: DataFrame, features: list[str], label: str = "rating", **kw) -> PipelineModel:
+    """The model of ``gbt_pipeline``; its trees are grown on packed rows (``fit_boosted``)."""
     data = prepare_features(df, features, label)
     kw.setdefault("max_bins", _max_bins(data, features))
-    return gbt_pipeline(features, label, **kw).fit(_for_fitting(data, [label, *features]))
+    data = data.select(label, *features)
+    rows = data.count()
+    tasks = min(TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism, -(-rows // FEWEST_ROWS_PER_TASK))
+    data = data.coalesce(max(1, tasks, -(-rows // ROWS_PACKED_PER_TASK)))
+    *before, trees = gbt_pipeline(features, label, **kw).getStages()
+    ready = Pipeline(stages=before).fit(data)
+    columns = before[-1].getInputCols()
+    labels = {s.getOutputCol(): len(s.labels) + 1 for s in ready.stages[:-1]}
+    fitted = fit_boosted(trees, PipelineModel(ready.stages[:-1]).transform(data), rows, columns, [labels.get(c) for c in columns])
+    return PipelineModel([*ready.stages, fitted])
 
 
 def gbt_residuals(model: PipelineModel, df: DataFrame, features: list[str], label: str = "rating",
                   pred: str = "predicted_rating", res: str = "residual") -> DataFrame:
-    scored = model.transform(prepare_features(df, features, label))
-    drop = [c for c in scored.columns if c.endswith("_idx")] + ["features"]
+    scored = predicted(model, prepare_features(df, features, label))
+    drop = [c for c in scored.columns if c.endswith("_idx")]
     return (scored.withColumnRenamed("prediction", pred).withColumn(res, F.col(label) - F.col(pred))
                   .drop(*drop))
 

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from itertools import pairwise
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
@@ -22,7 +23,7 @@ LEAVES = 32
 DE_BRUIJN = 0x077CB531          # (1 << i) * DE_BRUIJN >> 27 is another number for each i of 32
 SLAB = 100_000                  # rows permuted at a time
 CHUNK = 1 << 16                 # rows scored together, so a place in a chunk has 16 bits
-ROWS_AT_ONCE = 1024
+TREES_AND_ROWS = 1 << 16        # masks looked at together, so that they stay in the processor's cache
 
 
 @dataclass
@@ -66,15 +67,17 @@ def _pieces(t: Split | float, room: int = LEAVES) -> list[Split | float]:
 
 
 class TreeMasks:
-    """``arity`` has the number of categories for each feature that is categorical, None for the others."""
+    """``arity`` has the number of categories for each feature that is categorical, None for the others; ``cuts`` the
+    thresholds that codes count for those, if not just the ones of the trees."""
 
-    def __init__(self, trees: list[Split | float], arity: list[int | None]):
+    def __init__(self, trees: list[Split | float], arity: list[int | None], cuts: list[np.ndarray | None] | None = None):
         pieces = [p for t in trees for p in _pieces(t)]
-        self.cuts: list[np.ndarray | None] = [None if a else np.empty(0) for a in arity]
-        tests: dict[int, set[float]] = {}
-        for p in pieces:
-            self._thresholds(p, tests)
-        self.cuts = [None if a else np.array(sorted(tests.get(f, ()))) for f, a in enumerate(arity)]
+        self.arity, self.cuts = arity, cuts
+        if cuts is None:
+            tests: dict[int, set[float]] = {}
+            for p in pieces:
+                self._thresholds(p, tests)
+            self.cuts = [None if a else np.array(sorted(tests.get(f, ()))) for f, a in enumerate(arity)]
         self.codes = [a or len(c) + 1 for a, c in zip(arity, self.cuts)]
         self.masks = [np.full((n, len(pieces)), 0xFFFFFFFF, np.uint32) for n in self.codes]
         self.leaves = np.zeros(len(pieces) * LEAVES)
@@ -82,6 +85,7 @@ class TreeMasks:
         for t, p in enumerate(pieces):
             self._fill(t, p, 0)
         self.dtype = np.min_scalar_type(max(self.codes))
+        self.rows_at_once = max(1, TREES_AND_ROWS // max(1, len(pieces)))
 
     def _thresholds(self, t, tests) -> None:
         if isinstance(t, Split):
@@ -117,8 +121,8 @@ class TreeMasks:
 
     def predict(self, codes: list[np.ndarray]) -> np.ndarray:
         out = np.empty(len(codes[0]))
-        for at in range(0, len(out), ROWS_AT_ONCE):
-            rows = slice(at, at + ROWS_AT_ONCE)
+        for at in range(0, len(out), self.rows_at_once):
+            rows = slice(at, at + self.rows_at_once)
             open_ = self.masks[0].take(codes[0][rows], axis=0)
             for m, c in zip(self.masks[1:], codes[1:]):
                 open_ &= m.take(c[rows], axis=0)
@@ -127,8 +131,8 @@ class TreeMasks:
 
     def predict_changed(self, codes: list[np.ndarray], values: list[np.ndarray]) -> Iterator[tuple[int, int, slice, np.ndarray]]:
         """(feature, repeat, rows, predictions) with the feature's codes taken from ``values[feature]`` (repeats x rows)."""
-        for at in range(0, len(codes[0]), ROWS_AT_ONCE):
-            rows = slice(at, at + ROWS_AT_ONCE)
+        for at in range(0, len(codes[0]), self.rows_at_once):
+            rows = slice(at, at + self.rows_at_once)
             own = [m.take(c[rows], axis=0) for m, c in zip(self.masks, codes)]
             for f, m in enumerate(self.masks):
                 rest = np.full_like(own[f], 0xFFFFFFFF)
@@ -154,6 +158,16 @@ def masks_of(model: PipelineModel) -> tuple[TreeMasks, list[str]]:
     return TreeMasks(parse_trees(model.stages[-1]), [labels.get(c) for c in columns]), columns
 
 
+def predicted(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """``model.transform(df)`` without the vector column: the indexed categories and ``prediction``, from the masks."""
+    masks, columns = masks_of(model)
+
+    def score(*values):
+        return pd.Series(masks.predict([masks.code(f, v.to_numpy(float)) for f, v in enumerate(values)]))
+    indexed = PipelineModel(stages=model.stages[:-2]).transform(df)
+    return indexed.withColumn("prediction", F.pandas_udf(score, "double", F.PandasUDFType.SCALAR)(*[F.col(c).cast("double") for c in columns]))
+
+
 # ---------------------------------------------------------------------------
 # permutations
 # ---------------------------------------------------------------------------
