@@ -53,12 +53,12 @@ def variance(sums: np.ndarray) -> np.ndarray:
         return np.where(n == 0, 0.0, (q - s * s / n) / n)
 
 
-def thresholds(values: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
+def thresholds(values: np.ndarray, counts: np.ndarray, samples: float, most: int) -> np.ndarray:
     """MLlib's candidate thresholds of a continuous feature: between all its (sorted) values, or ``most`` at equal strides of rows."""
     middle = (values[:-1] + values[1:]) / 2.0
     if len(middle) <= most:
         return middle
-    stride, out, seen = counts.sum() / (most + 1), [], float(counts[0])
+    stride, out, seen = samples / (most + 1), [], float(counts[0])
     target = stride
     for m, c in zip(middle.tolist(), counts[1:].tolist()):
         if abs(seen - target) < abs(seen + c - target):
@@ -68,17 +68,36 @@ def thresholds(values: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
     return np.array(out)
 
 
+def _sampled(data: DataFrame, fraction: float, seed: int) -> DataFrame:
+    """The rows that MLlib samples of a partitioned table to find thresholds."""
+    if fraction >= 1.0:
+        return data
+    spark = data.sparkSession
+    first = spark._jvm.org.apache.spark.util.random.XORShiftRandom(seed).nextInt()
+    return DataFrame(spark._jsparkSession.createDataFrame(data._jdf.toJavaRDD().sample(False, fraction, first), data._jdf.schema()), spark)
+
+
 def candidate_cuts(data: DataFrame, columns: list[str], arity: list[int | None], rows: int, max_bins: int, seed: int) -> list[np.ndarray | None]:
-    """Thresholds for each continuous column, from as many sampled rows as MLlib takes (all of them in a small table)."""
+    """Thresholds for each continuous column, from the rows that MLlib samples (all of them in a small table).
+
+    As there, zeros are not counted but taken to be what is missing from the expected number of samples.
+    """
     numeric = [f for f, a in enumerate(arity) if a is None]
-    need = max(max_bins * max_bins, 10_000)
-    some = data if need >= rows else data.sample(False, need / rows, seed)
+    bins = min(max_bins, rows)
+    fraction = min(1.0, max(bins * bins, 10_000) / rows)
     each = F.inline(F.array(*[F.struct(F.lit(f).alias("f"), F.col(columns[f]).alias("v")) for f in numeric]))
-    found = some.select(each).groupBy("f", "v").agg(F.count(F.lit(1)).alias("n")).orderBy("f", "v").toPandas() if numeric else None
     cuts: list[np.ndarray | None] = [None] * len(arity)
+    if not numeric:
+        return cuts
+    found = _sampled(data, fraction, seed).select(each).where("v != 0").groupBy("f", "v").agg(F.count(F.lit(1)).alias("n")).toPandas()
     for f in numeric:
         of = found[found["f"] == f]
-        cuts[f] = thresholds(of["v"].to_numpy(float), of["n"].to_numpy(float), min(max_bins, rows) - 1)
+        values, counts = of["v"].to_numpy(float), of["n"].to_numpy(float)
+        zeros = fraction * rows - counts.sum()
+        if len(values) and zeros > EPSILON * counts.sum() * 100:
+            values, counts = np.append(values, 0.0), np.append(counts, zeros)
+        by = np.argsort(values)
+        cuts[f] = thresholds(values[by], counts[by], fraction * rows, bins - 1)
     return cuts
 
 
@@ -252,8 +271,11 @@ def java_model(estimator: GBTRegressor, trees: list[Grown], weights: list[float]
     return estimator._copyValues(model)
 
 
-def fit_boosted(estimator: GBTRegressor, data: DataFrame, rows: int, columns: list[str], arity: list[int | None]) -> GBTRegressionModel:
-    """What ``estimator.fit`` gives for ``columns`` put together as features; ``arity`` has the categories of a column, or None."""
+def fit_boosted(estimator: GBTRegressor, data: DataFrame, rows: int, columns: list[str], arity: list[int | None], tasks: int) -> GBTRegressionModel:
+    """What ``estimator.fit`` gives for ``columns`` put together as features; ``arity`` has the categories of a column, or None.
+
+    Thresholds come from the partitions of ``data``, as MLlib's sample does; the blocks are made in ``tasks`` of them.
+    """
     label, seed = estimator.getLabelCol(), estimator.getSeed()
     plain = data.select(F.col(label).cast("double").alias("_y"), *[F.col(c).cast("double").alias(f"_c{f}") for f, c in enumerate(columns)])
     plain = plain.na.fill(float("nan"))
@@ -264,7 +286,7 @@ def fit_boosted(estimator: GBTRegressor, data: DataFrame, rows: int, columns: li
     def arrays(row):
         y = np.frombuffer(row[1])
         return np.frombuffer(row[0], dtype).reshape(-1, len(y)), y, np.zeros(len(y))
-    base = plain.mapInArrow(_pack(like), "codes binary, y binary").rdd.map(arrays).persist(StorageLevel.MEMORY_AND_DISK)
+    base = plain.coalesce(tasks).mapInArrow(_pack(like), "codes binary, y binary").rdd.map(arrays).persist(StorageLevel.MEMORY_AND_DISK)
     trees, weights, done, kept, blocks, before = [], [], [], 0, base, base
     try:
         for m in range(estimator.getMaxIter()):

@@ -179,12 +179,13 @@ def fit_gbt(df: DataFrame, features: list[str], label: str = "rating", **kw) ->
     data = data.select(label, *features)
     rows = data.count()
     tasks = min(TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism, -(-rows // FEWEST_ROWS_PER_TASK))
-    data = data.coalesce(max(1, tasks, -(-rows // ROWS_PACKED_PER_TASK)))
+    data = data.coalesce(useful_partitions(df.sparkSession, rows, ROWS_PER_TASK))
     *before, trees = gbt_pipeline(features, label, **kw).getStages()
     ready = Pipeline(stages=before).fit(data)
     columns = before[-1].getInputCols()
     labels = {s.getOutputCol(): len(s.labels) + 1 for s in ready.stages[:-1]}
-    fitted = fit_boosted(trees, PipelineModel(ready.stages[:-1]).transform(data), rows, columns, [labels.get(c) for c in columns])
+    fitted = fit_boosted(trees, PipelineModel(ready.stages[:-1]).transform(data), rows, columns, [labels.get(c) for c in columns],
+                         max(1, tasks, -(-rows // ROWS_PACKED_PER_TASK)))
     return PipelineModel([*ready.stages, fitted])
 
 

@@ -48,6 +48,14 @@ def test_same_trees_from_many_blocks_and_passes(spark, monkeypatch):
     assert a == b and np.allclose(x, y, rtol=1e-9, atol=1e-12)
 
 
+@pytest.mark.parametrize("rows", [16_000, 40_000])
+def test_same_thresholds_from_a_sample(spark, rows):
+    df = _rows(spark, rows, 6).na.drop()
+    want, got = _both(df, max_iter=1)
+    (a, x), (b, y) = _shape(want), _shape(got)
+    assert a == b and np.allclose(x, y, rtol=1e-9, atol=1e-12)
+
+
 def test_saved_and_loaded_model_is_complete(spark):
     """Node statistics too, which only the saved form shows."""
     want, got = _both(_rows(spark, 2000, 1).na.drop(), max_iter=2)
@@ -66,9 +74,9 @@ def test_constant_features_and_missing_numbers(spark):
 
 
 def test_thresholds_at_strides():
-    assert B.thresholds(np.array([1.0, 2.0, 4.0]), np.array([1.0, 1.0, 1.0]), 2).tolist() == [1.5, 3.0]
-    assert B.thresholds(np.arange(8.0), np.ones(8), 3).tolist() == [1.5, 3.5, 5.5]
-    assert len(B.thresholds(np.array([5.0]), np.array([9.0]), 3)) == 0
+    assert B.thresholds(np.array([1.0, 2.0, 4.0]), np.array([1.0, 1.0, 1.0]), 3, 2).tolist() == [1.5, 3.0]
+    assert B.thresholds(np.arange(8.0), np.ones(8), 8, 3).tolist() == [1.5, 3.5, 5.5]
+    assert len(B.thresholds(np.array([5.0]), np.array([9.0]), 9, 3)) == 0
 
 
 def test_a_row_is_few_bytes(spark):
