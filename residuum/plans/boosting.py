@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import RDD, StorageLevel
+from pyspark.ml import Estimator
 from pyspark.ml.common import _py2java
 from pyspark.ml.linalg import DenseVector
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from residuum.plans.trees import Split, TreeMasks
+from residuum.session import TASKS_PER_CORE
 
 EPSILON = float(np.finfo(float).eps)
 ROWS_IN_BLOCK = 1 << 16         # the arrays made in a pass stay in the processor's cache
@@ -28,6 +30,8 @@ BYTES_OF_SUMS = 64_000_000      # sums of one pass; a level with more nodes take
 TREES_BETWEEN = 2               # then the predictions so far are kept; each pass adds the trees since
 KEPT_IN_LINEAGE = 10            # then the predictions are made anew from all trees
 REDUCED_IN_DRIVER = 64          # partitions
+ROWS_PACKED_PER_TASK = 2_000_000
+FEWEST_ROWS_PER_TASK = 100_000  # a pass over them takes about as long as starting its task
 
 
 @dataclass
@@ -305,3 +309,17 @@ def fit_boosted(estimator: GBTRegressor, data: DataFrame, rows: int, columns: li
         for r in (base, blocks, before):
             r.unpersist()
     return java_model(estimator, trees, weights, arity)
+
+
+class PackedTrees(Estimator):
+    """``trees`` as the last stage of a pipeline, fitted by ``fit_boosted`` on the columns that the stage before put together."""
+
+    def __init__(self, trees: GBTRegressor, columns: list[str]):
+        super().__init__()
+        self.trees, self.columns = trees, columns
+
+    def _fit(self, dataset: DataFrame) -> GBTRegressionModel:
+        rows, cores = dataset.count(), dataset.sparkSession.sparkContext.defaultParallelism
+        tasks = max(1, min(TASKS_PER_CORE * cores, -(-rows // FEWEST_ROWS_PER_TASK)), -(-rows // ROWS_PACKED_PER_TASK))
+        kinds = [dataset.schema[c].metadata.get("ml_attr", {}) for c in self.columns]
+        return fit_boosted(self.trees, dataset, rows, self.columns, [len(k["vals"]) if k.get("type") == "nominal" else None for k in kinds], tasks)

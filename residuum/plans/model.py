@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 
 from residuum.functions import constants as K
 from residuum.operators.ordering import global_row_number, shuffle_grid, shuffled_index
-from residuum.plans.boosting import fit_boosted
+from residuum.plans.boosting import PackedTrees
 from residuum.plans.trees import masks_of, packed_copies, predicted, squared_errors
-from residuum.session import TASKS_PER_CORE, materialize, useful_partitions
+from residuum.session import materialize, useful_partitions
 
 TRAIN_FEATURES = ["log_reviews", "price_level_num", "is_chain", "cluster_density",
                   "category_encoded", "planning_area"]
@@ -149,8 +149,6 @@ def ordinal_encode(df: DataFrame, column: str, out: str | None = None) -> DataFr
 
 
 ROWS_PER_TASK = 500_000
-ROWS_PACKED_PER_TASK = 2_000_000
-FEWEST_ROWS_PER_TASK = 100_000          # a pass over them takes about as long as starting its task
 
 
 def _for_fitting(data: DataFrame, columns: list[str]) -> DataFrame:
@@ -173,20 +171,13 @@ def _max_bins(data: DataFrame, features: list[str], floor: int = 32) -> int:
 
 
 def fit_gbt(df: DataFrame, features: list[str], label: str = "rating", **kw) -> PipelineModel:
-    """The model of ``gbt_pipeline``; its trees are grown on packed rows (``fit_boosted``)."""
+    """The model of ``gbt_pipeline``; its trees are grown on packed rows (``PackedTrees``)."""
     data = prepare_features(df, features, label)
     kw.setdefault("max_bins", _max_bins(data, features))
-    data = data.select(label, *features)
-    rows = data.count()
-    tasks = min(TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism, -(-rows // FEWEST_ROWS_PER_TASK))
-    data = data.coalesce(useful_partitions(df.sparkSession, rows, ROWS_PER_TASK))
-    *before, trees = gbt_pipeline(features, label, **kw).getStages()
-    ready = Pipeline(stages=before).fit(data)
-    columns = before[-1].getInputCols()
-    labels = {s.getOutputCol(): len(s.labels) + 1 for s in ready.stages[:-1]}
-    fitted = fit_boosted(trees, PipelineModel(ready.stages[:-1]).transform(data), rows, columns, [labels.get(c) for c in columns],
-                         max(1, tasks, -(-rows // ROWS_PACKED_PER_TASK)))
-    return PipelineModel([*ready.stages, fitted])
+    pipeline = gbt_pipeline(features, label, **kw)
+    *before, trees = pipeline.getStages()
+    pipeline.setStages([*before, PackedTrees(trees, before[-1].getInputCols())])
+    return pipeline.fit(_for_fitting(data, [label, *features]))
 
 
 def gbt_residuals(model: PipelineModel, df: DataFrame, features: list[str], label: str = "rating",

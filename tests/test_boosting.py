@@ -42,7 +42,7 @@ def test_same_trees_from_many_blocks_and_passes(spark, monkeypatch):
     monkeypatch.setattr(B, "REDUCED_IN_DRIVER", 4)
     monkeypatch.setattr(B, "TREES_BETWEEN", 2)
     monkeypatch.setattr(B, "KEPT_IN_LINEAGE", 2)
-    monkeypatch.setattr(M, "ROWS_PACKED_PER_TASK", 500)
+    monkeypatch.setattr(B, "ROWS_PACKED_PER_TASK", 500)
     _, got = _both(df, max_iter=5)
     (a, x), (b, y) = _shape(want), _shape(got)
     assert a == b and np.allclose(x, y, rtol=1e-9, atol=1e-12)
